@@ -97,3 +97,14 @@ def sorted_groups(
             held = {n: np.empty(0, dtype=np.int64) for n in names}
     if held[names[0]].size:
         yield held, np.array([0, held[names[0]].size])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of df has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

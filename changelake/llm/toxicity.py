@@ -21,7 +21,7 @@ SLOTS_LOG2 = 20
 SHAPES = ((0,), (0, 1), (0, 2))
 #: The classifier is fitted on about this many labelled rows at most, picked by a hash of doc_id.
 SAMPLE = 20_000
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.15, 1.0, 2.0, 1.0
+EPOCHS, ALPHA, BETA, L1, L2 = 6, 4.0, 1.0, 8.0, 0.0
 THRESHOLD = 0.7
 BIAS = 1 << SLOTS_LOG2
 
