@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelake.llm import linededup, media, packing, simhash, toxicity
+from changelake.llm import licenses, linededup, media, packing, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,13 +45,20 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every document, by base phrases and by diagonal voting."""
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    joined = [F.array_join("base", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels")]
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score", F.to_json("spans").alias("spans"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that stand elsewhere first."""
     return linededup.deduplicate(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "removed_lines")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_simhash, op3_mpeg_audio, op4_toxicity, op5_packing, op8_line_dedup)
+    own = (op2_simhash, op3_mpeg_audio, op4_toxicity, op5_packing, op7_licenses, op8_line_dedup)
     return {f.__name__: f for f in own}
 
 

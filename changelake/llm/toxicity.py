@@ -84,6 +84,16 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def sampled(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, toxic) to learn from: one row for each labelled document that is not held out, about `sample` of them, picked by a hash, if there are more."""
+    known = labels.where(~held_out()).where("toxic is not null and doc_id is not null")
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    total = known.count()
+    if total > sample:
+        known = known.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 11) < int(sample / total * (1 << 53)))
+    return known
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """The model of `labels` (doc_id, toxic) over the texts of `docs` (doc_id, text), as (slots, weights).
 
@@ -91,11 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     repeated rows change nothing. Beyond `sample` labelled documents, a hash of doc_id picks that many, give or take
     chance; features are made where the texts are, and one task learns from them. No rows or one class only: no weights, all scores 0.5.
     """
-    known = labels.where(~held_out()).where("toxic is not null and doc_id is not null")
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    total = known.count()
-    if total > sample:
-        known = known.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 11) < int(sample / total * (1 << 53)))
+    known = sampled(labels, sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     made = chosen.mapInArrow(_featurise, "doc_id long, toxic int, ids array<int>")

@@ -49,10 +49,11 @@ def test_learns_and_holds_out(spark):
 
 
 def test_sample_is_bounded(spark):
-    rows, labels = corpus()
-    docs, known = spark.createDataFrame(rows, "doc_id long, text string, x string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    few, all_ = (toxicity.train(docs, known, sample=n) for n in (50, 600))
-    assert len(few[0]) < len(all_[0])
+    known = spark.createDataFrame([(i, 0, i % 2) for i in range(30_000)] + [(3, 0, 1)] * 10, "doc_id long, quality int, toxic int")
+    want = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(30_000))
+    assert toxicity.sampled(known, 30_000).count() == want
+    assert 850 < toxicity.sampled(known, 1000).count() < 1150
+    assert toxicity.sampled(known, 1000).where(toxicity.held_out()).count() == 0
 
 
 def test_nothing_to_learn(spark):
