@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelake.llm import licenses, linededup, media, packing, pivots, simhash, toxicity
+from changelake.llm import licenses, linededup, media, packing, pii, pivots, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,13 +57,18 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduplicate(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "removed_lines")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, by the fixed patterns and the semi-Markov field."""
+    return pii.find(_table(spark, sf_dir, "documents")).drop("base")
+
+
 def op10_embedding_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link counts and components of all vectors at a cosine of 0.9."""
     return pivots.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_simhash, op3_mpeg_audio, op4_toxicity, op5_packing, op7_licenses, op8_line_dedup, op10_embedding_pivots)
+    own = (op2_simhash, op3_mpeg_audio, op4_toxicity, op5_packing, op7_licenses, op8_line_dedup, op9_pii, op10_embedding_pivots)
     return {f.__name__: f for f in own}
 
 
