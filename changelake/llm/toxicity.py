@@ -110,8 +110,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     return found["slot"].to_numpy(), found["weight"].to_numpy()
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The rows of `docs` with `score`, from 0 to 1, and `predicted`. Null and empty texts get the bias alone; every text is read whole."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """The rows of `docs` with a score from 0 to 1 and the prediction, under these names, which replace columns of the same names.
+
+    Null and empty texts get the bias alone; every text is read whole.
+    """
+    docs = docs.drop(score, predicted)
     slots, weights = model
     schema = docs.schema
     place = docs.columns.index("text")
@@ -126,8 +130,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
             total = np.bincount(pairs >> SLOTS_LOG2, weights=dense[pairs & (BIAS - 1)], minlength=batch.num_rows) + dense[BIAS]
             p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"]
+                [*batch.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*batch.schema.names, score, predicted]
             )
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", `score` double, `predicted` int"
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + f", `{score}` double, `{predicted}` int"
     return docs.mapInArrow(scored, out)
