@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelake.llm import licenses, linededup, media, packing, pii, pivots, simhash, toxicity
+from changelake.llm import licenses, linededup, media, packing, pii, pivots, simhash, subword, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_subword_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segmentations of every document, drawn without replacement, and the checksum of what each decodes to."""
+    path = vocabulary("piece_bpe_32k.model")
+    found = subword.decode(subword.encode(_table(spark, sf_dir, "documents"), path), path)
+    return found.withColumn("text_crc32", F.crc32("text")).drop("text")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents at three bits or fewer."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -68,7 +75,7 @@ def op10_embedding_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_simhash, op3_mpeg_audio, op4_toxicity, op5_packing, op7_licenses, op8_line_dedup, op9_pii, op10_embedding_pivots)
+    own = (op1_subword_sampling, op2_simhash, op3_mpeg_audio, op4_toxicity, op5_packing, op7_licenses, op8_line_dedup, op9_pii, op10_embedding_pivots)
     return {f.__name__: f for f in own}
 
 
