@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelake.llm import licenses, linededup, media, packing, pii, pivots, simhash, subword, toxicity
+from changelake.llm import licenses, linededup, media, packing, pii, pivots, simhash, subword, toolcalls, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns as calls with their results, in topological order within a conversation by (level, turn, place)."""
+    parts = toolcalls.parse(_table(spark, sf_dir, "conversations"), toolcalls.turn_parts)
+    return toolcalls.link(parts, toolcalls.TURN_SCHEMAS)
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License labels of every document, by base phrases and by diagonal voting."""
     found = licenses.scan(_table(spark, sf_dir, "documents"))
@@ -75,7 +81,7 @@ def op10_embedding_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_subword_sampling, op2_simhash, op3_mpeg_audio, op4_toxicity, op5_packing, op7_licenses, op8_line_dedup, op9_pii, op10_embedding_pivots)
+    own = (op1_subword_sampling, op2_simhash, op3_mpeg_audio, op4_toxicity, op5_packing, op6_tool_calls, op7_licenses, op8_line_dedup, op9_pii, op10_embedding_pivots)
     return {f.__name__: f for f in own}
 
 
