@@ -24,8 +24,7 @@ def vocabulary(name: str) -> str:
 def op1_subword_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two segmentations of every document, drawn without replacement, and the checksum of what each decodes to."""
     path = vocabulary("piece_bpe_32k.model")
-    found = subword.decode(subword.encode(_table(spark, sf_dir, "documents"), path), path)
-    return found.withColumn("text_crc32", F.crc32("text")).drop("text")
+    return subword.encode(_table(spark, sf_dir, "documents"), path, decoded=True)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

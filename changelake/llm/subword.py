@@ -14,6 +14,7 @@ same way, and so on. All noise is a hash of the row's key, the sample's number a
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,10 +120,13 @@ class Vocabulary:
 
     def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """The texts of lists of ids that follow each other."""
+        return [x.decode("utf-8", "replace") for x in self.decode_bytes(ids, bounds)]
+
+    def decode_bytes(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         raw = b"".join(map(self.meaning.__getitem__, ids.tolist()))
         ends = np.concatenate([[0], np.cumsum(self.size[ids])])[bounds].tolist()
         parts = (raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
-        return [(x[1:] if self.dummy and x[:1] == b" " else x).decode("utf-8", "replace") for x in parts]
+        return [x[1:] if self.dummy and x[:1] == b" " else x for x in parts]
 
 
 class Lattices:
@@ -136,30 +140,47 @@ class Lattices:
         self.words, self.hashes = Lexicon(), np.empty(0, dtype=np.uint64)
         self.root, self.uses = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         #: By node, and one more at the end: the node's first arc.
-        self.first = np.zeros(1, dtype=np.int64)
-        self.target, self.id = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
-        self.upto, self.logp = np.empty(0, dtype=np.float32), np.empty(0)
+        self.first, self.nodes = np.zeros(1 << 16, dtype=np.int32), 0
+        self.arcs = 0
+        self.target, self.id = np.empty(1 << 16, dtype=np.int32), np.empty(1 << 16, dtype=np.int32)
+        self.upto, self.logp = np.empty(1 << 16, dtype=np.float32), np.empty(1 << 16, dtype=np.float32)
+
+    def _append(self, first: np.ndarray, target: np.ndarray, ids: np.ndarray, upto: np.ndarray, logp: np.ndarray) -> None:
+        """Add nodes, as the ends of their arcs, and arcs. Arrays grow by half, so that a word is seldom copied."""
+        if self.nodes + first.size + 1 > self.first.size:
+            self.first = np.concatenate([self.first[: self.nodes + 1], np.empty((self.nodes + first.size) // 2 + first.size, dtype=np.int32)])
+        self.first[self.nodes + 1 : self.nodes + 1 + first.size] = first + self.arcs
+        end = self.arcs + target.size
+        if end > self.target.size:
+            for name in ("target", "id", "upto", "logp"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old[: self.arcs], np.empty(end // 2 + target.size, dtype=old.dtype)]))
+        for name, new in (("target", target), ("id", ids), ("upto", upto), ("logp", logp)):
+            getattr(self, name)[self.arcs : end] = new
+        self.nodes += first.size
+        self.arcs = end
 
     def _keep_half(self) -> None:
         """Only the more used half of the words stay."""
         keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.uses.size // 2])
-        ends = np.append(self.root[1:], self.first.size - 1)
+        ends = np.append(self.root[1:], self.nodes)
         sizes = (ends - self.root)[keep]
         nodes = np.repeat(self.root[keep] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        counts = self.first[nodes + 1] - self.first[nodes]
+        counts = (self.first[nodes + 1] - self.first[nodes]).astype(np.int64)
         first = np.concatenate([[0], np.cumsum(counts)])
         arcs = np.repeat(self.first[nodes] - first[:-1], counts) + np.arange(first[-1])
         root = np.cumsum(sizes) - sizes
         moved = np.repeat(np.repeat(root - self.root[keep], sizes), counts)
-        self.target = (self.target[arcs] + moved).astype(np.int32)
-        self.id, self.upto, self.logp = self.id[arcs], self.upto[arcs], self.logp[arcs]
-        self.first, self.root, self.uses, self.hashes = first, root, self.uses[keep] // 2, self.hashes[keep]
-        self.words = Lexicon()
-        self.words.add(self.hashes)
+        kept = (self.target[arcs] + moved).astype(np.int32), self.id[arcs], self.upto[arcs], self.logp[arcs]
+        uses, hashes = self.uses[keep] // 2, self.hashes[keep]
+        self._forget()
+        self._append(first[1:], *kept)
+        self.root, self.uses, self.hashes = root, uses, hashes
+        self.words.add(hashes)
 
     def rows(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The word numbers of these ranges of characters; new words get their lattices."""
-        if self.target.size > KEPT:
+        if self.arcs > KEPT:
             self._keep_half()
         sums, down = _prefix_hashes(points)
         hashes = _hash(sums, down, starts, ends)
@@ -183,10 +204,12 @@ class Lattices:
         root = np.cumsum(sizes + 1) - (sizes + 1)
         word = np.repeat(np.arange(sizes.size), sizes)
         within = np.arange(word.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        place, left = starts[word] + within, (sizes[word] - within)
-        node = root[word] + within
+        left = sizes[word] - within
+        # A row for each character, the last ones of words first; a column for each length, the longest first: the piece that starts there.
+        order = np.argsort(left.astype(np.uint16) if sizes.max() < 1 << 16 else left, kind="stable")
+        word, within, left = word[order], within[order], left[order]
+        place, node = starts[word] + within, root[word] + within
         width = v.longest
-        # A row for each character, a column for each length, the longest first: the piece that starts there.
         piece = np.full((word.size, width), -1, dtype=np.int32)
         live = np.arange(word.size)
         for n in range(1, width + 1):
@@ -196,42 +219,50 @@ class Lattices:
             row = v.prefixes.find(_hash(sums, down, place[live], place[live] + n))
             live, row = live[row >= 0], row[row >= 0]
             piece[live, width - n] = v.piece[row]
-        score = np.where(piece >= 0, self.alpha * v.score[np.maximum(piece, 0)], -np.inf)
+        # A character without a piece: the byte's piece, or below -1 the character itself if it has several bytes.
         lone = np.flatnonzero(piece[:, -1] < 0)
         cp = points[place[lone]].astype(np.int64)
-        # A character without a piece: the byte's piece, or below -1 the character itself if it has several bytes.
+        single = self.alpha * v.score[np.maximum(piece[:, -1], 0)]
+        single[lone] = self.alpha * v.low * (1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF))
         piece[lone, -1] = np.where(cp < 0x80, v.bytes[np.minimum(cp, 0x7F)], -2 - cp)
-        score[lone, -1] = self.alpha * v.low * (1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF))
-        # Log sums of all ways to the word's end, from the nodes before the end back to the first.
+        # Log sums of all ways to the word's end, from the nodes before the end back to the first. Only lengths up to that distance can be.
         ways = np.zeros(nodes + width)
-        order = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[order], np.arange(1, int(left[order[-1]]) + 2))
-        ahead = np.arange(width, 0, -1)
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            here = order[a:b]
-            total = score[here] + ways[node[here][:, None] + ahead]
-            top = total.max(axis=1)
-            ways[node[here]] = top + np.log(np.exp(total - top[:, None]).sum(axis=1))
-            score[here] = total
-        at, column = np.nonzero(score > -np.inf)
-        logp = np.minimum(score[at, column] - ways[node[at]], 0.0)
-        count = np.zeros(nodes, dtype=np.int64)
-        count[node] = np.bincount(at, minlength=word.size)
+        bounds = np.searchsorted(left, np.arange(1, int(left[-1]) + 2)).tolist()
+        scaled = (self.alpha * v.score).astype(np.float64)
+        source, length, logps = [], [], []
+        for d, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), 1):
+            if a == b:
+                continue
+            c = min(d, width)
+            own = piece[a:b, width - c :]
+            row, column = np.nonzero(own != -1)
+            n = c - column
+            total = np.where(n == 1, single[a + row], scaled[np.maximum(own[row, column], 0)]) + ways[node[a + row] + n]
+            heads = np.searchsorted(row, np.arange(b - a))
+            top = np.maximum.reduceat(total, heads)
+            sum_ = top + np.log(np.add.reduceat(np.exp(total - top[row]), heads))
+            ways[node[a:b]] = sum_
+            source.append(a + row)
+            length.append(n)
+            logps.append(np.minimum(total - sum_[row], 0.0))
+        source, length, logp = np.concatenate(source), np.concatenate(length), np.concatenate(logps)
+        # Arcs of a node stand together, the longest first.
+        order = np.argsort(node[source].astype(np.uint32), kind="stable")
+        source, length, logp = source[order], length[order], logp[order]
+        at = node[source]
+        count = np.bincount(at, minlength=nodes)
+        logp[np.repeat(count == 1, count)] = 0.0
         first = np.concatenate([[0], np.cumsum(count)])
         run = np.concatenate([[0.0], np.cumsum(np.exp(logp))])
-        upto = run[1:] - run[first[node[at]]]
+        upto = run[1:] - run[first[at]]
         upto[first[1:][count > 0] - 1] = 2.0
-        base, arcs = self.first.size - 1, self.target.size
+        base = self.nodes
         self.root = np.concatenate([self.root, root + base])
-        self.first = np.concatenate([self.first, first[1:] + arcs])
-        self.target = np.concatenate([self.target, (node[at] + (width - column) + base).astype(np.int32)])
-        self.id = np.concatenate([self.id, piece[at, column]])
-        self.upto = np.concatenate([self.upto, upto.astype(np.float32)])
-        self.logp = np.concatenate([self.logp, logp])
+        self._append(first[1:], at + length + base, piece[source, width - length], upto, logp)
 
     def node_of(self, arc: int) -> tuple[int, int]:
         """The first arc of an arc's node, and the one after its last."""
-        node = int(np.searchsorted(self.first, arc, side="right")) - 1
+        node = int(np.searchsorted(self.first[: self.nodes + 1], np.int32(arc), side="right")) - 1
         return int(self.first[node]), int(self.first[node + 1])
 
     def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +270,7 @@ class Lattices:
         steps, live, at, step = [], np.arange(nodes.size), nodes, 0
         counts = np.zeros(nodes.size, dtype=np.int64)
         while True:
-            arc = self.first[at]
+            arc = self.first[at].astype(np.int64)
             on = self.first[at + 1] > arc
             live, arc = live[on], arc[on]
             if not live.size:
@@ -251,7 +282,7 @@ class Lattices:
                 more = more[u[more] >= self.upto[arc[more]]]
             steps.append((live, arc))
             counts[live] += 1
-            at = self.target[arc].astype(np.int64)
+            at = self.target[arc]
             step += 1
         out = np.empty(int(counts.sum()), dtype=np.int64)
         begin = np.cumsum(counts) - counts
@@ -284,41 +315,34 @@ def lattices(path: str, alpha: float) -> Lattices:
 class _Path:
     """A drawn path: its arcs, their words' numbers, its value, and the regions that leave it from place `skip` on, as far as they can matter."""
 
-    def __init__(self, arcs: np.ndarray, words: np.ndarray, value: float, skip: int, gone: list[int]):
+    def __init__(self, arcs: np.ndarray, words: np.ndarray, value: float, skip: int, gone: list[int] | None):
         self.arcs, self.words, self.value, self.skip, self.gone = arcs, words, value, skip, gone
         self.logp, self.before, self.values = 0.0, np.empty(0), np.empty(0)
 
-    def open(self, lattice: Lattices, start: float, seed: np.ndarray, k: int) -> None:
-        """The values of the regions. `start` is the log probability of the arcs before `skip`; at that place the arcs `gone` are no longer open."""
-        own = self.arcs[self.skip :]
-        if not own.size:
+    def open(self, lattice: Lattices, logp: np.ndarray, start: float, seed: np.ndarray, k: int) -> None:
+        """The values of the regions, from the log probabilities of the arcs from `skip` on. `start` is that of the arcs before; at `skip` the arcs `gone` are no longer open."""
+        if not logp.size:
             self.logp = start
             return
-        logp = lattice.logp[own]
-        self.logp = start + float(logp.sum())
-        n = 192
+        self.logp = start + float(logp.sum(dtype=np.float64))
+        n = 160
         while True:
-            # Masses only shrink along the path, so once k + 1 regions are sure to beat all later ones, these are left out.
-            run = start + np.cumsum(logp[:n])
+            run = start + np.cumsum(logp[:n], dtype=np.float64)
             before = np.concatenate([[start], run[:-1]])
             with np.errstate(divide="ignore"):
-                mass = before + np.log(-np.expm1(logp[:n]))
-            a, b = lattice.node_of(int(own[0]))
-            rest = [x for x in range(a, b) if x not in self.gone]
-            mass[(lattice.upto[own[:n]] == 2.0) & (logp[:n] > -1e-12)] = -math.inf  # the node's only arc
-            mass[0] = before[0] + math.log(np.exp(lattice.logp[rest]).sum()) if rest else -math.inf
-            if n >= own.size:
-                break
-            sure = np.sort(np.minimum(self.value, mass - LOW) - 0.7)[::-1]
-            if sure.size > k and run[-1] + HIGH < sure[k]:
+                mass = before + np.log(-np.expm1(logp[:n].astype(np.float64)))
+            if self.gone:
+                a, b = lattice.node_of(self.gone[-1])
+                rest = [x for x in range(a, b) if x not in self.gone]
+                mass[0] = before[0] + math.log(np.exp(lattice.logp[rest], dtype=np.float64).sum()) if rest else -math.inf
+            # Masses only shrink along the path, so once k + 1 regions are sure to beat all later ones, these are left out.
+            if n >= logp.size or (mass.size > k and run[-1] + HIGH < -np.partition(-np.minimum(self.value, mass - LOW), k)[k] - 0.7):
                 break
             n *= 4
         self.before = before
         u = uniform(seed, np.arange(self.skip, self.skip + mass.size) * 4 + 1)
-        self.values = np.full(mass.size, -math.inf)
-        ok = mass > -math.inf
-        # A Gumbel value of location m that is at most the path's value v: m - log(exp(m - v) + E), where E is exponential.
-        self.values[ok] = mass[ok] - np.log(np.exp(np.minimum(mass[ok] - self.value, 700.0)) - np.log(u[ok]))
+        # A Gumbel value of location m that is at most the path's value v: m - log(exp(m - v) + E), where E is exponential. No mass, no value.
+        self.values = mass - np.log(np.exp(np.minimum(mass - self.value, 700.0)) - np.log(u))
 
 
 def _best(paths: list[_Path]) -> tuple[float, int, int]:
@@ -364,7 +388,7 @@ def sample(lattice: Lattices, texts: list[str], keys: np.ndarray, k: int = SAMPL
             if n == 0:
                 value = float(tops[d])
                 begin, at = 0, roots_of[d]
-                plans.append((d, value, None, 0, 0.0, []))
+                plans.append((d, value, None, 0, 0.0, None))
             else:
                 value, p, i = _best(paths)
                 if value == -math.inf:
@@ -372,7 +396,7 @@ def sample(lattice: Lattices, texts: list[str], keys: np.ndarray, k: int = SAMPL
                 path = paths[p]
                 place = path.skip + i
                 a, b = lattice.node_of(int(path.arcs[place]))
-                gone = path.gone if i == 0 else [int(path.arcs[place])]
+                gone = path.gone if i == 0 and path.gone else [int(path.arcs[place])]
                 rest = [x for x in range(a, b) if x not in gone]
                 sums = np.cumsum(np.exp(lattice.logp[rest]))
                 u = float(uniform(seed[d : d + 1], np.array([place * 4 + 2]))[0])
@@ -389,20 +413,21 @@ def sample(lattice: Lattices, texts: list[str], keys: np.ndarray, k: int = SAMPL
         number = np.concatenate(words)
         noise = mix(np.repeat(seed[[x[0] for x in plans]], sizes) + number.astype(np.uint64) * np.uint64(BASE))
         counts, arcs = lattice.walk(np.concatenate(nodes), noise)
-        arc_words = np.repeat(number, counts)
+        arc_words, logp = np.repeat(number, counts), lattice.logp[arcs]
         at = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
         for (d, value, old, place, start, gone), a, b in zip(plans, at[:-1], at[1:], strict=True):
             if old is None:
-                own, own_words = arcs[a:b], arc_words[a:b]
-                gone = [int(own[0])] if own.size else []
+                own, own_words, own_logp = arcs[a:b], arc_words[a:b], logp[a:b]
             else:
                 own = np.concatenate([old.arcs[:place], gone[-1:], arcs[a:b]])
                 own_words = np.concatenate([old.words[: place + 1], arc_words[a:b]])
+                own_logp = np.concatenate([lattice.logp[gone[-1:]], logp[a:b]])
             path = _Path(own, own_words, value, place, gone)
-            path.open(lattice, start, seed[d : d + 1], k)
+            path.open(lattice, own_logp, start, seed[d : d + 1], k)
             found[d].append(path)
     results = []
     for paths in found:
+        # Searches end here; a region's value is final.
         bound = _best(paths)[0]
         rows = []
         for path in paths:
@@ -421,13 +446,15 @@ def keys_of(column: pa.Array, seed: int) -> np.ndarray:
 SCHEMA = "doc_id long, sample int, ids array<int>, n_pieces int, log_prob double, perturbed double, inclusion double"
 
 
-def encode(docs: DataFrame, path: str, k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+def encode(docs: DataFrame, path: str, k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED, decoded: bool = False) -> DataFrame:
     """Up to k distinct segmentations of every row of `docs` (doc_id, text), drawn without replacement: see SCHEMA.
 
-    `alpha` sharpens (above 1) or flattens the distribution. Equal (doc_id, text) give equal samples. A null text is empty and has the one empty
+    With `decoded`, there is also text_crc32, of the bytes that the ids decode to. `alpha` sharpens (above 1) or flattens the distribution. Equal (doc_id, text) give equal samples. A null text is empty and has the one empty
     segmentation; an empty table gives an empty one.
     """
 
+    schema = SCHEMA + ", text_crc32 long" * decoded
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattices(path, alpha)
         for batch in slices(batches, "text", 1_000_000):
@@ -439,9 +466,12 @@ def encode(docs: DataFrame, path: str, k: int = SAMPLES, alpha: float = ALPHA, s
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(ids))
             columns = [batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), sizes))), pa.array([i for n in sizes for i in range(n)], pa.int32()), lists, pa.array(lengths.astype(np.int32))]
             columns += [pa.array([x[j] for x in flat], pa.float64()) for j in (1, 2, 3)]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCHEMA.split(", ")])
+            if decoded:
+                texts = lattice.vocabulary.decode_bytes(ids, np.concatenate([[0], np.cumsum(lengths)]))
+                columns.append(pa.array([zlib.crc32(t) for t in texts], pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
