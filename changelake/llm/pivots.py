@@ -1,6 +1,7 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-Pivots are vectors of a bounded sample. Every vector is described by its nearest pivots, in order, and stands in the inverted list of each of them.
+Pivots are vectors of a bounded sample, no two of them near each other: in a dense group, many pivots of the group itself would rank by noise alone.
+Every vector is described by its nearest pivots, in order, and stands in the inverted list of each of them.
 Two vectors are candidates if they share at least SHARED of those pivots; they are met once, in the list of the first pivot that they share, and there the
 cosine is computed in double precision. Equal vectors are one class, which is never expanded into pairs. A list that is longer than BLOCK is cut into
 blocks, and each pair of blocks is a task's work, so no task holds more than two blocks and no pair is lost. Each block pair returns counts and a
@@ -22,7 +23,9 @@ from changelake.llm.frames import settle
 
 THRESHOLD = 0.9
 #: The index is fitted on this many vectors at most, picked by a hash; PREFIX nearest pivots describe a vector.
-MOST_PIVOTS, PREFIX, SHARED, BLOCK = 4096, 8, 2, 2048
+MOST_PIVOTS, PREFIX, SHARED, BLOCK = 4096, 12, 2, 2048
+#: No two pivots have a cosine above this.
+SPREAD = 0.7
 #: Room for rounding in the single-precision screen that precedes double precision.
 SLACK = 1e-4
 
@@ -38,6 +41,22 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def spread(candidates: np.ndarray, most: int, limit: float = SPREAD) -> np.ndarray:
+    """Up to `most` of the unit vectors, in their order, without any that is too near to one taken before."""
+    taken = np.empty((0, candidates.shape[1]))
+    for start in range(0, len(candidates), 256):
+        some = candidates[start : start + 256]
+        some = some[(some @ taken.T).max(axis=1, initial=-1.0) <= limit]
+        inner, kept = some @ some.T, []
+        for i in range(len(some)):
+            if not kept or inner[i, kept].max() <= limit:
+                kept.append(i)
+        taken = np.concatenate([taken, some[kept]])
+        if len(taken) >= most:
+            break
+    return taken[:most]
+
+
 def _described(pivots: np.ndarray, prefix: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,11 +135,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, prefix: in
     different lengths with each other. A null vec_id stays null and names no component unless all of its component's are null. Repeated rows are copies of one
     another. An empty table gives an empty one.
     """
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("vector"))
     sound = F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     sound = F.coalesce(sound, F.lit(False))
     # -0.0 and 0.0 are the same component, so copies are equal in every bit.
-    numbered = base.withColumn("sound", sound).withColumn("vector", F.when(F.col("sound"), F.transform("vector", lambda x: F.when(x == 0, 0.0).otherwise(x))))
+    numbered = base.withColumn("sound", sound).withColumn("vector", F.when(F.col("sound"), F.transform("vector", lambda x: F.when(x == 0, F.lit(0).cast(kind)).otherwise(x))))
     grouped = numbered.where("sound").groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     # A class is known by a hash of its vector and its smallest id, as several may have no id at all.
     classes = settle(grouped.withColumn("class", F.xxhash64("vector", "first")).withColumn("width", F.size("vector")))
@@ -147,10 +167,10 @@ def _links(classes: DataFrame, width: int, threshold: float, prefix: int, shared
     """(class, other, n): a class's linked rows as n, and edges with another class, for vectors of one length."""
     count = classes.count()
     want = min(pivots_for(count), most_pivots, count)
-    # A hash order that a copy cannot sway; the sample is bounded by most_pivots.
-    picked = classes.orderBy(F.xxhash64("vector", F.lit("pivot")), "vector").select("vector").limit(want).collect()
-    pivots = unit(np.array([r["vector"] for r in picked], dtype=np.float64))
-    described = classes.select("class", "vector", "copies").mapInArrow(_described(pivots, prefix, width), "class long, vector array<double>, copies long, near array<int>")
+    # A hash order that a copy cannot sway; the sample is bounded by twice most_pivots.
+    picked = classes.orderBy(F.xxhash64("vector", F.lit("pivot")), "vector").select("vector").limit(2 * want).collect()
+    pivots = spread(unit(np.array([r["vector"] for r in picked], dtype=np.float64)), want)
+    described = classes.select("class", "vector", "copies").mapInArrow(_described(pivots, prefix, width), f"class long, vector {classes.schema['vector'].dataType.simpleString()}, copies long, near array<int>")
     described = settle(described)
     sizes = described.select(F.explode("near").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("members"))
     # One row per pivot, and there are most_pivots of these at most.

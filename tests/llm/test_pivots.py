@@ -58,6 +58,24 @@ def test_all_pivots_give_all_links(spark):
     assert sorted(map(tuple, got)) == brute(rows)
 
 
+@pytest.mark.parametrize("cosine", [0.97, 0.92])
+def test_recall_in_a_group_of_a_third_of_all_rows(spark, cosine):
+    rng = np.random.default_rng(3)
+    centre, out = rng.normal(size=64), []
+    centre /= np.linalg.norm(centre)
+    for _ in range(400):
+        off = rng.normal(size=64)
+        off -= (off @ centre) * centre
+        out.append(centre * np.sqrt(cosine) + off / np.linalg.norm(off) * np.sqrt(1 - cosine))
+    out += list(rng.normal(size=(800, 64)))
+    rows = [(i, [float(x) for x in np.float32(v)], 0, "", 0) for i, v in enumerate(out)]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    got = np.array([r.n_links for r in pivots.near_duplicates(spark.createDataFrame(rows, SCHEMA)).orderBy("vec_id").collect()])
+    assert (got <= want).all() and got.sum() >= 0.9 * want.sum() > 0
+
+
 def test_null_ids_and_empty(spark):
     rows = [(None, [1.0, 0.0], 0, "", 0), (None, [1.0, 0.01], 0, "", 0), (4, [0.0, 1.0], 0, "", 0)]
     got = pivots.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
