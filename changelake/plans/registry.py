@@ -15,6 +15,7 @@ from changelake.fixtures import kv_log, statements, table
 from changelake.functions import codec, workload
 from changelake.operators import gc, latest, logfiles, merge, mvcc, occ, replication, stats
 from changelake.plans.prefix import numbered
+from changelake.sources import cdc_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -390,6 +391,35 @@ def f13_fan_out(spark, d):
     return replication.fan_out(kv_log(spark, d), mapping).select("seq", "k", "local_db")
 
 
+MS = "epoch_us(ts)//1000"
+
+
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    log = kv_log(spark, d)
+    return log.select("k", "v", "del", "seq", "tx", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"))
+
+
+@query(f"select seq, concat('{{\"k\":\"', k, '\"', case when del then ',\"del\":true' else concat(',\"v\":', cast(json(v) as varchar)) end, ',\"seq\":', cast(seq as varchar), ',\"tx\":', cast(tx as varchar), ',\"ts\":', cast({MS} as varchar), '}}') as line from log")
+def b01_change_lines(spark, d):
+    lines = cdc_json.encoded(_changes(spark, d))
+    return lines.select(F.get_json_object("value", "$.seq").cast("bigint").alias("seq"), F.col("value").alias("line"))
+
+
+@query(f"select k, case when del then null else cast(json(v) as varchar) end v, del, seq, tx, {MS} as ts from log")
+def a01_change_records(spark, d):
+    return cdc_json.decoded(cdc_json.encoded(_changes(spark, d))).where("not bad").drop("bad")
+
+
+@query("select k, tx, op from (select k, tx, seq as op from log where (seq % 3 <> 0 or not del))")
+def a02_bad_lines(spark, d):
+    """Every third delete is cut off on its way and must not come back."""
+    log = _changes(spark, d)
+    lines = cdc_json.encoded(log).withColumn("seq0", F.get_json_object("value", "$.seq").cast("bigint"))
+    cut = (F.col("seq0") % 3 == 0) & F.col("value").contains('"del":true')
+    torn = lines.select(F.when(cut, F.expr("substring(value, 1, length(value) - 5)")).otherwise(F.col("value")).alias("value"))
+    return cdc_json.decoded(torn).where("not bad").select("k", "tx", F.col("seq").alias("op"))
+
+
 @query("select seq, to_base64(encode(v)) b from log where v is not null")
 def g01_base64(spark, d):
     return kv_log(spark, d).where("v is not null").select("seq", codec.value_text(F.col("v"), "base64").alias("b"))
