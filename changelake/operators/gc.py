@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from changelake.plans.prefix import carried
+
 #: Bytes of a value-log record besides key and value; least garbage of a file to be compacted.
 RECORD, LEAST = 29, 1 << 20
 
@@ -14,9 +16,13 @@ def record_size():
     return F.lit(RECORD) + F.octet_length("k") + F.coalesce(F.octet_length("v"), F.lit(0))
 
 
-def garbage(log: DataFrame) -> DataFrame:
-    """Bytes that each file holds of versions that a later one has replaced."""
+def garbage(log: DataFrame, spread: bool = False) -> DataFrame:
+    """Bytes that each file holds of versions that a later one has replaced. With `spread`, a key's versions may be too many for one task."""
     order = Window.partitionBy("k").orderBy("seq")
+    if spread:
+        own = log.select("k", "seq", F.struct("file_id", record_size().alias("size")).alias("own"))
+        before = carried(own, "k", ["seq"], "own", "old", before=True).select("old.file_id", "old.size")
+        return before.where("file_id is not null").groupBy("file_id").agg(F.sum("size").cast("bigint").alias("garbage"))
     before = log.select("k", "seq", "file_id", record_size().alias("size")).select(F.lag("file_id").over(order).alias("file_id"), F.lag("size").over(order).alias("size"))
     return before.where("file_id is not null").groupBy("file_id").agg(F.sum("size").cast("bigint").alias("garbage"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from changelake.plans.prefix import carried
+
 
 def collapse_transactions(statements: DataFrame) -> DataFrame:
     """The last statement per (tx, k). An aggregate, so that rows are combined before the shuffle."""
@@ -42,6 +44,9 @@ def key_count_by_delta(log: DataFrame) -> DataFrame:
     return log.select("k", "seq", "del").select(delta.alias("d")).agg(F.sum("d").cast("long").alias("n"))
 
 
-def version_chain(log: DataFrame) -> DataFrame:
-    """Every version with the transaction that ends it."""
+def version_chain(log: DataFrame, spread: bool = False) -> DataFrame:
+    """Every version with the transaction that ends it. With `spread`, a key's versions may be too many for one task."""
+    if spread:
+        ended = carried(log.select("k", "tx"), "k", ["tx"], "tx", "valid_to", before=True, backwards=True)
+        return ended.select("k", F.col("tx").alias("valid_from"), "valid_to")
     return log.select("k", F.col("tx").alias("valid_from"), F.lead("tx").over(Window.partitionBy("k").orderBy("tx")).alias("valid_to"))

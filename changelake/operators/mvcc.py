@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelake.operators.latest import dedup_latest, live_state
+from changelake.plans.prefix import carried, numbered
 from changelake.schemas import UNBOUNDED
 
 
@@ -20,13 +21,20 @@ def as_of_get(log: DataFrame, probes: DataFrame) -> DataFrame:
     return found.select(*probes.columns, F.when(~F.col("del"), F.col("v")).alias("v"), F.col("tx").alias("version"))
 
 
-def as_of_get_union(log: DataFrame, probes: DataFrame) -> DataFrame:
-    """C05 in one pass over log and probes together, for keys with so many versions and probes that a join would multiply them."""
+def as_of_get_union(log: DataFrame, probes: DataFrame, spread: bool = False) -> DataFrame:
+    """C05 in one pass over log and probes together, for keys with so many versions and probes that a join would multiply them.
+
+    With `spread`, they may be too many for one task as well.
+    """
     kind = "struct<v: string, del: boolean, tx: bigint>"
     entries = log.select("k", F.col("tx").alias("_at"), F.lit(0).alias("_probe"), F.lit(None).cast("bigint").alias("read_tx"), F.struct("v", "del", "tx").cast(kind).alias("_e"))
     asked = probes.select("k", F.col("read_tx").alias("_at"), F.lit(1).alias("_probe"), "read_tx", F.lit(None).cast(kind).alias("_e"))
-    last = F.last("_e", ignorenulls=True).over(Window.partitionBy("k").orderBy("_at", "_probe").rowsBetween(Window.unboundedPreceding, 0))
-    found = entries.unionByName(asked).withColumn("_e", last).where("_probe = 1")
+    both = entries.unionByName(asked)
+    if spread:
+        found = carried(both, "k", ["_at", "_probe"], "_e", "_last").drop("_e").withColumnRenamed("_last", "_e").where("_probe = 1")
+    else:
+        last = F.last("_e", ignorenulls=True).over(Window.partitionBy("k").orderBy("_at", "_probe").rowsBetween(Window.unboundedPreceding, 0))
+        found = both.withColumn("_e", last).where("_probe = 1")
     return found.select("k", "read_tx", F.when(~F.col("_e.del"), F.col("_e.v")).alias("v"), F.col("_e.tx").alias("version"))
 
 
@@ -63,8 +71,6 @@ def clocks(log: DataFrame) -> DataFrame:
 
 def write_batch(log: DataFrame, writes: DataFrame) -> DataFrame:
     """C11/C17: log rows of one new transaction from `writes` (k, v, del), numbered after the log's clocks in the order of k."""
-    from changelake.plans.prefix import numbered
-
     rows = numbered(writes.select("k", "v", "del").dropDuplicates(["k"]), ["k"], "_n")
     now = clocks(log)
     return rows.crossJoin(F.broadcast(now)).select((F.col("seq") + F.col("_n")).alias("seq"), (F.col("tx") + 1).alias("tx"), "k", "v", "del")

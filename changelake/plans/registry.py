@@ -100,6 +100,12 @@ def c05_asof_get_union(spark, d):
     return mvcc.as_of_get_union(log, _probes(log))
 
 
+@query(ASOF)
+def c05_asof_get_spread(spark, d):
+    log = kv_log(spark, d)
+    return mvcc.as_of_get_union(log, _probes(log), spread=True)
+
+
 @query(f"select a.k, a.read_tx, case when p.k is not null then (case when p.del then null else p.v end) else a.v end v, p.k is not null as own from ({ASOF}) a left join (select k, 'own' as v, db = 1 as del from newest where db < 2) p on a.k = p.k")
 def c05_own_writes(spark, d):
     log = kv_log(spark, d)
@@ -117,6 +123,11 @@ def c09_version_chain(spark, d):
     return latest.version_chain(kv_log(spark, d))
 
 
+@query("select k,tx as valid_from, lead(tx) over (partition by k order by tx) as valid_to from log")
+def c09_version_chain_spread(spark, d):
+    return latest.version_chain(kv_log(spark, d), spread=True)
+
+
 @query("select tx, cast(count(*) as bigint) statements, cast(count(distinct k) as bigint) kept from log0 group by tx")
 def c10_tx_collapse(spark, d):
     return mvcc.tx_collapse_count(statements(spark, d))
@@ -228,6 +239,11 @@ def d03_garbage(spark, d):
     return gc.garbage(kv_log(spark, d))
 
 
+@query("select * from waste")
+def d03_garbage_spread(spark, d):
+    return gc.garbage(kv_log(spark, d), spread=True)
+
+
 @query("select file_id, garbage as g from waste where file_id <> (select max(file_id) from log) and garbage>=1024 order by g desc, file_id limit 1")
 def d04_compaction_pick(spark, d):
     return gc.compaction_pick(kv_log(spark, d), 1024)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changelake.operators import gc, latest, logfiles, merge, mvcc, occ, replication
-from changelake.plans.prefix import numbered, running
+from changelake.plans.prefix import carried, numbered, running
 
 LOG = "seq bigint, tx bigint, k string, v string, del boolean"
 REQUESTS = "db bigint, arrival bigint, txid bigint, read_tx bigint, reads array<string>, writes array<struct<k: string, v: string, del: boolean>>"
@@ -161,3 +161,18 @@ def test_prefix_sums(spark):
         total += x
         assert got[i] == total
     assert sorted(r.n for r in numbered(spark.createDataFrame(values, "i bigint, x bigint"), ["i"], "n").collect()) == list(range(1, 501))
+
+
+def test_a_hot_key_spans_ranges(spark):
+    rng = random.Random(5)
+    rows = [("hot" if rng.random() < 0.6 else f"k{rng.randint(0, 5)}", i, rng.choice([None, i])) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "k string, i bigint, x bigint")
+    for before in (False, True):
+        for backwards in (False, True):
+            got = {r.i: r.y for r in carried(frame, "k", ["i"], "x", "y", before, backwards).collect()}
+            last: dict[str, int | None] = {}
+            for k, i, x in reversed(rows) if backwards else rows:
+                want = last.get(k)
+                if x is not None:
+                    last[k] = x
+                assert got[i] == (want if before else last.get(k))
