@@ -113,6 +113,7 @@ class Vocabulary:
         self.meaning = [bytes([int(p.piece[3:-1], 16)]) if p.type == kinds.BYTE else p.piece.replace(MARK, " ").encode() if p.type in (kinds.NORMAL, kinds.USER_DEFINED) else b"" for p in model.pieces]
 
         self.size = np.array([len(m) for m in self.meaning])
+        self.spelled, self.at = np.frombuffer(b"".join(self.meaning), dtype=np.uint8), np.cumsum(self.size) - self.size
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: marks are spaces, and the space before the first word is none of the text."""
@@ -123,8 +124,10 @@ class Vocabulary:
         return [x.decode("utf-8", "replace") for x in self.decode_bytes(ids, bounds)]
 
     def decode_bytes(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-        raw = b"".join(map(self.meaning.__getitem__, ids.tolist()))
-        ends = np.concatenate([[0], np.cumsum(self.size[ids])])[bounds].tolist()
+        sizes = self.size[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        raw = self.spelled[np.repeat(self.at[ids] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        ends = ends[bounds].tolist()
         parts = (raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
         return [x[1:] if self.dummy and x[:1] == b" " else x for x in parts]
 
