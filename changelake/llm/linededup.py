@@ -18,6 +18,8 @@ from changelake.llm.frames import fresh, settle, slices
 
 #: On average every MEAN-th line ends a chunk; LONG words make a line a chunk of its own; a chunk has MOST lines at most.
 WINDOW, MEAN, LONG, MOST = 2, 3, 50, 256
+#: Bits of the filter that keeps most documents without repeats out of a shuffle, by the power of two: 8 MB, whatever the corpus.
+FILTER_LOG2 = 26
 FACTOR, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -76,6 +78,20 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "line", "n", "h", "first", "body"])
 
 
+def _maybe(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose key may be among the ids: all that are, and few others while the ids are fewer than the filter's bits.
+
+    The filter is a bit for each hash value, packed into at most 2^FILTER_LOG2 / 64 rows, so it is broadcast at any size of the corpus.
+    """
+    word, bits = fresh(docs, "word", "bits")
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_LOG2)
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{c}`), {64 - FILTER_LOG2}) & 63 as int))")
+    (column,) = ids.columns
+    packed = ids.groupBy(F.shiftright(place(column), 6).alias(word)).agg(F.bit_or(bit(column)).alias(bits))
+    met = (F.shiftright(place(key), 6) == F.col(word)) & (F.col(bits).bitwiseAND(bit(key)) != 0)
+    return docs.join(F.broadcast(packed), met, "left_semi")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text and any other columns) with repeated chunks cut from text, and `n_lines` and `removed_lines`.
 
@@ -90,9 +106,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rows = plain.mapInArrow(_found, "id long, line int, h long")
     first = rows.groupBy("h").agg(F.count("*").alias("places"), F.min(F.struct("id", "line")).alias("at")).where("places > 1")
     marked = rows.join(first, "h").select("id", "h", "line", (F.col("id").eqNullSafe(F.col("at.id")) & (F.col("line") == F.col("at.line"))).alias("first"))
-    marks = marked.groupBy(F.col("id").alias(other)).agg(F.collect_set(F.struct("line", "h", "first")).alias(listed))
+    marks = settle(marked.groupBy(F.col("id").alias(other)).agg(F.collect_set(F.struct("line", "h", "first")).alias(listed)))
     dealt = docs.withColumn(key, F.col("doc_id").cast("long"))
-    having = dealt.join(marks, F.col(key).eqNullSafe(F.col(other))).select(key, "text", listed)
+    having = _maybe(dealt, key, marks.select(other)).join(marks, F.col(key).eqNullSafe(F.col(other))).select(key, "text", listed)
     bodies = settle(having.mapInArrow(_bodies, "id long, line int, n int, h long, first boolean, body binary").distinct())
     kept = bodies.where("first").select("h", F.col("body").alias("kept"))
     same = bodies.where("not first").join(kept, "h").where("body = kept")
