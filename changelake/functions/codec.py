@@ -84,6 +84,11 @@ def index_key(k: bytes, tx: int) -> bytes:
     return k + b"\0" + struct.pack(">Q", (1 << 64) - 1 - tx)
 
 
+def index_key_column(k: Column, tx: Column) -> Column:
+    """G06 as hexadecimal digits, built in: all 64 bits less a number are the number's bits inverted."""
+    return F.concat(F.hex(k), F.lit("00"), F.lpad(F.hex(F.bitwise_not(tx)), 16, "0"))
+
+
 def index_key_parts(data: bytes) -> tuple[bytes, int]:
     return data[:-9], (1 << 64) - 1 - struct.unpack(">Q", data[-8:])[0]
 

@@ -504,6 +504,88 @@ def i05_storage(spark, d):
     return stats.storage_stats(kv_log(spark, d).groupBy("file_id").agg(F.count("*").alias("length")).select(path.alias("path"), "length"))
 
 
+@query("select (select max(tx) from log) as tx, (select max(seq) from log) as seq, (select cast(count(*) as bigint) from newest where not del) as key_count, (select cast(sum(garbage) as bigint) from waste) as garbage_bytes")
+def b10_checkpoint(spark, d):
+    log = kv_log(spark, d)
+    return mvcc.clocks(log).crossJoin(stats.stat(log).select("key_count", "garbage_bytes"))
+
+
+@query(f"select file_id, max(seq) as last_seq, max({MS}) as updated from log group by file_id")
+def b03_resume_state(spark, d):
+    return _changes(spark, d).withColumn("file_id", F.floor((F.col("seq") - 1) / 1000).cast("bigint")).groupBy("file_id").agg(F.max("seq").alias("last_seq"), F.max("ts").alias("updated"))
+
+
+@query("select (select max(seq) from log) + row_number() over (order by k) as seq, (select max(tx) from log) + 1 as tx, k, 'set' as v, false as del from (select distinct k from log where db = 1) where (select count(*) from slots where db > 0) >= 3")
+def c17_embedded_apply(spark, d):
+    """A batch is written as one transaction if three replicas are connected."""
+    log = kv_log(spark, d)
+    writes = log.where("db = 1").select("k", F.lit("set").alias("v"), F.lit(False).alias("del")).distinct()
+    enough = replication.healthy(_slots(log)).where("n >= 3").drop("n")
+    return mvcc.write_batch(log, writes).join(F.broadcast(enough))
+
+
+@query("select tx as txid, tx - 5 as read_tx, k from log where tx % 10 = 0")
+def e02_read_set(spark, d):
+    log = kv_log(spark, d).where("tx % 10 = 0")
+    asked = log.groupBy(F.col("tx").alias("txid")).agg(F.collect_set("k").alias("reads")).withColumn("writes", F.transform("reads", lambda k: F.struct(k.alias("k"))))
+    return occ.touched(asked.withColumn("read_tx", F.col("txid") - 5))
+
+
+@query("select k, v, seq, tx from newest where not del and db = 1")
+def e11_select_db(spark, d):
+    return latest.live_state(kv_log(spark, d).where("db = 1")).select("k", "v", "seq", "tx")
+
+
+@query("select least((select min(ack) from slots), (select min(ack) from slots where db > 1)) as safe")
+def f08_safe_point(spark, d):
+    """A follower's floor, below the leader's safe point as well."""
+    log = kv_log(spark, d)
+    return replication.min_slot(_slots(log)).crossJoin(logfiles.retention_floor(_slots(log).where("db > 1"), None, None)).select(F.least("m", "safe").alias("safe"))
+
+
+@query("select k, v, cast(9999 as bigint) as seq, cast(3333 as bigint) as tx from newest where not del")
+def f11_snapshot_apply(spark, d):
+    state = latest.live_state(kv_log(spark, d))
+    return replication.apply_snapshot(state.limit(0), state, 3333, 9999)
+
+
+@query("select seq, concat(hex(k), '00', hex(cast(18446744073709551615 as ubigint) - cast(tx as ubigint))) as index_key from log")
+def g06_index_key(spark, d):
+    return kv_log(spark, d).select("seq", codec.index_key_column(F.col("k"), F.col("tx")).alias("index_key"))
+
+
+@query()
+def g05_crc32c(spark, d):
+    return kv_log(spark, d).where("v is not null").select("seq", codec.crc32c_column(F.col("v").cast("binary")).alias("crc"))
+
+
+@query("select cast(client as bigint) client, cast(idx as bigint) idx, rpad(concat('bench-', cast(client as varchar), '-', cast(idx as varchar)), 32, 'x') as k from (select unnest(range(50)) client), (select unnest(range(200)) idx)")
+def g08_bench_keys(spark, d):
+    return workload.bench_keys(spark, 50, 200)
+
+
+@query()
+def h04_devices(spark, d):
+    return workload.devices(spark, 10_000)
+
+
+@query()
+def h04_applications(spark, d):
+    return workload.applications(workload.devices(spark, 1_000))
+
+
+@query("select cast(i*3333+1 as bigint) as first_key, cast(case when i = 2 then 10000 else (i+1)*3333 end as bigint) as last_key from (select unnest(range(3)) i)")
+def h05_shards(spark, d):
+    return spark.createDataFrame(workload.shards(10_000, 3), "first_key bigint, last_key bigint")
+
+
+@query("select event_type as phase, cast(count(*) filter (where value > 10) as bigint) as ok, round(count(*) filter (where value > 10) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0), 6) as tps from events group by 1")
+def h06_phase_stats(spark, d):
+    at = F.col("ts").cast("timestamp")
+    e = table(spark, d, "events").select(F.col("event_type").alias("phase"), at.alias("started"), at.alias("ended"), (F.col("value") > 10).alias("ok"))
+    return workload.phase_stats(e).select("phase", "ok", F.round("tps", 6).alias("tps"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
