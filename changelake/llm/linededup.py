@@ -92,15 +92,15 @@ def _maybe(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(packed), met, "left_semi")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """`docs` (doc_id, text and any other columns) with repeated chunks cut from text, and `n_lines` and `removed_lines`.
+def deduplicate(docs: DataFrame, n_lines: str = "n_lines", removed_lines: str = "removed_lines") -> DataFrame:
+    """`docs` (doc_id, text and any other columns) with repeated chunks cut from text, and how many lines a text had and lost.
 
     Of all places of a chunk, the one with the smallest (doc_id, line) stays, so rows that share a doc_id and a text, null ids included, are one
     document and keep or lose the same lines. A chunk whose hash repeats but whose bytes differ from the first one's stays. Texts without
     repeats are returned unchanged; a null text stays null and has no lines; a text that is repeated as a whole becomes empty. All rows come back, an
-    empty table gives an empty one, and existing columns named n_lines or removed_lines are replaced.
+    empty table gives an empty one, and columns with the names of the two counts are replaced.
     """
-    docs = docs.drop("n_lines", "removed_lines")
+    docs = docs.drop(n_lines, removed_lines)
     key, other, listed = fresh(docs, "key", "other", "listed")
     plain = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     rows = plain.mapInArrow(_found, "id long, line int, h long")
@@ -134,7 +134,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             columns = list(batch.columns[:where])
             columns[place] = pa.array(texts, pa.binary()).cast(column.type)
             names = batch.schema.names[:where]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_lines", "removed_lines"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*names, n_lines, removed_lines])
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", `n_lines` long, `removed_lines` long"
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{n_lines}` long, `{removed_lines}` long"
     return both.mapInArrow(cut, out)

@@ -28,10 +28,10 @@ from changelake.llm.frames import settle, slices, sorted_groups, texts_of
 BITS, RADIUS, SHINGLE, SEED, HELD = 64, 3, 3, 42, 4096
 
 
-def masks(radius: int = RADIUS) -> list[int]:
-    """The 2^(radius+1) - 1 covering masks, as unsigned integers."""
+def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
+    """The 2^(radius+1) - 1 covering masks of so many bits, as unsigned integers."""
     width = (1 << (radius + 1)) - 1
-    vectors = [1 + (i * 7) % width for i in range(BITS)]
+    vectors = [1 + (i * 7) % width for i in range(bits)]
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, width + 1)]
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelake.llm import linededup, packing, pii, simhash, toxicity
+from changelake.llm import linededup, packing, pii, similar, toxicity
 from changelake.llm.frames import fresh, settle
 from changelake.llm.queries import vocabulary
 
@@ -33,17 +33,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand elsewhere first; one that is made of such passages alone goes."""
-    found = linededup.deduplicate(docs)
-    return _counted(found.where("removed_lines = 0 or text rlike '\\\\S'"), docs)
+    lines, removed = fresh(docs, "lines", "removed")
+    found = linededup.deduplicate(docs, lines, removed)
+    return _counted(found.where((F.col(removed) == 0) | F.col("text").rlike("\\S")), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies."""
+    """The first document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
     (key,) = fresh(docs, "key")
     # An id beyond all others for a document without one, so that a named copy stays rather than it.
-    named = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.expr("xxhash64(text) & 4611686018427387903 | 4611686018427387904")))
-    groups = simhash.near_duplicates(named.select(F.col(key).alias("doc_id"), "text"))
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    named = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.expr("xxhash64(coalesce(text, '')) & 4611686018427387903 | 4611686018427387904")))
+    groups = similar.groups(named.select(F.col(key).alias("doc_id"), "text"))
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key))
     return named.join(first, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 from test_linededup import brute as brute_lines
-from test_simhash import brute_components, brute_fingerprint
+from test_similar import brute as brute_groups
 
 import corpus_pipeline
 from changelake.llm import packing, pii, toxicity
@@ -65,7 +65,7 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
             assert sum(n > 0 for *_, n in brute_lines(before)) >= 2
         elif name == "simhash":
             ids = {(i, t): 10**9 if i is None else i for i, t in before}
-            low = brute_components([(ids[d], brute_fingerprint(d[1])) for d in before])
+            low = brute_groups([(ids[d], d[1]) for d in before])
             want = [d for d in before if low[ids[d]] == ids[d]]
             assert len(want) < len(before)
         else:
@@ -79,3 +79,22 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
 def test_run(spark, folder):
     got = corpus_pipeline.run(spark, folder).toPandas()
     assert (got.groupby("sequence_id").length.sum() <= packing.ROOM).all() and len(got) > 50
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_stages_take_any_columns(spark, tmp_path, empty):
+    schema = "doc_id long, text string, score double, predicted int, key string, n_lines int, removed_lines int, id long, h long, fp long, component_id long, row long, word string, bits long"
+    rows = [] if empty else [(i, t, 0.5, 1, "k", 1, 1, 1, 1, 1, 1, 1, "w", 1) for i, t in [(1, "one two three"), (1, "one two three"), (None, "nobody's"), (2, None), (3, ""), (4, "long " * 40_000), (None, None)]]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert out.schema == docs.schema
+        out.write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+        kept = sorted((r.doc_id or 0) for r in docs.collect())
+        # Equal rows are near copies of one another; texts without words are as well, and ids come before none.
+        want = {"simhash": [0, 1, 2, 4], "pii": [0, 1, 2, 4]}.get(name, [0, 0, 1, 1, 2, 3, 4])
+        if name != "packing":
+            assert kept == ([] if empty else want), name
