@@ -28,7 +28,7 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts have about `limit` bytes at most, or one row."""
     for batch in batches:
         if not batch.num_rows:
