@@ -1,14 +1,16 @@
-"""Removal of repeated passages by content-defined chunks of lines.
+"""Removal of repeated passages of lines, by windows of words and content-defined chunks.
 
-A rolling hash over the hashes of neighbouring lines says where a chunk ends, so chunk boundaries follow the content and come out alike wherever a
-passage stands. Chunks of several lines, and single lines of many words, are looked up by hash over the whole corpus; the first place of each
-keeps it, and every other place loses it once its bytes have been compared with those of the first.
+Every run of LONG words or more that stands elsewhere first is the union of its windows: for each line, the shortest runs of LONG words or more that begin
+or end with it. A rolling hash over the hashes of neighbouring lines cuts texts into chunks besides, whose boundaries follow the content, so that chunks of
+several lines are found even if they have fewer words. Windows, chunks of several lines and whole texts are looked up by hash over the whole corpus; the
+first place of each keeps it, and every other place loses it once its bytes have been compared with those of the first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from changelake.llm.frames import fresh, settle, slices
 
-#: On average every MEAN-th line ends a chunk; LONG words make a line a chunk of its own; a chunk has MOST lines at most.
+#: On average every MEAN-th line ends a chunk; LONG words make a window, and a line a chunk of its own; a chunk has MOST lines at most.
 WINDOW, MEAN, LONG, MOST = 2, 3, 50, 256
 #: Bits of the filter that keeps most documents without repeats out of a shuffle, by the power of two: 8 MB, whatever the corpus.
 FILTER_LOG2 = 26
@@ -25,57 +27,116 @@ FACTOR, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
     """(first line, line after the last) of all chunks, in order; together they are all lines."""
+    return _chunks([xxhash.xxh64_intdigest(x) for x in lines], [len(x.split()) >= LONG for x in lines])
+
+
+def _chunks(hashes: list[int], long: list[bool]) -> list[tuple[int, int]]:
     out, start = [], 0
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(x) for x in lines]
-    long = [len(x) >= 2 * LONG - 1 and len(x.split()) >= LONG for x in lines]
-    for i in range(len(lines)):
+    for i in range(len(hashes)):
         roll = 0
         for h in hashes[max(0, i - WINDOW + 1) : i + 1]:
             roll = (roll * FACTOR + h) & MASK
-        if long[i] or (i + 1 < len(lines) and long[i + 1]) or (i and (roll >> 32) % MEAN == 0) or i + 1 - start == MOST or i + 1 == len(lines):
+        if long[i] or (i + 1 < len(long) and long[i + 1]) or (i and (roll >> 32) % MEAN == 0) or i + 1 - start == MOST or i + 1 == len(long):
             out.append((start, i + 1))
             start = i + 1
     return out
 
 
-def candidates(lines: list[bytes]) -> list[tuple[int, int, int]]:
-    """(first line, line after the last, signed hash) of the chunks that may be removed: several lines, not all empty, or one of LONG words."""
-    out = []
-    for a, b in chunks(lines):
-        if b - a > 1 or len(lines[a].split()) >= LONG:
-            body = b"\n".join(lines[a:b])
-            if body.strip():
-                out.append((a, b, xxhash.xxh64_intdigest(body) - (1 << 63)))
+def windows(words: list[int]) -> set[tuple[int, int]]:
+    """(first line, line after the last) of the shortest runs of LONG words or more from each line and up to each line, by the lines' words.
+
+    Lines without words neither begin nor end one. Any run of LONG words or more is a union of such windows, but for lines without words at its ends.
+    """
+    filled = [i for i, n in enumerate(words) if n]
+    out, first, last, total = set(), 0, 0, 0
+    for i in filled:
+        while last < len(filled) and total < LONG:
+            total += words[filled[last]]
+            last += 1
+        if total < LONG:
+            break
+        out.add((i, filled[last - 1] + 1))
+        total -= words[i]
+    total = 0
+    for i in filled:
+        total += words[i]
+        while total - words[filled[first]] >= LONG:
+            total -= words[filled[first]]
+            first += 1
+        if total >= LONG:
+            out.add((filled[first], i + 1))
     return out
 
 
+def candidates(lines: list[bytes]) -> list[tuple[int, int, int]]:
+    """(first line, line after the last, signed hash) of the runs that may be removed: windows, and chunks of several lines and the whole text, if not all empty."""
+    hashes = [xxhash.xxh64_intdigest(x) for x in lines]
+    words = [len(x.split()) for x in lines]
+    found = windows(words)
+    found.update((a, b) for a, b in [*_chunks(hashes, [n >= LONG for n in words]), (0, len(lines))] if b - a > 1 and any(words[a:b]))
+    packed = np.array(hashes, dtype="<u8").tobytes()
+    return [(a, b, xxhash.xxh64_intdigest(packed[8 * a : 8 * b]) - (1 << 63)) for a, b in sorted(found)]
+
+
 def _lines(column: pa.Array) -> list[list[bytes]]:
     return [(t or b"").split(b"\n") for t in column.cast(pa.binary()).to_pylist()]
 
 
+def _batch(rows: list[tuple], **types: pa.DataType) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ([],) * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
+
+
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        ids, rows = batch.column(0).to_pylist(), []
-        for doc, lines in zip(ids, _lines(batch.column(1)), strict=True):
-            rows += [(doc, a, h) for a, _, h in candidates(lines)]
-        columns = zip(*rows, strict=True) if rows else ([], [], [])
-        types = (pa.int64(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "line", "h"])
+        rows = []
+        for doc, t, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lines(batch.column(2)), strict=True):
+            rows += [(doc, t, a, b - a, h) for a, b, h in candidates(lines)]
+        yield _batch(rows, id=pa.int64(), t=pa.int64(), line=pa.int32(), n=pa.int32(), h=pa.int64())
+
+
+def cover(runs: list[tuple[int, int, int]]) -> list[int]:
+    """Numbers of few of the runs (first line that goes, line after the last, any), which have all the lines of all: no line is in more than two."""
+    order = sorted(range(len(runs)), key=lambda i: runs[i][:2])
+    out, end, at = [], -1, 0
+    while at < len(order):
+        best, limit = order[at], max(end, runs[order[at]][0])
+        while at < len(order) and runs[order[at]][0] <= limit:
+            best = max(best, order[at], key=lambda i: runs[i][1])
+            at += 1
+        if runs[best][1] > end:
+            out.append(best)
+            end = runs[best][1]
+    return out
+
+
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text's repeated runs those that cover all. Where a run overlaps its own first place, the lines of that place stay."""
+    for batch in batches:
+        rows = []
+        for doc, t, listed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            runs = []
+            for r in listed:
+                at = r["at"]
+                own = at["id"] == doc and at["t"] == t
+                start = max(r["line"], at["line"] + r["n"]) if own else r["line"]
+                runs.append((start, r["line"] + r["n"], r))
+            for i in cover(runs):
+                start, _, r = runs[i]
+                at = r["at"]
+                rows.append((doc, t, r["line"], r["n"], r["h"], start - r["line"], at["id"], at["t"], at["line"]))
+        long, int_ = pa.int64(), pa.int32()
+        yield _batch(rows, id=long, t=long, line=int_, n=int_, h=long, skip=int_, id0=long, t0=long, line0=int_)
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the marked chunks of each text."""
+    """The bytes of the listed runs of each text."""
     for batch in slices(batches, "text"):
         rows = []
-        for doc, lines, marks in zip(batch.column(0).to_pylist(), _lines(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            want = {(m["line"], m["h"]): m["first"] for m in marks}
-            for a, b, h in candidates(lines):
-                if (a, h) in want:
-                    rows.append((doc, a, b - a, h, want[a, h], b"\n".join(lines[a:b])))
-        columns = zip(*rows, strict=True) if rows else ([],) * 6
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "line", "n", "h", "first", "body"])
+        for doc, t, lines, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lines(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+            rows += [(doc, t, r["line"], r["n"], r["h"], r["skip"], b"\n".join(lines[r["line"] : r["line"] + r["n"]])) for r in listed]
+        long, int_ = pa.int64(), pa.int32()
+        yield _batch(rows, id=long, t=long, line=int_, n=int_, h=long, skip=int_, body=pa.binary())
 
 
 def _maybe(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -93,27 +154,31 @@ def _maybe(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, n_lines: str = "n_lines", removed_lines: str = "removed_lines") -> DataFrame:
-    """`docs` (doc_id, text and any other columns) with repeated chunks cut from text, and how many lines a text had and lost.
+    """`docs` (doc_id, text and any other columns) with repeated runs of lines cut from text, and how many lines a text had and lost.
 
-    Of all places of a chunk, the one with the smallest (doc_id, line) stays, so rows that share a doc_id and a text, null ids included, are one
-    document and keep or lose the same lines. A chunk whose hash repeats but whose bytes differ from the first one's stays. Texts without
-    repeats are returned unchanged; a null text stays null and has no lines; a text that is repeated as a whole becomes empty. All rows come back, an
-    empty table gives an empty one, and columns with the names of the two counts are replaced.
+    Of all places of a run, the one with the smallest (doc_id, line) stays, so rows that share a doc_id and a text, null ids included, are one
+    document and keep or lose the same lines. A run whose hash repeats but whose bytes differ from the first one's stays. Texts without
+    repeats are returned unchanged; a null text stays null and has no lines; a text of several lines, or of LONG words, that is repeated as a whole becomes
+    empty. All rows come back, an empty table gives an empty one, and columns with the names of the two counts are replaced.
     """
     docs = docs.drop(n_lines, removed_lines)
-    key, other, listed = fresh(docs, "key", "other", "listed")
-    plain = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = plain.mapInArrow(_found, "id long, line int, h long")
-    first = rows.groupBy("h").agg(F.count("*").alias("places"), F.min(F.struct("id", "line")).alias("at")).where("places > 1")
-    marked = rows.join(first, "h").select("id", "h", "line", (F.col("id").eqNullSafe(F.col("at.id")) & (F.col("line") == F.col("at.line"))).alias("first"))
-    marks = settle(marked.groupBy(F.col("id").alias(other)).agg(F.collect_set(F.struct("line", "h", "first")).alias(listed)))
-    dealt = docs.withColumn(key, F.col("doc_id").cast("long"))
-    having = _maybe(dealt, key, marks.select(other)).join(marks, F.col(key).eqNullSafe(F.col(other))).select(key, "text", listed)
-    bodies = settle(having.mapInArrow(_bodies, "id long, line int, n int, h long, first boolean, body binary").distinct())
-    kept = bodies.where("first").select("h", F.col("body").alias("kept"))
-    same = bodies.where("not first").join(kept, "h").where("body = kept")
-    cuts = same.groupBy(F.col("id").alias(other)).agg(F.collect_set(F.struct("line", "n", "h")).alias(listed))
-    both = dealt.join(cuts, F.col(key).eqNullSafe(F.col(other)), "left").drop(key, other)
+    key, sum_, other, others, listed = fresh(docs, "key", "sum", "other", "others", "listed")
+    dealt = docs.withColumns({key: F.col("doc_id").cast("long"), sum_: F.xxhash64("text")})
+    rows = dealt.select(F.col(key).alias("id"), F.col(sum_).alias("t"), "text").mapInArrow(_found, "id long, t long, line int, n int, h long")
+    first = settle(rows.groupBy("h").agg(F.count("*").alias("places"), F.min(F.struct("id", "line", "t")).alias("at")).where("places > 1").select(F.col("h").alias("same"), "at"))
+    marked = _maybe(rows, "h", first.select("same")).join(first, F.col("h") == F.col("same")).where(~(F.col("id").eqNullSafe(F.col("at.id")) & (F.col("line") == F.col("at.line"))))
+    runs = marked.groupBy("id", "t").agg(F.collect_set(F.struct("line", "n", "h", "at")).alias("runs"))
+    chosen = settle(runs.mapInArrow(_chosen, "id long, t long, line int, n int, h long, skip int, id0 long, t0 long, line0 int"))
+    kept_ = chosen.select(F.col("id0").alias("id"), F.col("t0").alias("t"), F.col("line0").alias("line"), "n", "h", F.lit(-1).alias("skip"))
+    wanted = chosen.select(*kept_.columns).unionByName(kept_)
+    marks = settle(wanted.groupBy(F.col("id").alias(other), F.col("t").alias(others)).agg(F.collect_set(F.struct("line", "n", "h", "skip")).alias(listed)))
+    met = F.col(key).eqNullSafe(F.col(other)) & (F.col(sum_) == F.col(others))
+    having = _maybe(dealt, sum_, marks.select(others)).join(marks, met).select(key, sum_, "text", listed)
+    bodies = settle(having.mapInArrow(_bodies, "id long, t long, line int, n int, h long, skip int, body binary"))
+    kept = bodies.where("skip < 0").groupBy("h", "n").agg(F.min("body").alias("kept"))
+    same = bodies.where("skip >= 0").join(kept, ["h", "n"]).where("body = kept")
+    cuts = same.groupBy(F.col("id").alias(other), F.col("t").alias(others)).agg(F.collect_set(F.struct((F.col("line") + F.col("skip")).alias("a"), (F.col("line") + F.col("n")).alias("b"))).alias(listed))
+    both = dealt.join(cuts, met, "left").drop(key, sum_, other, others)
     place, where = docs.columns.index("text"), len(docs.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,10 +189,8 @@ def deduplicate(docs: DataFrame, n_lines: str = "n_lines", removed_lines: str =
                 lines = text.split(b"\n") if text is not None else []
                 gone: set[int] = set()
                 if cuts_ and text is not None:
-                    there = {(a, h): b for a, b, h in candidates(lines)}
                     for c in cuts_:
-                        if (c["line"], c["h"]) in there:
-                            gone.update(range(c["line"], c["line"] + c["n"]))
+                        gone.update(range(c["a"], c["b"]))
                 texts.append(b"\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
                 counts.append(len(lines))
                 removed.append(len(gone))

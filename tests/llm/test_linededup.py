@@ -73,3 +73,55 @@ def test_long_passages_stay_once(spark):
 
 def test_empty(spark):
     assert linededup.deduplicate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def repeated(rows, least=50):
+    """The lines that stand in runs of `least` words or more whose equal stands at a smaller (doc_id, line), by (doc_id, line), from all pairs of lines."""
+    lines = {i: t.split("\n") for i, t in rows}
+    places = {}
+    for i in sorted(lines):
+        for a, x in enumerate(lines[i]):
+            places.setdefault(x, []).append((i, a))
+    out = set()
+    for at in places.values():
+        for low in range(len(at)):
+            for i, a in at[low + 1 :]:
+                j, b = at[low]
+                n = 0
+                while a + n < len(lines[i]) and b + n < len(lines[j]) and lines[i][a + n] == lines[j][b + n]:
+                    n += 1
+                if sum(len(x.split()) for x in lines[i][a : a + n]) >= least:
+                    out.update((i, a + k) for k in range(n))
+    return out
+
+
+def test_runs_of_short_lines_against_all_pairs_of_lines(spark):
+    rng = random.Random(17)
+    own = lambda n: [" ".join(f"w{rng.randint(0, 10**9)}" for _ in range(rng.randint(1, 30))) for _ in range(n)]
+    passages, docs = [own(rng.randint(1, 9)) for _ in range(12)], {}
+    for i in range(80):
+        lines = own(rng.randint(0, 4))
+        for p in rng.sample(passages, rng.randint(0, 3)):
+            a, at = rng.randint(0, 2), rng.randint(0, len(lines))
+            lines[at:at] = p[a : len(p) - rng.randint(0, 2)]
+        docs[i] = lines
+    docs[80] = docs[3]
+    rows = [(i, "\n".join(lines)) for i, lines in docs.items()]
+    want = repeated(rows)
+    got = linededup.deduplicate(spark.createDataFrame([(*r, "", "", 0, 0) for r in rows], SCHEMA)).collect()
+    left = {(r.doc_id, x) for r in got for x in r.text.split("\n")}
+    assert len(want) > 100 and not [w for w in want if (w[0], docs[w[0]][w[1]]) in left]
+    # Besides, only chunks of several lines go, and a whole text.
+    first, more = {}, set()
+    for i, lines in docs.items():
+        lines = [x.encode() for x in lines]
+        for a, b in {*linededup.chunks(lines), (0, len(lines))}:
+            if b - a > 1 and first.setdefault(tuple(lines[a:b]), i) != i:
+                more.update((i, k) for k in range(a, b))
+    assert {r.doc_id: r.removed_lines for r in got} == {i: sum((i, a) in want | more for a in range(len(docs[i]))) for i in docs}
+
+
+def test_a_passage_that_overlaps_itself_keeps_its_first_place(spark):
+    verse = ["ten words of a refrain that comes again and again"] * 30
+    (got,) = linededup.deduplicate(spark.createDataFrame([(1, "\n".join(verse), "", "", 0, 0)], SCHEMA)).collect()
+    assert got.text.split("\n") == verse[: 30 - got.removed_lines] and len(got.text.split()) >= 50
