@@ -69,11 +69,13 @@ def windows(words: list[int]) -> set[tuple[int, int]]:
 
 
 def candidates(lines: list[bytes]) -> list[tuple[int, int, int]]:
-    """(first line, line after the last, signed hash) of the runs that may be removed: windows, and chunks of several lines and the whole text, if not all empty."""
+    """(first line, line after the last, signed hash) of the runs that may be removed: windows, and chunks of several lines and the whole text, with and without the empty lines at its ends, if not all empty."""
     hashes = [xxhash.xxh64_intdigest(x) for x in lines]
     words = [len(x.split()) for x in lines]
     found = windows(words)
-    found.update((a, b) for a, b in [*_chunks(hashes, [n >= LONG for n in words]), (0, len(lines))] if b - a > 1 and any(words[a:b]))
+    filled = [i for i, n in enumerate(words) if n]
+    whole = [(0, len(lines)), (filled[0], filled[-1] + 1)] if filled else []
+    found.update((a, b) for a, b in [*_chunks(hashes, [n >= LONG for n in words]), *whole] if b - a > 1 and any(words[a:b]))
     packed = np.array(hashes, dtype="<u8").tobytes()
     return [(a, b, xxhash.xxh64_intdigest(packed[8 * a : 8 * b]) - (1 << 63)) for a, b in sorted(found)]
 

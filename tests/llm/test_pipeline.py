@@ -98,3 +98,14 @@ def test_stages_take_any_columns(spark, tmp_path, empty):
         want = {"simhash": [0, 1, 2, 4], "pii": [0, 1, 2, 4]}.get(name, [0, 0, 1, 1, 2, 3, 4])
         if name != "packing":
             assert kept == ([] if empty else want), name
+
+
+def test_exact_copies_of_several_lines_leave_one_document(spark, tmp_path):
+    rng = random.Random(23)
+    texts = ["\n".join(" ".join(f"w{rng.randint(0, 10**9)}" for _ in range(rng.randint(1, top))) for _ in range(rng.randint(2, 7))) for top in (4, 12, 30, 60) for _ in range(15)]
+    rows = [(i, texts[i % 60] + "\n" * (i >= 120 and i % 60 >= 45), 0) for i in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    corpus_pipeline.dedup_lines(spark, docs, "").write.parquet(f"{tmp_path}/lines")
+    docs = spark.read.parquet(f"{tmp_path}/lines")
+    assert sorted((r.doc_id, r.text) for r in docs.collect()) == [(i, t) for i, t, _ in rows[:60]]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == list(range(60))
