@@ -3,8 +3,9 @@
 A fingerprint of 128 bits over a document's distinct shingles is cut into PARTS parts, each with the covering masks of RADIUS. If two fingerprints differ in fewer
 than PARTS * (RADIUS + 1) bits, some part differs in RADIUS bits or fewer, and the pair meets in one of that part's tables. Documents of 0.8 similarity differ in about
 15 % of the bits; most of those beyond the radius still meet by chance in some table. In a bucket, pairs within NEAR bits
-are linked by a spanning forest of the nearest ones; its edges are verified on the whole shingle sets. A bucket of over HELD members is cut into blocks, and every
-pair of blocks is searched in a task of its own.
+are linked by a spanning forest of the nearest ones; its edges are verified on the whole shingle sets. Where an edge fails and leaves two verified components apart,
+the other pairs between such components are verified in further rounds, the nearest TRIED ones of each document first and four times as many each round, until none
+is left. A bucket of over HELD members is cut into blocks, and every pair of blocks is searched in a task of its own.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from changelake.llm.frames import settle, slices, sorted_groups, texts_of
 from changelake.llm.simhash import masks, signed
 
 WIDTH, SIMILARITY = 5, 0.8
-PARTS, RADIUS, NEAR, HELD = 4, 4, 34, 2048
+PARTS, RADIUS, NEAR, HELD, TRIED = 4, 4, 34, 2048, 8
 SEED = 42
 
 
@@ -107,62 +108,86 @@ def _forest(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> list[tuple[int, int]
     return edges
 
 
-def _edges(c: dict[str, np.ndarray], bounds: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
-    edges = _forest(*_close(c, bounds, near))
-    a, b = np.array(edges, dtype=np.int64).reshape(-1, 2).T
-    return c["node"][a], c["node"][b]
+def _edges(c: dict[str, np.ndarray], bounds: np.ndarray, near: int, tried: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges and their kinds: -1 is to be verified, -2 stands for pairs between two components that are left for later.
+
+    Without roots, a spanning forest is to be verified. With roots, all pairs between different roots are that are among the `tried` nearest of one of their ends.
+    """
+    i, j, d = _close(c, bounds, near)
+    if "root" not in c:
+        a, b = np.array(_forest(i, j, d), dtype=np.int64).reshape(-1, 2).T
+        return c["node"][a], c["node"][b], np.full(a.size, -1)
+    apart = c["root"][i] != c["root"][j]
+    i, j, d = i[apart], j[apart], d[apart]
+    ends, far = np.concatenate([i, j]), np.concatenate([d, d])
+    order = np.lexsort((far, ends))
+    starts = np.flatnonzero(np.diff(ends[order], prepend=-1))
+    rank = np.empty(ends.size, dtype=np.int64)
+    rank[order] = np.arange(ends.size) - np.repeat(starts, np.diff(np.append(starts, ends.size)))
+    now = np.minimum(rank[: i.size], rank[i.size :]) < tried
+    # One row for all rows of a root in a group.
+    group = np.repeat(np.arange(bounds.size - 1), np.diff(bounds))
+    _, one, of = np.unique(np.stack([group, c["root"]]), axis=1, return_index=True, return_inverse=True)
+    row = one[of.reshape(-1)]
+    x, y = np.array(_forest(row[i[~now]], row[j[~now]], d[~now]), dtype=np.int64).reshape(-1, 2).T
+    a, b = np.concatenate([i[now], x]), np.concatenate([j[now], y])
+    return c["node"][a], c["node"][b], np.repeat([-1, -2], [int(now.sum()), x.size])
 
 
 COLUMNS = ["t", "key", "node", "f1", "f2"]
 
 
-def _met(batches: Iterator[pa.RecordBatch], held: int, near: int) -> Iterator[pa.RecordBatch]:
-    """Edges (t -1, between key and node) of sorted buckets, and the rows of buckets too large to hold, unchanged."""
+def _met(batches: Iterator[pa.RecordBatch], held: int, near: int, tried: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Edges (t -1 or -2, between key and node) of sorted buckets, and the rows of buckets too large to hold, unchanged."""
     rest: list[dict[str, np.ndarray]] = []
 
     def out(*columns):
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, dtype=np.int64)) for x in columns], names=COLUMNS)
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, dtype=np.int64)) for x in columns], names=names)
 
-    for c, bounds in sorted_groups(batches, ["t", "key"], ["node", "f1", "f2"], held, rest.append):
+    for c, bounds in sorted_groups(batches, ["t", "key"], names[2:], held, rest.append):
         while rest:
-            yield out(*(rest[-1][n] for n in COLUMNS))
+            yield out(*(rest[-1][n] for n in names))
             rest.pop()
         several = np.diff(bounds) > 1
         keep = np.repeat(several, np.diff(bounds))
         if keep.any():
             sizes = np.diff(bounds)[several]
-            a, b = _edges({n: c[n][keep] for n in COLUMNS}, np.concatenate([[0], np.cumsum(sizes)]), near)
+            a, b, kind = _edges({n: c[n][keep] for n in names}, np.concatenate([[0], np.cumsum(sizes)]), near, tried)
             if a.size:
-                yield out(np.full(a.size, -1), a, b, np.zeros(a.size), np.zeros(a.size))
+                yield out(kind, a, b, *(np.zeros(a.size) for _ in names[3:]))
     while rest:
-        yield out(*(rest[-1][n] for n in COLUMNS))
+        yield out(*(rest[-1][n] for n in names))
         rest.pop()
 
 
-def _blocks(table: pa.Table, near: int) -> pa.Table:
-    c = {n: np.asarray(table.column(n)) for n in ("node", "f1", "f2")}
-    a, b = _edges(c, np.array([0, table.num_rows]), near)
-    return pa.table({"key": a, "node": b})
+def _blocks(table: pa.Table, near: int, tried: int, names: list[str]) -> pa.Table:
+    c = {n: np.asarray(table.column(n)) for n in names[2:]}
+    a, b, kind = _edges(c, np.array([0, table.num_rows]), near, tried)
+    return pa.table({"t": pa.array(kind, pa.int64()), "key": a, "node": b})
+
 
+def candidates(classes: DataFrame, held: int = HELD, near: int = NEAR, tried: int = TRIED) -> DataFrame:
+    """Distinct edges (a, b, later) between the nodes of `classes` (node, f1, f2), which connect what pairs within `near` bits that meet in a table do.
 
-def candidates(classes: DataFrame, held: int = HELD, near: int = NEAR) -> DataFrame:
-    """Distinct edges (a, b) between the nodes of `classes` (node, f1, f2), which connect what pairs within `near` bits that meet in a table do."""
+    If the classes have a root each, edges join different roots only: those to be verified, and, as later, some that connect the roots of all other pairs.
+    """
     bits = 128 // PARTS
     tables = []
     for part in range(PARTS):
         column, shift = ("f1", "f2")[part * bits // 64], part * bits % 64
         tables += [F.struct(F.lit(len(tables) + n).cast("long").alias("t"), F.col(column).bitwiseAND(F.lit(signed(m << shift))).alias("key")) for n, m in enumerate(masks(RADIUS, bits))]
-    rows = classes.select("node", "f1", "f2", F.explode(F.array(*tables)).alias("x")).select("x.t", "x.key", "node", "f1", "f2")
-    schema = ", ".join(f"{n} long" for n in COLUMNS)
-    met = settle(rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(lambda it: _met(it, held, near), schema))
-    edges = met.where("t < 0").select("key", "node")
+    names = [*COLUMNS, *(["root"] if "root" in classes.columns else [])]
+    rows = classes.select(*names[2:], F.explode(F.array(*tables)).alias("x")).select("x.t", "x.key", *names[2:])
+    schema = ", ".join(f"{n} long" for n in names)
+    met = settle(rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(lambda it: _met(it, held, near, tried, names), schema))
+    edges = met.where("t < 0").select("t", "key", "node")
     large = met.where("t >= 0")
     if not large.isEmpty():
         counts = large.groupBy("t", "key").agg(F.ceil(F.count("*") / held).cast("int").alias("blocks"))
         blocked = large.join(counts, ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-        edges = edges.unionByName(dealt.groupBy("t", "key", "low", "high").applyInArrow(lambda t: _blocks(t, near), "key long, node long"))
-    return edges.select(F.least("key", "node").alias("a"), F.greatest("key", "node").alias("b")).where("a < b").distinct()
+        edges = edges.unionByName(dealt.groupBy("t", "key", "low", "high").applyInArrow(lambda t: _blocks(t, near, tried, names), "t long, key long, node long"))
+    return edges.select(F.least("key", "node").alias("a"), F.greatest("key", "node").alias("b"), (F.col("t") == -2).alias("later")).where("a < b").distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -177,6 +202,16 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
+def _sure(texts: DataFrame, edges: DataFrame, width: int, least: float) -> DataFrame:
+    """The edges (a, b) whose texts are similar."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = texts.join(ends, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, width), "node long, set binary")
+    sets = settle(sets.groupBy("node").agg(F.min("set").alias("set")))
+    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
+    pairs = edges.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return settle(pairs.mapInArrow(lambda it: _verified(it, least), "a long, b long"))
+
+
 def groups(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY, held: int = HELD, near: int = NEAR) -> DataFrame:
     """(doc_id, component_id) for each distinct doc_id of `docs` (doc_id, text): the smallest one that chains of verified similarities of `least` or more reach.
 
@@ -188,12 +223,20 @@ def groups(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY, held:
     rows = settle(marks.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "f1", "f2")).alias("m")).select("doc_id", "m.*"))
     classes = settle(rows.groupBy("h1", "h2", "f1", "f2").agg(F.min("doc_id").alias("node")))
     edges = settle(candidates(classes.select("node", "f1", "f2"), held, near))
-    ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = texts.join(ends, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, width), "node long, set binary")
-    sets = settle(sets.groupBy("node").agg(F.min("set").alias("set")))
-    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    pairs = edges.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    sure = pairs.mapInArrow(lambda it: _verified(it, least), "a long, b long")
-    roots = components(sure)
-    named = classes.join(roots, "node", "left").select("h1", "h2", "f1", "f2", F.coalesce("root", "node").alias("component_id"))
+    roots = components(_sure(texts, edges, width, least))
+    named = settle(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    tried, left = TRIED, edges
+    while True:
+        # Edges that failed, or are left for later, and still have their ends apart; whatever pair is left starts in the component of such an end.
+        ends = [named.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
+        apart = left.join(ends[0], "a").join(ends[1], "b").where("root_a != root_b")
+        open_ = settle(apart.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct())
+        if open_.isEmpty():
+            break
+        edges = settle(candidates(named.join(open_, "root", "left_semi").select("node", "f1", "f2", "root"), held, near, tried))
+        sure = _sure(texts, edges.where("not later"), width, least)
+        joined = components(sure.join(ends[0], "a").join(ends[1], "b").select("root_a", "root_b")).select(F.col("node").alias("root"), F.col("root").alias("lower"))
+        named = settle(named.join(joined, "root", "left").withColumn("root", F.coalesce("lower", "root")).drop("lower"))
+        tried, left = 4 * tried, edges.where("later")
+    named = named.select("h1", "h2", "f1", "f2", F.col("root").alias("component_id"))
     return rows.join(named, ["h1", "h2", "f1", "f2"]).select("doc_id", "component_id")

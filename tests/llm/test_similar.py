@@ -70,5 +70,34 @@ def test_recall_at_the_threshold(spark):
     assert sum(got[i] == i - 1 for i in range(1, 400, 2)) >= 0.9 * 200
 
 
+@pytest.mark.parametrize("held", [2048, 50])
+def test_dense_groups_around_the_threshold(spark, held):
+    """Pairs of 0.8 similarity within 19 bits always meet, so their ends are joined whichever pairs of their buckets fail."""
+    rng, texts = random.Random(3), []
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(300)]
+    for edits in (3, 4, 5):
+        for _ in range(90):
+            w = base[:]
+            for at in rng.sample(range(300), edits):
+                w[at] = f"v{rng.randint(0, 10**9)}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.component_id for r in similar.groups(docs, held=held).collect()}
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)))) for t in texts]  # noqa: B905
+    alike = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    (batch,) = similar._marks(docs.select("doc_id", "text").coalesce(1).toArrow().combine_chunks().to_batches(), 5)
+    bits = [(a & (1 << 64) - 1) | (b & (1 << 64) - 1) << 64 for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+    near = [(i, j) for i, j in alike if (bits[i] ^ bits[j]).bit_count() < 20]
+    assert len(near) > 100 and [p for p in near if got[p[0]] != got[p[1]]] == []
+    low = {i: i for i in range(len(texts))}
+    for _ in texts:
+        before = dict(low)
+        for i, j in alike:
+            low[i] = low[j] = min(low[i], low[j])
+        if low == before:
+            break
+    assert all(low[got[i]] == low[i] for i in got)
+
+
 def test_empty(spark):
     assert similar.groups(spark.createDataFrame([], SCHEMA)).count() == 0
