@@ -1,10 +1,10 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field.
 
 The patterns give the base spans. The field adds others, such as numbers written without their country code, in unusual groups or masked signs. It
-works on windows around tokens with digits or a commercial at. A segmentation of a window is a sequence of entities of up to LONGEST tokens and of
-single other tokens; its score sums whole-segment features (length, overall shape, digit groups, checks, neighbouring words) and transitions.
-Training maximises the conditional likelihood of generated windows; decoding is a dynamic programme over boundaries and types that looks
-back LONGEST tokens at most. Outside windows no token can start or end an entity, so windows are decoded one by one, with the same result.
+works on windows of one line around tokens with digits or a commercial at. A segmentation of a window is a sequence of entities of up to LONGEST tokens
+and WIDEST signs, and of single other tokens, of any length; its score sums whole-segment features (length, overall shape, digit groups, checks,
+neighbouring words) and transitions. Training maximises the conditional likelihood of generated windows; decoding is a dynamic programme over boundaries and
+types that looks back LONGEST tokens at most. Outside windows no token can start or end an entity, so windows are decoded one by one, with the same result.
 """
 
 from __future__ import annotations
@@ -25,10 +25,13 @@ from changelake.llm.frames import slices, texts_of
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens in an entity at most; rounds and generated windows of training; the posterior that an added span must reach; weight decay.
 LONGEST, EPOCHS, EXAMPLES, SURE, DECAY, SEED = 6, 6, 1500, 0.9, 1e-3, 11
+#: Signs in an entity that the field adds, at most: the longest such number or address has far fewer.
+WIDEST = 80
 OTHER = "other"
-#: The contract's patterns, as they stand.
+#: The contract's patterns.
 AFTER_AT = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Tried at the starts of digit runs alone: what a later start in a run matches, the run's start does as well, and earlier.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -109,12 +112,15 @@ def _edges(token: str) -> tuple[int, int]:
 
 
 def windows(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of tokens, as (start, end) without surrounding signs, that may form an entity: a token with a digit or an at sign, and what may join such tokens."""
+    """Runs of tokens of one line, as (start, end) without surrounding signs, that may form an entity: a token with a digit or an at sign, and what may join such tokens."""
     if not CLUE.search(text):
         return
     run: list[tuple[int, int]] = []
     for m in TOKEN.finditer(text):
         token = m.group()
+        if run and text.find("\n", run[-1][1], m.start()) >= 0:
+            yield run
+            run = []
         if CLUE.search(token) or (run and len(token) <= 3 and not token[0].isalpha()):
             a, b = _edges(token)
             if m.end() - b > m.start() + a:
@@ -126,20 +132,21 @@ def windows(text: str) -> Iterator[list[tuple[int, int]]]:
         yield run
 
 
-def segments(text: str, run: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[str, ...]]:
-    """The features of every candidate segment, by its first token and the token after its last: whole-segment ones and the neighbouring words."""
-    out = {}
+def segments(text: str, run: list[tuple[int, int]]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+    """Every candidate segment, as its first token, the token after its last and its features: whole-segment ones and the neighbouring words.
+
+    A token of over WIDEST signs is a segment too, without features, and can only be another token.
+    """
     for i in range(len(run)):
         before = text[max(0, run[i][0] - 16) : run[i][0]].split()
         for j in range(i + 1, min(len(run), i + LONGEST) + 1):
             start, end = run[i][0], run[j - 1][1]
-            if end - start > 80:
-                break
-            if j > i + 1 and "\n" in text[start:end]:
+            if end - start > WIDEST:
+                if j == i + 1:
+                    yield i, j, ()
                 break
             after = text[end : end + 12].split()
-            out[i, j] = (*_whole(text[start:end]), f"before={before[-1].lower() if before else ''}"[:20], f"after={_shape(after[0]) if after else ''}"[:12])
-    return out
+            yield i, j, (*_whole(text[start:end]), f"before={before[-1].lower() if before else ''}"[:20], f"after={_shape(after[0]) if after else ''}"[:12])
 
 
 class Field:
@@ -149,23 +156,22 @@ class Field:
         self.weights = weights or {}
         self._sums: dict[tuple[str, ...], tuple[float, ...]] = {}
 
-    def scores(self, features: tuple[str, ...]) -> tuple[float, ...]:
-        """The score of a segment under each label."""
-        if features not in self._sums:
+    def scores(self, features: tuple[str, ...], single: bool) -> tuple[float, ...]:
+        """The score of a segment under each label: several tokens are no other token, and a segment without features is nothing else."""
+        key = (features, single)
+        if key not in self._sums:
             if len(self._sums) > 100_000:
                 self._sums.clear()
             w = self.weights
-            self._sums[features] = tuple(sum(w.get((y, f), 0.0) for f in features) for y in range(len(KINDS) + 1))
-        return self._sums[features]
-
-    def lattice(self, n: int, found: dict) -> list[list[tuple[int, int, int, float]]]:
-        """For each place, the segments that end there, as (first token, place, label, score)."""
-        out: list[list[tuple[int, int, int, float]]] = [[] for _ in range(n + 1)]
-        for (i, j), features in found.items():
-            s = self.scores(features)
-            for y in range(len(KINDS) + 1):
-                if y or j == i + 1:
-                    out[j].append((i, j, y, s[y]))
+            own = [sum(w.get((y, f), 0.0) for f in features) if features else -math.inf for y in range(1, len(KINDS) + 1)]
+            self._sums[key] = (sum(w.get((0, f), 0.0) for f in features) if single else -math.inf, *own)
+        return self._sums[key]
+
+    def lattice(self, n: int, found) -> list[list[tuple[int, tuple[float, ...]]]]:
+        """For each place, the segments that end there, as (first token, score by label)."""
+        out: list[list[tuple[int, tuple[float, ...]]]] = [[] for _ in range(n + 1)]
+        for i, j, features in found:
+            out[j].append((i, self.scores(features, j == i + 1)))
         return out
 
     def step(self, a: int, b: int) -> float:
@@ -173,53 +179,69 @@ class Field:
 
     def sums(self, n: int, arcs: list) -> tuple[list[list[float]], list[list[float]], float]:
         """Forward and backward log sums by place and label, and the log of the sum over all segmentations."""
-        labels = range(len(KINDS) + 1)
-        low = -math.inf
+        labels, low = range(len(KINDS) + 1), -math.inf
+        steps = [[self.step(x, y) for x in labels] for y in labels]
         forward = [[low] * len(labels) for _ in range(n + 1)]
         forward[0][0] = 0.0
         for j in range(1, n + 1):
             terms: list[list[float]] = [[] for _ in labels]
-            for i, _, y, s in arcs[j]:
-                terms[y] += [forward[i][x] + self.step(x, y) + s for x in labels if forward[i][x] > low]
+            for i, scores in arcs[j]:
+                before = [(x, f) for x, f in enumerate(forward[i]) if f > low]
+                for y in labels:
+                    if (s := scores[y]) > low:
+                        terms[y] += [f + steps[y][x] + s for x, f in before]
             forward[j] = [_logsum(t) for t in terms]
         backward = [[low] * len(labels) for _ in range(n + 1)]
         backward[n] = [0.0] * len(labels)
         starts: list[list] = [[] for _ in range(n + 1)]
-        for ends in arcs:
-            for arc in ends:
-                starts[arc[0]].append(arc)
+        for j, ends in enumerate(arcs):
+            for i, scores in ends:
+                starts[i].append((j, scores))
         for i in range(n - 1, -1, -1):
-            for x in labels:
-                backward[i][x] = _logsum([self.step(x, y) + s + backward[j][y] for _, j, y, s in starts[i] if backward[j][y] > low])
+            on = [(y, s + backward[j][y]) for j, scores in starts[i] for y, s in enumerate(scores) if s > low and backward[j][y] > low]
+            backward[i] = [_logsum([steps[y][x] + v for y, v in on]) for x in labels]
         return forward, backward, _logsum([f for f in forward[n] if f > low])
 
     def marginals(self, n: int, arcs: list) -> tuple[dict[tuple[int, int, int], float], dict[tuple[int, int], float], float]:
+        """The probabilities of segments with labels and of steps between labels, and the log of the sum over all segmentations."""
         forward, backward, total = self.sums(n, arcs)
         labels, low = range(len(KINDS) + 1), -math.inf
-        segments_, steps = {}, {}
-        for ends in arcs:
-            for i, j, y, s in ends:
-                p = 0.0
-                for x in labels:
-                    if forward[i][x] > low and backward[j][y] > low:
-                        q = math.exp(forward[i][x] + self.step(x, y) + s + backward[j][y] - total)
-                        p += q
-                        steps[x, y] = steps.get((x, y), 0.0) + q
-                segments_[i, j, y] = p
-        return segments_, steps, total
+        table = [[self.step(x, y) for x in labels] for y in labels]
+        taken = [[0.0] * len(labels) for _ in labels]
+        segments_ = {}
+        for j, ends in enumerate(arcs):
+            for i, scores in ends:
+                before = [(x, f) for x, f in enumerate(forward[i]) if f > low]
+                for y in labels:
+                    if scores[y] > low and backward[j][y] > low:
+                        p, rest = 0.0, scores[y] + backward[j][y] - total
+                        for x, f in before:
+                            q = math.exp(f + table[y][x] + rest)
+                            p += q
+                            taken[x][y] += q
+                        segments_[i, j, y] = p
+        return segments_, {(x, y): taken[x][y] for x in labels for y in labels if taken[x][y]}, total
+
+    def posterior(self, i: int, j: int, y: int, score: float, forward: list, backward: list, total: float) -> float:
+        """The probability of one segment with its label."""
+        return sum(math.exp(f + self.step(x, y) + score + backward[j][y] - total) for x, f in enumerate(forward[i]) if f > -math.inf)
 
     def decode(self, n: int, arcs: list) -> list[tuple[int, int, int]]:
         """The best segmentation: boundaries and labels together. Ties go to the segment that is listed first."""
         labels, low = range(len(KINDS) + 1), -math.inf
+        steps = [[self.step(x, y) for x in labels] for y in labels]
         best = [[low] * len(labels) for _ in range(n + 1)]
         back: list[list] = [[None] * len(labels) for _ in range(n + 1)]
         best[0][0] = 0.0
         for j in range(1, n + 1):
-            for i, _, y, s in arcs[j]:
-                for x in labels:
-                    v = best[i][x] + self.step(x, y) + s
-                    if v > best[j][y]:
-                        best[j][y], back[j][y] = v, (i, x)
+            for i, scores in arcs[j]:
+                for y in labels:
+                    if scores[y] == low:
+                        continue
+                    for x in labels:
+                        v = best[i][x] + steps[y][x] + scores[y]
+                        if v > best[j][y]:
+                            best[j][y], back[j][y] = v, (i, x)
         out, j = [], n
         y = max(labels, key=lambda k: best[n][k])
         while j > 0 and back[j][y]:
@@ -292,7 +314,7 @@ def train(examples: int = EXAMPLES, epochs: int = EPOCHS, seed: int = SEED) -> F
     for _ in range(examples):
         text, spans = generated(rng)
         for run in windows(text):
-            found = segments(text, run)
+            found = {(i, j): features for i, j, features in segments(text, run)}
             by = {(run[i][0], run[j - 1][1]): (i, j) for i, j in found}
             gold = [(*by[a, b], k + 1) for a, b, k in spans if (a, b) in by]
             inside = {t for i, j, _ in gold for t in range(i, j)}
@@ -302,7 +324,7 @@ def train(examples: int = EXAMPLES, epochs: int = EPOCHS, seed: int = SEED) -> F
         rng.shuffle(cases)
         for n, found, gold in cases:
             field._sums.clear()
-            segments_, steps, _ = field.marginals(n, field.lattice(n, found))
+            segments_, steps, _ = field.marginals(n, field.lattice(n, ((i, j, features) for (i, j), features in found.items())))
             g: dict[tuple[int, str], float] = {}
             for (i, j, y), p in segments_.items():
                 if p > 1e-4:
@@ -344,15 +366,15 @@ def all_spans(text: str, field: Field, base: list[tuple[int, int, int]] | None =
             k += 1
         if k < len(taken) and len(run) <= LONGEST and taken[k][0] <= run[0][0] and taken[k][1] >= run[-1][1]:
             continue  # all of the window is a base span
-        found = segments(text, run)
-        arcs = field.lattice(len(run), found)
+        arcs = field.lattice(len(run), segments(text, run))
         best = [s for s in field.decode(len(run), arcs) if s[2]]
         if not best:
             continue
-        posterior, _, _ = field.marginals(len(run), arcs)
+        forward, backward, total = field.sums(len(run), arcs)
         for i, j, y in best:
             a, b = run[i][0], run[j - 1][1]
-            if posterior[i, j, y] >= SURE and not any(p < b and a < q for p, q in taken[max(0, k - 1) :]):
+            score = next(s[y] for start, s in arcs[j] if start == i)
+            if field.posterior(i, j, y, score, forward, backward, total) >= SURE and not any(p < b and a < q for p, q in taken[max(0, k - 1) :]):
                 added.append((a, b, y - 1))
     return sorted({*base, *added}, key=lambda s: (s[0], s[2], s[1])) if added else base
 

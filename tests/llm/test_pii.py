@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import pytest
 
@@ -46,9 +47,8 @@ def test_dynamic_programme_against_enumeration(small):
             n = len(run)
             if n > 3:
                 continue
-            found = pii.segments(text, run)
-            arcs = small.lattice(n, found)
-            flat = [a for ends in arcs for a in ends]
+            arcs = small.lattice(n, pii.segments(text, run))
+            flat = [(i, j, y, s) for j, ends in enumerate(arcs) for i, scores in ends for y, s in enumerate(scores) if s > -math.inf]
             total, best, mass = 0.0, None, {}
             for size in range(1, n + 1):
                 for parts in itertools.product(flat, repeat=size):
@@ -82,6 +82,31 @@ def test_adds_and_keeps(small):
     assert pii.all_spans("plain words only", small) == []
 
 
+def test_long_tokens_are_other_tokens(small):
+    text = "call (555) 123-4567 now"
+    want = pii.all_spans(text, small)
+    assert want == [(5, 19, 3)]
+    url = " http://x.y/" + "a1b2c3" * 25
+    assert pii.all_spans(text + url, small) == want
+    assert pii.all_spans(f"{text[:-4]}{url} 7{url}", small) == want
+    assert [(a - len(url), b - len(url), k) for a, b, k in pii.all_spans(f"{url[1:]} {text}", small)] == want
+    dotted = "card 4111.1111.1111.1111 "
+    assert pii.all_spans(dotted + "9" * 134, small) == pii.all_spans(dotted, small) != []
+
+
+def test_windows_end_with_their_line():
+    assert [len(w) for w in pii.windows("1 2\n3 4 5\n\nx 6")] == [2, 3, 1]
+
+
+def test_time_grows_with_the_text(small):
+    """Runs of digits, signs and numbers of a megabyte would take hours if any pattern started anew at each place."""
+    for text in ("1" * 1_000_000, "a@" * 500_000, "+1" * 500_000, "1.2." * 250_000, "1 " * 300_000):
+        start = time.perf_counter()
+        pii.base_spans(text)
+        assert time.perf_counter() - start < 20
+    assert pii.all_spans("12 345 6 " * 20_000, small) == []
+
+
 def test_columns(spark, small):
     texts = [None, "", "mail a@b.co", "4111111111111111 é +1 (988) 555-2485", "long word " * 30_000 + "a@b.co", "9" * 5000]
     rows = [(i, t, "clash", 1) for i, t in enumerate(texts)] + [(None, "a@b.co", "x", 1), (2, texts[2], "x", 1)]
