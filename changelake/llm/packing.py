@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelake.llm.frames import slices, texts_of
-from changelake.llm.words import SINGLE, Lexicon, Words
+from changelake.llm.words import SINGLE, Spellings, Words, ranges
 
 ROOM, GROUP, SWEEPS = 2048, 16_384, 6
 #: Lower-cased texts of these characters only, whose words are runs of letters, single digits or runs of other signs; any other text, or one
@@ -36,7 +36,7 @@ REMEMBERED = 1_000_000
 
 
 class Tokens:
-    """Token ids of texts. The ids of words are remembered by the words' hashes, as a word's ids do not depend on its context."""
+    """Token ids of texts. The ids of words are remembered by their spelling, as a word's ids do not depend on its context."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,27 +48,24 @@ class Tokens:
         self._forget()
 
     def _forget(self) -> None:
-        self.rows, self.ids, self.ends = Lexicon(), np.empty(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        self.known, self.ids, self.ends = Spellings(np.uint8), np.empty(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
-    def _learn(self, words: Words) -> np.ndarray:
+    def _rows(self, words: Words) -> np.ndarray:
         """The rows of all words; new ones go through the tokenizer, many at a time, a space between them."""
-        row = self.rows.find(words.hash)
-        if (new := np.flatnonzero(row < 0)).size:
-            if self.rows.size + new.size > REMEMBERED:
-                self._forget()
-                new = np.arange(words.hash.size)
-            hashes, first = np.unique(words.hash[new], return_index=True)
-            spelled = words.spelled(new[first])
+
+        def learn(numbers: np.ndarray) -> None:
+            spelled = words.spelled(numbers)
             got = [self.tokenizer.encode(b" ".join(spelled[i : i + 4096]).replace(b"\1", b"'").decode(), add_special_tokens=False).ids for i in range(0, len(spelled), 4096)]
             flat = np.array([x for ids in got for x in ids], dtype=np.uint32)
             ends = np.flatnonzero(self.last[flat]) + 1
-            if ends.size != hashes.size:
+            if ends.size != numbers.size:
                 raise ValueError("the tokenizer split a word")
             self.ends = np.concatenate([self.ends, self.ends[-1] + ends])
             self.ids = np.concatenate([self.ids, flat])
-            self.rows.add(hashes)
-            row = self.rows.find(words.hash)
-        return row
+
+        if self.known.size > REMEMBERED:
+            self._forget()
+        return self.known.rows(words.hash, words.units, words.from_, words.to, learn)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = [None] * len(texts)
@@ -82,11 +79,11 @@ class Tokens:
                 out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4")
         if plain:
             words = Words(lowered, KINDS)
-            row = self._learn(words)
+            row = self._rows(words)
             starts = self.ends[row]
             counts = self.ends[row + 1] - starts
             done = np.concatenate([[0], np.cumsum(counts)])
-            ids = self.ids[np.repeat(starts - done[:-1], counts) + np.arange(done[-1])].astype("<u4")
+            ids = self.ids[ranges(starts, counts)].astype("<u4")
             bounds = done[words.first].tolist()
             for i, a, b in zip(plain, bounds[:-1], bounds[1:], strict=True):
                 out[i] = ids[a:b]

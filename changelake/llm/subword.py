@@ -8,7 +8,8 @@ probabilities, so sampling arc by arc gives a whole segmentation with its probab
 Gumbel noise on all segmentations makes the k largest a sample without replacement. The largest is a path drawn arc by arc, with a Gumbel value for the
 whole space. For each of its arcs, all segmentations that leave the path there form a region; the largest value in a region is a Gumbel with the
 region's mass as its location, cut off at the value of the path. The next sample is in the region with the largest value, drawn in the
-same way, and so on. All noise is a hash of the row's key, the sample's number and the place, so results depend on nothing else.
+same way, and so on. All noise is a hash of the row's key, the sample's number and the place, so results depend on nothing else. Noise has 53 bits: an arc
+of a conditional probability below 2^-53 is never drawn.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelake.llm.frames import slices, texts_of
-from changelake.llm.words import BASE, INVERSE, Lexicon, mix
+from changelake.llm.words import BASE, INVERSE, Lexicon, Spellings, mix, ranges
 
 MARK = "▁"
 SAMPLES, ALPHA, SEED = 2, 1.0, 17
@@ -104,7 +105,14 @@ class Vocabulary:
         sums, down = _prefix_hashes(flat)
         ends = np.cumsum([len(p) for p in found])
         self.prefixes = Lexicon(18)
-        self.prefixes.add(_hash(sums, down, np.concatenate([[0], ends[:-1]]), ends))
+        hashes = _hash(sums, down, np.concatenate([[0], ends[:-1]]), ends)
+        if np.unique(hashes).size != hashes.size:
+            raise ValueError("two prefixes of pieces have one hash")
+        self.prefixes.add(hashes)
+        #: A prefix is the one before it, or none, and a letter.
+        number = {p: i for i, p in enumerate(found)}
+        self.shorter = np.array([number.get(p[:-1], -1) for p in found], dtype=np.int64)
+        self.letter = np.array([ord(p[-1]) for p in found], dtype=np.uint32)
         self.piece = np.array(list(found.values()), dtype=np.int64)
         self.score = np.full(len(model.pieces), low)
         for i, s in score.items():
@@ -140,13 +148,13 @@ class Lattices:
         self._forget()
 
     def _forget(self) -> None:
-        self.words, self.hashes = Lexicon(), np.empty(0, dtype=np.uint64)
+        self.words = Spellings(np.uint32)
         self.root, self.uses = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         #: By node, and one more at the end: the node's first arc.
         self.first, self.nodes = np.zeros(1 << 16, dtype=np.int32), 0
         self.arcs = 0
         self.target, self.id = np.empty(1 << 16, dtype=np.int32), np.empty(1 << 16, dtype=np.int32)
-        self.upto, self.logp = np.empty(1 << 16, dtype=np.float32), np.empty(1 << 16, dtype=np.float32)
+        self.upto, self.logp = np.empty(1 << 16), np.empty(1 << 16, dtype=np.float32)
 
     def _append(self, first: np.ndarray, target: np.ndarray, ids: np.ndarray, upto: np.ndarray, logp: np.ndarray) -> None:
         """Add nodes, as the ends of their arcs, and arcs. Arrays grow by half, so that a word is seldom copied."""
@@ -168,35 +176,31 @@ class Lattices:
         keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.uses.size // 2])
         ends = np.append(self.root[1:], self.nodes)
         sizes = (ends - self.root)[keep]
-        nodes = np.repeat(self.root[keep] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        nodes = ranges(self.root[keep], sizes)
         counts = (self.first[nodes + 1] - self.first[nodes]).astype(np.int64)
         first = np.concatenate([[0], np.cumsum(counts)])
-        arcs = np.repeat(self.first[nodes] - first[:-1], counts) + np.arange(first[-1])
+        arcs = ranges(self.first[nodes], counts)
         root = np.cumsum(sizes) - sizes
         moved = np.repeat(np.repeat(root - self.root[keep], sizes), counts)
         kept = (self.target[arcs] + moved).astype(np.int32), self.id[arcs], self.upto[arcs], self.logp[arcs]
-        uses, hashes = self.uses[keep] // 2, self.hashes[keep]
+        uses, words = self.uses[keep] // 2, self.words.kept(keep)
         self._forget()
         self._append(first[1:], *kept)
-        self.root, self.uses, self.hashes = root, uses, hashes
-        self.words.add(hashes)
+        self.root, self.uses, self.words = root, uses, words
 
     def rows(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The word numbers of these ranges of characters; new words get their lattices."""
         if self.arcs > KEPT:
             self._keep_half()
         sums, down = _prefix_hashes(points)
-        hashes = _hash(sums, down, starts, ends)
-        row = self.words.find(hashes)
-        if (new := np.flatnonzero(row < 0)).size:
-            unique, at = np.unique(hashes[new], return_index=True)
-            for i in range(0, unique.size, 20_000):
-                some = new[at[i : i + 20_000]]
+
+        def learn(numbers: np.ndarray) -> None:
+            for i in range(0, numbers.size, 20_000):
+                some = numbers[i : i + 20_000]
                 self._build(points, starts[some], ends[some], sums, down)
-            self.words.add(unique)
-            self.hashes = np.concatenate([self.hashes, unique])
-            self.uses = np.concatenate([self.uses, np.zeros(unique.size, dtype=np.int64)])
-            row = self.words.find(hashes)
+            self.uses = np.concatenate([self.uses, np.zeros(numbers.size, dtype=np.int64)])
+
+        row = self.words.rows(_hash(sums, down, starts, ends), points, starts, ends, learn)
         self.uses += np.bincount(row, minlength=self.uses.size)
         return row
 
@@ -214,14 +218,17 @@ class Lattices:
         place, node = starts[word] + within, root[word] + within
         width = v.longest
         piece = np.full((word.size, width), -1, dtype=np.int32)
-        live = np.arange(word.size)
+        live, before = np.arange(word.size), np.full(word.size, -1, dtype=np.int64)
         for n in range(1, width + 1):
-            live = live[left[live] >= n]
+            on = left[live] >= n
+            live, before = live[on], before[on]
             if not live.size:
                 break
             row = v.prefixes.find(_hash(sums, down, place[live], place[live] + n))
-            live, row = live[row >= 0], row[row >= 0]
-            piece[live, width - n] = v.piece[row]
+            # A hash only proposes a prefix: what it goes on from and its last letter must be the text's.
+            on = (row >= 0) & (v.shorter[row] == before) & (v.letter[row] == points[place[live] + n - 1])
+            live, before = live[on], row[on]
+            piece[live, width - n] = v.piece[before]
         # A character without a piece: the byte's piece, or below -1 the character itself if it has several bytes.
         lone = np.flatnonzero(piece[:, -1] < 0)
         cp = points[place[lone]].astype(np.int64)
@@ -278,7 +285,7 @@ class Lattices:
             live, arc = live[on], arc[on]
             if not live.size:
                 break
-            u = (mix(keys[live] + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+            u = (mix(keys[live] + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             more = np.flatnonzero(u >= self.upto[arc])
             while more.size:
                 arc[more] += 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
@@ -66,6 +68,11 @@ class Words:
         at = np.flatnonzero(self.text[:n] == self.text[offsets[-1] :])
         return at, chain(*(self.hash[at + o] for o in offsets), salt=salt)
 
+    @property
+    def units(self) -> np.ndarray:
+        """All texts' bytes, in which `from_` and `to` are places."""
+        return np.frombuffer(self.raw, dtype=np.uint8)
+
     def spelled(self, numbers: np.ndarray) -> list[bytes]:
         """The bytes of these words."""
         return [self.raw[a:b] for a, b in zip(self.from_[numbers].tolist(), self.to[numbers].tolist(), strict=True)]
@@ -111,3 +118,65 @@ class Lexicon:
             self.keys[slot[won]] = keys[won]
             lost = ~won
             keys, rows, slot = keys[lost], rows[lost], (slot[lost] + 1) & ((1 << self.log2) - 1)
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of ranges that follow each other, as one array."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+class Spellings:
+    """A lexicon whose rows are known by their letters: a hash finds a row, and the letters, once compared, confirm it.
+
+    Words whose hashes meet get another hash each, as often as it takes, so that every word has a row of its own.
+    """
+
+    def __init__(self, dtype: type):
+        self.lexicon, self.dtype = Lexicon(), dtype
+        self.hashes, self.ends, self.units = np.empty(0, dtype=np.uint64), np.zeros(1, dtype=np.int64), np.empty(1 << 16, dtype=dtype)
+
+    @property
+    def size(self) -> int:
+        return self.lexicon.size
+
+    def _add(self, hashes: np.ndarray, units: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        total, have = int(sizes.sum()), int(self.ends[-1])
+        if have + total > self.units.size:
+            self.units = np.concatenate([self.units[:have], np.empty((have + total) // 2 + total, dtype=self.dtype)])
+        self.units[have : have + total] = units[ranges(starts, sizes)]
+        self.ends = np.concatenate([self.ends, have + np.cumsum(sizes)])
+        self.hashes = np.concatenate([self.hashes, hashes])
+        self.lexicon.add(hashes)
+
+    def _same(self, rows: np.ndarray, units: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each range of units, none empty, is spelled as its row."""
+        same = self.ends[rows + 1] - self.ends[rows] == sizes
+        at = np.flatnonzero(same)
+        for i in range(0, at.size, 1 << 17):
+            some = at[i : i + (1 << 17)]
+            size = sizes[some]
+            equal = self.units[ranges(self.ends[rows[some]], size)] == units[ranges(starts[some], size)]
+            same[some] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+        return same
+
+    def rows(self, hashes: np.ndarray, units: np.ndarray, starts: np.ndarray, ends: np.ndarray, learn: Callable[[np.ndarray], None]) -> np.ndarray:
+        """The row of each word, given as a range of units with its hash. New words get the next rows, in the order in which `learn` is told their numbers."""
+        row, left, sizes, h = np.empty(hashes.size, dtype=np.int64), np.arange(hashes.size), ends - starts, hashes
+        while left.size:
+            found = self.lexicon.find(h)
+            if (new := np.flatnonzero(found < 0)).size:
+                unique, at = np.unique(h[new], return_index=True)
+                chosen = left[new[at]]
+                learn(chosen)
+                self._add(unique, units, starts[chosen], sizes[chosen])
+                found = self.lexicon.find(h)
+            same = self._same(found, units, starts[left], sizes[left])
+            row[left] = found
+            left, h = left[~same], mix(h[~same] + np.uint64(1))
+        return row
+
+    def kept(self, rows: np.ndarray) -> Spellings:
+        """A lexicon of these rows alone, in this order."""
+        out = Spellings(self.dtype)
+        out._add(self.hashes[rows], self.units, self.ends[rows], self.ends[rows + 1] - self.ends[rows])
+        return out

@@ -38,6 +38,17 @@ def test_forgetting(tokenizer, monkeypatch):
         assert [x.tolist() for x in coder.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_of_one_hash(tokenizer):
+    """A polynomial modulo 2^64 takes these two words for one, whatever its base."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = word.translate({97: "b", 98: "a"})
+    hashes = packing.Words([word.encode(), other.encode()], packing.KINDS).hash
+    assert word != other and hashes[0] == hashes[1]
+    coder = packing.Tokens(PATH)
+    for texts in ([word], [other], [f"x {word} y {other} z", other, word]):
+        assert [x.tolist() for x in coder.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_search_never_loses_items():
     for seed in range(20):
         rng = random.Random(seed)

@@ -96,6 +96,27 @@ def test_long_texts_and_independence_of_batches(lattice, monkeypatch):
     assert [x[0].tolist() for x in together[0]] == [[]] and len(together[1]) == 3
 
 
+def test_words_of_one_hash(monkeypatch):
+    """A polynomial modulo 2^64 takes these two words for one, whatever its base."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    texts = [word, word.translate({97: "b", 98: "a"}), "c"]
+    for kept in (subword.KEPT, 100):
+        monkeypatch.setattr(subword, "KEPT", kept)
+        own = subword.Lattices(PATH)
+        for some in ([0], [1], [0, 1, 2], [1, 0]):
+            rows = subword.sample(own, [texts[i] for i in some], np.array(some, dtype=np.uint64), 2)
+            assert [own.vocabulary.decode(r[0][0].tolist()) for r in rows] == [texts[i] for i in some]
+
+
+def test_rare_pieces_can_be_drawn(lattice):
+    """Noise has 53 bits, so cumulative probabilities are kept with as many."""
+    assert lattice.upto.dtype == np.float64
+    row = lattice.rows(subword._points("▁antidisestablishmentarianism"), np.array([0]), np.array([29]))
+    root = lattice.root[row[0]]
+    a, b = lattice.first[root], lattice.first[root + 1]
+    assert (np.diff(lattice.upto[a : b - 1]) > 0).all()
+
+
 def test_columns(spark):
     rows = [(1, "some text", "clash", "x"), (1, "some text", "clash", "x"), (2, None, "", ""), (None, "no id", "", ""), (None, "no id", "", ""), (3, "", "", "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, sample string")
