@@ -1,9 +1,9 @@
 """Tool calls in conversations: results linked by identifier, calls in topological order, arguments validated, canonical JSON.
 
 Calls and results meet in a hash join on (conversation, identifier), so a conversation of any length is spread over all tasks. A call may name calls
-that it comes after. Its level is the length of the longest such chain: chains of single predecessors are shortened by pointer doubling, in as many
-rounds as their length has binary digits; calls with several predecessors are resolved as soon as all of these are. Sorting by (level, turn,
-place) is a topological order. Calls on a cycle, or after one, have no level.
+that it comes after. Its level is the length of the longest such chain. A conversation with up to HELD of these links is levelled in one task. In a larger one,
+chains of single predecessors are shortened by pointer doubling, in as many rounds as their length has binary digits; calls with several
+predecessors are resolved as soon as all of these are. Sorting by (level, turn, place) is a topological order. Calls on a cycle, or after one, have no level.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,16 +20,27 @@ from pyspark.sql import functions as F
 
 from changelake.llm.frames import settle, slices
 
-CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.DOTALL)
-RESULT = re.compile(r"<tool_result>(.*?)</tool_result>", re.DOTALL)
-PARTS = "kind string, conv_id long, turn long, place int, id string, name string, arguments string, after array<string>, content string"
+#: Links of a conversation that one task may hold.
+HELD = 100_000
+MARKS = {"call": ("<tool_call>", "</tool_call>"), "result": ("<tool_result>", "</tool_result>")}
+PARTS = "kind string, conv_id long, turn long, place int, id string, name string, arguments string, after array<string>, content string, broken boolean"
 _ARROW = pa.schema(
-    [("kind", pa.string()), ("conv_id", pa.int64()), ("turn", pa.int64()), ("place", pa.int32()), ("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("after", pa.list_(pa.string())), ("content", pa.string())]
+    [("kind", pa.string()), ("conv_id", pa.int64()), ("turn", pa.int64()), ("place", pa.int32()), ("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("after", pa.list_(pa.string())), ("content", pa.string()), ("broken", pa.bool_())]
 )
+#: What goes wrong with values that are no JSON, whatever the reader accepted: other numbers, lone surrogates, too deep a nesting, too many digits.
+WRONG = (ValueError, RecursionError)
+
+
+def _sound(text: object) -> bool:
+    """Whether it is a text that UTF-8 can write."""
+    return isinstance(text, str) and not re.search("[\ud800-\udfff]", text)
 
 
 def canonical(value: object) -> str:
-    """One text for equal JSON values: keys by UTF-16 code units, no spaces, whole floats as integers, shortest form of others."""
+    """One text for equal JSON values: keys by UTF-16 code units, no spaces, whole floats as integers, shortest form of others.
+
+    One of WRONG for a value that is none of JSON's: not a number, infinite, with a lone surrogate, or nested too deeply.
+    """
     if isinstance(value, dict):
         keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
         return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in keys) + "}"
@@ -38,6 +50,8 @@ def canonical(value: object) -> str:
         if not math.isfinite(value):
             raise ValueError("JSON has no such number")
         return str(int(value)) if value.is_integer() and abs(value) < 1e21 else repr(value)
+    if isinstance(value, str) and not _sound(value):
+        raise ValueError("a surrogate stands alone")
     return json.dumps(value, ensure_ascii=False)
 
 
@@ -79,29 +93,61 @@ def violations(value: object, schema: dict, path: str = "$") -> list[str]:
     return out
 
 
+def marked(text: str) -> Iterator[tuple[str, str]]:
+    """(kind, what is between the marks) in the order of the text. A mark that is not closed is none; what a pair of marks encloses is not searched for others."""
+    at, last = 0, {kind: text.rfind(close) for kind, (_, close) in MARKS.items()}
+    next_ = {kind: text.find(open_) for kind, (open_, _) in MARKS.items()}
+    while True:
+        for kind, (open_, _) in MARKS.items():
+            if 0 <= next_[kind] < at:
+                next_[kind] = text.find(open_, at)
+        # A kind without a closing mark further on has no more parts, so no place is searched twice.
+        open_kinds = [(place, kind) for kind, place in next_.items() if place >= 0 and last[kind] >= place + len(MARKS[kind][0])]
+        if not open_kinds:
+            return
+        place, kind = min(open_kinds)
+        start = place + len(MARKS[kind][0])
+        end = text.find(MARKS[kind][1], start)
+        yield kind, text[start:end]
+        at = end + len(MARKS[kind][1])
+
+
 def marked_parts(turn: int | None, role: str | None, text: str) -> Iterator[tuple]:
-    """Calls and results that stand in a turn's text as marked JSON objects: (kind, id, name, arguments, after, content). Broken JSON gives a call or result without id."""
-    for kind, pattern in (("call", CALL), ("result", RESULT)):
-        for m in pattern.finditer(text):
-            try:
-                found = json.loads(m.group(1))
-                found = found if isinstance(found, dict) else {}
-            except (ValueError, RecursionError):
-                found = {}
-            own = found.get("id")
-            after = found.get("after")
-            yield kind, own if isinstance(own, str) else None, found.get("name") if isinstance(found.get("name"), str) else None, json.dumps(found.get("arguments")) if found else m.group(1), [
-                a for a in after if isinstance(a, str)
-            ] if isinstance(after, list) else [], canonical(found["content"]) if "content" in found else None
+    """Calls and results that stand in a turn's text as marked JSON objects: (kind, id, name, arguments, after, content, broken), in the order of the text.
+
+    Broken JSON gives a broken call or result without id; its text is the call's arguments. An id, a name or a predecessor that is no text that UTF-8 can write
+    is missing. A content that is no JSON value is missing and the result broken.
+    """
+    for kind, body in marked(text):
+        broken = False
+        try:
+            found = json.loads(body)
+            if not isinstance(found, dict):
+                found, broken = {}, True
+        except WRONG:
+            found, broken = {}, True
+        after = found.get("after")
+        arguments = body if broken else None
+        content = None
+        try:
+            arguments = arguments if broken else json.dumps(found.get("arguments"))
+            content = canonical(found["content"]) if "content" in found else None
+        except WRONG:
+            broken = True
+        own, name = (found.get(x) if _sound(found.get(x)) else None for x in ("id", "name"))
+        yield kind, own, name, arguments if arguments is not None else body, [a for a in after if _sound(a)] if isinstance(after, list) else [], content, broken
 
 
 def turn_parts(turn: int | None, role: str | None, text: str) -> Iterator[tuple]:
-    """A dialogue without marks: each question is a call to answer it, known by its turn and after the question two turns before; each answer is the result of the turn before."""
-    number = turn if turn is not None else -1
+    """A dialogue without marks: each question is a call to answer it, known by its turn and after the question two turns before; each answer is the result of the turn before.
+
+    Without a turn number, it is a call or result without id.
+    """
     if role == "assistant":
-        yield "result", str(number - 1), None, None, [], canonical(text)
+        yield "result", None if turn is None else str(turn - 1), None, None, [], canonical(text), False
     else:
-        yield "call", str(number), "answer" if role == "user" else "instruct", json.dumps({"role": role, "text": text, "turn": turn}), [str(number - 2)] if number > 1 else [], None
+        arguments = json.dumps({"role": role, "text": text, "turn": turn})
+        yield "call", None if turn is None else str(turn), "answer" if role == "user" else "instruct", arguments, [str(turn - 2)] if turn is not None and turn > 1 else [], None, False
 
 
 #: Schemas of the calls that turn_parts makes.
@@ -131,8 +177,45 @@ def parse(conversations: DataFrame, read: Callable = marked_parts) -> DataFrame:
     return conversations.select(*long, "role", "text").mapInArrow(run, PARTS)
 
 
-def _levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, level) of the nodes that no cycle precedes. `edges` has node and before, distinct, both among the nodes."""
+def levelled(edges: list[tuple[str, str]]) -> dict[str, int | None]:
+    """The level of every node that has a predecessor, none if it is on a cycle or after one, from distinct edges (node, before)."""
+    after, missing, level = defaultdict(list), defaultdict(int), {}
+    for node, before in edges:
+        after[before].append(node)
+        missing[node] += 1
+    ready = [x for x in after if x not in missing]
+    for x in ready:
+        for node in after[x]:
+            level[node] = max(level.get(node, 0), level.get(x, 0) + 1)
+            missing[node] -= 1
+            if not missing[node]:
+                ready.append(node)
+    return {node: None if n else level[node] for node, n in missing.items()}
+
+
+def _levelled(table: pa.Table) -> pa.Table:
+    conv = table.column("c")[0]
+    found = levelled(list(zip(table.column("node").to_pylist(), table.column("before").to_pylist(), strict=True)))
+    return pa.table({"c": pa.array([conv.as_py()] * len(found), pa.int64()), "i": pa.array(list(found), pa.string()), "level": pa.array(list(found.values()), pa.int64())})
+
+
+def _levels(edges: DataFrame, nodes: DataFrame, held: int = HELD) -> DataFrame:
+    """(node, level) of the nodes with predecessors; no level for those that a cycle precedes. `edges` has node and before, distinct, both among the nodes."""
+    large = settle(edges.groupBy(F.col("node.c").alias("large")).agg(F.count("*").alias("n")).where(F.col("n") > held).select("large"))
+    own = F.col("node.c") == F.col("large")
+    several = not large.isEmpty()
+    small = edges.join(large, own, "left_anti") if several else edges
+    flat = small.select(F.col("node.c").alias("c"), F.col("node.i").alias("node"), F.col("before.i").alias("before"))
+    done = flat.groupBy("c").applyInArrow(_levelled, "c long, i string, level long").select(F.struct("c", "i").alias("node"), "level")
+    if several:
+        rest = edges.join(large, own, "left_semi")
+        found = _large_levels(rest, nodes.join(large, own, "left_semi"))
+        done = done.unionByName(rest.select("node").distinct().join(found, "node", "left"))
+    return done
+
+
+def _large_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same for conversations of any size."""
     degree = edges.groupBy("node").agg(F.count("*").alias("n"), F.min("before").alias("to"))
     # Pointers end at a node with no predecessor or with several.
     state = nodes.join(degree, "node", "left").select("node", F.when(F.col("n") == 1, F.col("to")).otherwise(F.col("node")).alias("to"), F.when(F.col("n") == 1, 1).otherwise(0).cast("long").alias("far"), (F.coalesce("n", F.lit(0)) != 1).alias("end"))
@@ -166,44 +249,47 @@ def _levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 LINKED = "conv_id long, turn long, place int, id string, name string, level long, duplicate boolean, unknown_after int, n_results long, result_turn long, early boolean, valid boolean, errors string, json string"
 
 
-def link(parts: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def link(parts: DataFrame, schemas: dict[str, dict], held: int = HELD) -> DataFrame:
     """One row per call, and per result that no call asks for, from the rows of `parse`: see LINKED.
 
-    Of calls with one id in a conversation the first by (turn, place) has the results and is what others come after; the later ones are `duplicate` and
-    have no results. Calls and results without id link with nothing. A call with several results has the first one's turn and content. `early`: that result's turn
-    is before the call's. `unknown_after` counts named predecessors that are no calls of the conversation. `valid` is null for tools without a schema,
-    and false for broken arguments; `errors` lists what is wrong. `json` is the canonical object of the call with its result. Null conversations are one
-    conversation. Rows for orphan results have a null name and level. Repeated rows are duplicates; an empty table gives an empty one.
+    Of calls with one id in a conversation the first by (turn, place) has the results and is what others come after; the later ones, and all but one of
+    repeated rows, are `duplicate` and have no results. Calls and results without id link with nothing. A call with several results has the first one's turn and
+    content. `early`: that result's turn is before the call's. `unknown_after` counts named predecessors that are no calls of the conversation. `valid` is null
+    for tools without a schema, and false for broken arguments; `errors` lists what is wrong: paths with the schema's keywords, $:json for arguments that are no
+    JSON, and result:json for such a content. `json` is the canonical object of the call with its result. Null conversations are one
+    conversation. Rows for orphan results have a null name and level. An empty table gives an empty one.
+    Conversations of over `held` links between calls are levelled in rounds.
     """
-    parts = settle(parts)
-    calls = parts.where("kind = 'call'").withColumn("row", F.struct("turn", "place"))
+    # The number tells repeated rows apart; it is made once, as the rows are settled with it.
+    parts = settle(parts.withColumn("number", F.monotonically_increasing_id()))
+    calls = parts.where("kind = 'call'").withColumn("row", F.struct("turn", "place", "number"))
     named = calls.where("id is not null")
-    first = named.groupBy("conv_id", "id").agg(F.min("row").alias("first_row"), F.min_by(F.struct(F.array_distinct(F.coalesce("after", F.array().cast("array<string>"))).alias("after")), "row").alias("f"), F.count("*").alias("calls"))
+    first = named.groupBy("conv_id", "id").agg(F.min("row").alias("first_row"), F.min_by(F.struct(F.array_distinct(F.coalesce("after", F.array().cast("array<string>"))).alias("after")), "row").alias("f"))
     first = settle(first.withColumn("node", F.struct(F.coalesce("conv_id", F.lit(-(1 << 63))).alias("c"), F.col("id").alias("i"))))
     wanted = first.select("node", F.explode("f.after").alias("to")).select("node", F.struct(F.col("node.c").alias("c"), F.col("to").alias("i")).alias("before"))
     exists = first.select(F.col("node").alias("before"), F.lit(True).alias("there"))
     checked = settle(wanted.join(exists, "before", "left"))
     edges = checked.where("there").select("node", "before")
-    levels = _levels(edges, first.select("node"))
+    levels = _levels(edges, first.select("node"), held).withColumn("preceded", F.lit(True))
     unknown = checked.where("there is null").groupBy("node").agg(F.count("*").cast("int").alias("unknown_after"))
     results = parts.where("kind = 'result'")
-    answered = results.where("id is not null").groupBy("conv_id", "id").agg(F.count("*").alias("n_results"), F.min(F.struct("turn", "place", "content")).alias("r"))
-    known = first.join(levels, "node", "left").join(unknown, "node", "left").select("conv_id", "id", "first_row", "level", "unknown_after", "calls")
+    answered = results.where("id is not null").groupBy("conv_id", "id").agg(F.count("*").alias("n_results"), F.min(F.struct("turn", "place", "content", "broken")).alias("r"))
+    level = F.when(F.col("preceded"), F.col("level")).otherwise(0).alias("level")
+    known = first.join(levels, "node", "left").join(unknown, "node", "left").select("conv_id", "id", "first_row", level, "unknown_after")
     renamed = answered.select(F.col("conv_id").alias("rc"), F.col("id").alias("ri"), "n_results", "r")
     both = known.join(renamed, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("id") == F.col("ri")), "full_outer")
     orphans = both.where("id is null").select(F.col("rc").alias("conv_id"), F.col("ri").alias("id"), "n_results", "r")
     told = both.where("id is not null").select(F.col("conv_id").alias("kc"), F.col("id").alias("ki"), "first_row", "level", "unknown_after", "n_results", "r")
     met = calls.join(told, F.col("conv_id").eqNullSafe(F.col("kc")) & (F.col("id") == F.col("ki")), "left")
-    # Equal rows share turn and place: they are one call said twice, and all of them but none can be told apart, so all are the first.
     own = F.coalesce(F.col("row") == F.col("first_row"), F.lit(True))
-    columns = ["conv_id", "turn", "place", "id", "name", "level", "duplicate", "unknown_after", "n_results", "result_turn", "arguments", "after", "content"]
+    columns = ["conv_id", "turn", "place", "id", "name", "level", "duplicate", "unknown_after", "n_results", "result_turn", "arguments", "after", "content", "broken"]
     rows = met.select(
         "conv_id", "turn", "place", "id", "name", F.when(own, F.coalesce("level", F.when(F.col("id").isNull(), 0).cast("long"))).alias("level"), (~own).alias("duplicate"), F.when(own, F.coalesce("unknown_after", F.lit(0))).otherwise(0).alias("unknown_after"),
-        F.when(own, F.coalesce("n_results", F.lit(0))).otherwise(0).cast("long").alias("n_results"), F.when(own, F.col("r.turn")).alias("result_turn"), "arguments", "after", F.when(own, F.col("r.content")).alias("content"),
+        F.when(own, F.coalesce("n_results", F.lit(0))).otherwise(0).cast("long").alias("n_results"), F.when(own, F.col("r.turn")).alias("result_turn"), "arguments", "after", F.when(own, F.col("r.content")).alias("content"), F.when(own, F.col("r.broken")).alias("broken"),
     )
-    loose = results.where("id is null").select("conv_id", "id", F.lit(1).cast("long").alias("n_results"), F.struct("turn", "place", "content").alias("r"))
+    loose = results.where("id is null").select("conv_id", "id", F.lit(1).cast("long").alias("n_results"), F.struct("turn", "place", "content", "broken").alias("r"))
     void = lambda t: F.lit(None).cast(t)
-    lost = orphans.unionByName(loose).select("conv_id", void("long").alias("turn"), void("int").alias("place"), "id", void("string").alias("name"), void("long").alias("level"), F.lit(False).alias("duplicate"), F.lit(0).alias("unknown_after"), "n_results", F.col("r.turn").alias("result_turn"), void("string").alias("arguments"), void("array<string>").alias("after"), F.col("r.content").alias("content"))
+    lost = orphans.unionByName(loose).select("conv_id", void("long").alias("turn"), void("int").alias("place"), "id", void("string").alias("name"), void("long").alias("level"), F.lit(False).alias("duplicate"), F.lit(0).alias("unknown_after"), "n_results", F.col("r.turn").alias("result_turn"), void("string").alias("arguments"), void("array<string>").alias("after"), F.col("r.content").alias("content"), F.col("r.broken").alias("broken"))
     return rows.select(*columns).unionByName(lost.select(*columns)).mapInArrow(lambda it: _serialise(it, schemas), LINKED)
 
 
@@ -217,15 +303,16 @@ def _serialise(batches: Iterator[pa.RecordBatch], schemas: dict[str, dict]) -> I
             early.append(turn is not None and back is not None and back < turn)
             is_call = raw is not None
             found: list[str] = []
+            arguments = None
             try:
                 arguments = json.loads(raw) if is_call else None
-                canonical(arguments)
-            except (ValueError, RecursionError):
+                canonical({"arguments": arguments})
+                if is_call and name in schemas:
+                    found = violations(arguments, schemas[name])
+            except WRONG:
                 arguments, found = None, ["$:json"]
-            if is_call and not found and name in schemas:
-                found = violations(arguments, schemas[name])
             valid.append((not found if name in schemas or found else None) if is_call else None)
-            errors.append(";".join(found))
+            errors.append(";".join([*found, *["result:json"] * bool(columns["broken"][i])]))
             whole = {"id": own, "name": name, "arguments": arguments, "after": columns["after"][i] or []} if is_call else {"id": own}
             text = canonical(whole)
             texts.append(text if content is None else text[:-1] + ',"result":' + content + "}")

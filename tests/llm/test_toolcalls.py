@@ -2,6 +2,9 @@
 
 import json
 import random
+import time
+
+import pytest
 
 from changelake.llm import toolcalls
 
@@ -38,7 +41,8 @@ def test_schemas():
     assert check({"a": 1, "s": "abcd"}) == ["$.s:maxLength", "$.s:pattern"] and check({"a": 1, "l": []}) == ["$.l:minItems"] and check({"a": 1, "l": [2, 1, 1]}) == ["$.l:maxItems", "$.l[0]:enum"]
 
 
-def test_levels_of_chains_dags_and_cycles(spark):
+@pytest.mark.parametrize("held", [toolcalls.HELD, 38, 0])
+def test_levels_of_chains_dags_and_cycles(spark, held):
     rng, rows, want = random.Random(3), [], {}
     for conv in range(6):
         ids = [f"c{i}" for i in range(40)]
@@ -55,7 +59,7 @@ def test_levels_of_chains_dags_and_cycles(spark):
             order = ids
         rows += [(conv, n, "assistant", call(i, after[i], a=1), "", "") for n, i in enumerate(order)]
         want |= {(conv, i): v for i, v in brute_levels(after).items()}
-    got = toolcalls.link(toolcalls.parse(spark.createDataFrame(rows, SCHEMA)), {}).collect()
+    got = toolcalls.link(toolcalls.parse(spark.createDataFrame(rows, SCHEMA)), {}, held).collect()
     assert len(got) == 240 and {(r.conv_id, r.id): r.level for r in got if r.level is not None} == want
     assert want[0, "c39"] == 39 and any(r.level is None for r in got)
 
@@ -90,6 +94,48 @@ def test_linking(spark):
     assert len(got) == 6 + 2  # calls and lost results
 
 
+def test_marks():
+    text = "a <tool_result>1</tool_result><tool_call>2 <tool_result>3</tool_call> <tool_call>4 <tool_result>5</tool_result>"
+    assert list(toolcalls.marked(text)) == [("result", "1"), ("call", "2 <tool_result>3"), ("result", "5")]
+    start = time.perf_counter()
+    assert list(toolcalls.marked("<tool_call>" * 200_000 + "<tool_result>x</tool_result>" * 1000)) == [("result", "x")] * 1000
+    assert list(toolcalls.marked("<tool_result></tool_call>" * 100_000)) == []
+    assert time.perf_counter() - start < 10
+
+
+def test_broken_messages(spark):
+    """No message ends the job: what is no JSON is reported, and what can be linked is."""
+    deep = "[" * 50_000 + "]" * 50_000
+    said = lambda kind, body: f"<tool_{kind}>{body}</tool_{kind}>"
+    rows = [
+        (1, 0, "assistant", call("a", x=1) + said("result", '{"id":"a","content":NaN}'), "", ""),
+        (1, 1, "assistant", said("call", '{"id":"\\ud800","name":"add","arguments":{"a":1},"after":["\\udfff","a"]}'), "", ""),
+        (1, 2, "assistant", said("call", '{"id":"b","name":"add","arguments":{"a":"\\ud800"}}') + said("result", '{"id":"b","content":"\\udc00"}'), "", ""),
+        (1, 3, "assistant", said("call", f'{{"id":"c","name":"add","arguments":{deep}}}') + said("result", f'{{"id":"d","content":{deep}}}'), "", ""),
+        (1, 4, "assistant", said("call", '{"id":"e","name":"\\ud800","arguments":{"a":Infinity}}') + said("call", "9" * 5000) + said("call", '{"id":"f","arguments":1e999}'), "", ""),
+        (1, 5, "assistant", "word " * 300_000 + call("g", a=1), "", ""),
+        (1, 6, "assistant", said("result", '{"id":"g","content":' + "9" * 5000 + "}"), "", ""),
+    ]
+    got = toolcalls.link(toolcalls.parse(spark.createDataFrame(rows, SCHEMA)), {"add": {"type": "object"}}).collect()
+    by = {(r.turn, r.place): r for r in got if r.turn is not None}
+    assert by[0, 0].errors == "result:json" and by[0, 0].valid and by[0, 0].n_results == 1 and "result" not in json.loads(by[0, 0].json)
+    assert by[1, 0].id is None and json.loads(by[1, 0].json)["after"] == ["a"] and by[1, 0].valid
+    assert by[2, 0].errors == "$:json;result:json" and by[2, 0].valid is False
+    assert by[3, 0].errors == "$:json" and by[3, 0].id is None
+    assert by[4, 0].errors == "$:json" and by[4, 0].name is None and by[4, 0].id == "e" and by[4, 1].errors == "$:json" and by[4, 2].errors == "$:json"
+    assert by[5, 0].valid and by[5, 0].n_results == 0
+    assert all(json.loads(r.json) is not None for r in got) and sorted(r.errors for r in got if r.turn is None) == ["result:json", "result:json"]
+
+
+def test_repeated_rows_and_turns_without_numbers(spark):
+    row = (1, 1, "assistant", call("x", a=1) + "<tool_result>{\"id\":\"x\",\"content\":1}</tool_result>", "", "")
+    got = toolcalls.link(toolcalls.parse(spark.createDataFrame([row, row, row], SCHEMA)), {}).collect()
+    assert sorted((r.duplicate, r.n_results) for r in got) == [(False, 3), (True, 0), (True, 0)]
+    rows = [(1, None, "user", "a", "", ""), (1, None, "assistant", "b", "", ""), (1, -1, "user", "c", "", ""), (1, -2, "user", "d", "", "")]
+    got = toolcalls.link(toolcalls.parse(spark.createDataFrame(rows, SCHEMA), toolcalls.turn_parts), toolcalls.TURN_SCHEMAS).collect()
+    assert {(r.turn, r.id, r.n_results) for r in got} == {(None, None, 0), (None, None, 1), (-1, "-1", 0), (-2, "-2", 0)}
+
+
 def test_turns(spark):
     rows = [(1, 0, "system", "be kind", "", "")] + [(1, t, "user" if t % 2 else "assistant", f"t{t}" if t != 7 else " ", "", "") for t in range(1, 60)]
     parts = toolcalls.parse(spark.createDataFrame(rows, SCHEMA), toolcalls.turn_parts)
