@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,18 +12,32 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that lost executors cost no recomputation.
-
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in tests, a folder of this machine is used.
-    """
+def _folder(df: DataFrame) -> str:
+    """The session's spark.checkpoint.dir. Only a local session without that setting, as in tests, gets a folder of its machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(folder or f"{tempfile.gettempdir()}/checkpoints")
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder, so that lost executors cost no recomputation."""
+    _folder(df)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like `settle`, for rows with texts: a compressed table in the same folder. Types that Parquet lacks are settled instead."""
+    if any(kind in df.schema.simpleString() for kind in ("void", "interval")):
+        return settle(df)
+    path = f"{_folder(df)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """The batch's texts; a null text is empty."""
     return [x if x is not None else "" for x in column.to_pylist()]

@@ -4,6 +4,10 @@ Every run of LONG words or more that stands elsewhere first is the union of its
 or end with it. A rolling hash over the hashes of neighbouring lines cuts texts into chunks besides, whose boundaries follow the content, so that chunks of
 several lines are found even if they have fewer words. Windows, chunks of several lines and whole texts are looked up by hash over the whole corpus; the
 first place of each keeps it, and every other place loses it once its bytes have been compared with those of the first.
+
+A document is known by its doc_id, null or not, and 128 bits of its text's SHA-256. Of rows that agree in both, one is that document and the others are its
+copies, which lose all that repeats. A hash that stands in more than one of HOT rows may have any number of places: these meet its first place by a broadcast of
+at most HOT rows, so no task has all places of a hash.
 """
 
 from __future__ import annotations
@@ -16,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelake.llm.frames import fresh, settle, slices
+from changelake.llm.frames import fresh, settle, slices, stored
 
 #: On average every MEAN-th line ends a chunk; LONG words make a window, and a line a chunk of its own; a chunk has MOST lines at most.
 WINDOW, MEAN, LONG, MOST = 2, 3, 50, 256
 #: Bits of the filter that keeps most documents without repeats out of a shuffle, by the power of two: 8 MB, whatever the corpus.
 FILTER_LOG2 = 26
+#: Hashes with more than this share of all places, as its reciprocal, are broadcast: there are fewer of them than this.
+HOT = 1024
 FACTOR, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -90,11 +96,13 @@ def _batch(rows: list[tuple], **types: pa.DataType) -> pa.RecordBatch:
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of no lines for each document, and one for each of its candidates."""
     for batch in slices(batches, "text"):
         rows = []
         for doc, t, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lines(batch.column(2)), strict=True):
+            rows.append((doc, t, 0, 0, 0))
             rows += [(doc, t, a, b - a, h) for a, b, h in candidates(lines)]
-        yield _batch(rows, id=pa.int64(), t=pa.int64(), line=pa.int32(), n=pa.int32(), h=pa.int64())
+        yield _batch(rows, id=pa.int64(), t=pa.binary(), line=pa.int32(), n=pa.int32(), h=pa.int64())
 
 
 def cover(runs: list[tuple[int, int, int]]) -> list[int]:
@@ -127,8 +135,8 @@ def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start, _, r = runs[i]
                 at = r["at"]
                 rows.append((doc, t, r["line"], r["n"], r["h"], start - r["line"], at["id"], at["t"], at["line"]))
-        long, int_ = pa.int64(), pa.int32()
-        yield _batch(rows, id=long, t=long, line=int_, n=int_, h=long, skip=int_, id0=long, t0=long, line0=int_)
+        long, int_, key = pa.int64(), pa.int32(), pa.binary()
+        yield _batch(rows, id=long, t=key, line=int_, n=int_, h=long, skip=int_, id0=long, t0=key, line0=int_)
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +146,7 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, t, lines, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lines(batch.column(2)), batch.column(3).to_pylist(), strict=True):
             rows += [(doc, t, r["line"], r["n"], r["h"], r["skip"], b"\n".join(lines[r["line"] : r["line"] + r["n"]])) for r in listed]
         long, int_ = pa.int64(), pa.int32()
-        yield _batch(rows, id=long, t=long, line=int_, n=int_, h=long, skip=int_, body=pa.binary())
+        yield _batch(rows, id=long, t=pa.binary(), line=int_, n=int_, h=long, skip=int_, body=pa.binary())
 
 
 def _maybe(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -155,32 +163,47 @@ def _maybe(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(packed), met, "left_semi")
 
 
+def _met(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of repeated hashes, each with the first place `at`."""
+    least = rows.count() // HOT
+    first = first.withColumnRenamed("h", "same")
+    hot, cold = first.where(F.col("places") > least), first.where(F.col("places") <= least)
+    met = F.col("h") == F.col("same")
+    return rows.join(F.broadcast(hot), met).unionByName(_maybe(rows, "h", cold.select("same")).join(cold, met)).drop("same", "places")
+
+
 def deduplicate(docs: DataFrame, n_lines: str = "n_lines", removed_lines: str = "removed_lines") -> DataFrame:
     """`docs` (doc_id, text and any other columns) with repeated runs of lines cut from text, and how many lines a text had and lost.
 
-    Of all places of a run, the one with the smallest (doc_id, line) stays, so rows that share a doc_id and a text, null ids included, are one
-    document and keep or lose the same lines. A run whose hash repeats but whose bytes differ from the first one's stays. Texts without
+    Of all places of a run, the one with the smallest (doc_id, text's hash, line) stays; null ids come first. Of rows that share a doc_id, null included, and a
+    text, any one counts as the first. A run whose hash repeats but whose bytes differ from the first one's stays. Texts without
     repeats are returned unchanged; a null text stays null and has no lines; a text of several lines, or of LONG words, that is repeated as a whole becomes
     empty. All rows come back, an empty table gives an empty one, and columns with the names of the two counts are replaced.
     """
     docs = docs.drop(n_lines, removed_lines)
-    key, sum_, other, others, listed = fresh(docs, "key", "sum", "other", "others", "listed")
-    dealt = docs.withColumns({key: F.col("doc_id").cast("long"), sum_: F.xxhash64("text")})
-    rows = dealt.select(F.col(key).alias("id"), F.col(sum_).alias("t"), "text").mapInArrow(_found, "id long, t long, line int, n int, h long")
-    first = settle(rows.groupBy("h").agg(F.count("*").alias("places"), F.min(F.struct("id", "line", "t")).alias("at")).where("places > 1").select(F.col("h").alias("same"), "at"))
-    marked = _maybe(rows, "h", first.select("same")).join(first, F.col("h") == F.col("same")).where(~(F.col("id").eqNullSafe(F.col("at.id")) & (F.col("line") == F.col("at.line"))))
+    key, sum_, nth, other, others, listed = fresh(docs, "key", "sum", "nth", "other", "others", "listed")
+    dealt = docs.withColumns({key: F.col("doc_id").cast("long"), sum_: F.unhex(F.substring(F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256), 1, 32))})
+    all_ = settle(dealt.select(F.col(key).alias("id"), F.col(sum_).alias("t"), "text").mapInArrow(_found, "id long, t binary, line int, n int, h long"))
+    rows = all_.where("n > 0")
+    same = F.col("id").eqNullSafe(F.col("at.id")) & (F.col("t") == F.col("at.t"))
+    first = settle(rows.groupBy("h").agg(F.count("*").alias("places"), F.min(F.struct("id", "t", "line")).alias("at")).where("places > 1"))
+    marked = _met(rows, first).where(~(same & (F.col("line") == F.col("at.line"))))
     runs = marked.groupBy("id", "t").agg(F.collect_set(F.struct("line", "n", "h", "at")).alias("runs"))
-    chosen = settle(runs.mapInArrow(_chosen, "id long, t long, line int, n int, h long, skip int, id0 long, t0 long, line0 int"))
+    chosen = settle(runs.mapInArrow(_chosen, "id long, t binary, line int, n int, h long, skip int, id0 long, t0 binary, line0 int"))
     kept_ = chosen.select(F.col("id0").alias("id"), F.col("t0").alias("t"), F.col("line0").alias("line"), "n", "h", F.lit(-1).alias("skip"))
     wanted = chosen.select(*kept_.columns).unionByName(kept_)
     marks = settle(wanted.groupBy(F.col("id").alias(other), F.col("t").alias(others)).agg(F.collect_set(F.struct("line", "n", "h", "skip")).alias(listed)))
     met = F.col(key).eqNullSafe(F.col(other)) & (F.col(sum_) == F.col(others))
-    having = _maybe(dealt, sum_, marks.select(others)).join(marks, met).select(key, sum_, "text", listed)
-    bodies = settle(having.mapInArrow(_bodies, "id long, t long, line int, n int, h long, skip int, body binary"))
-    kept = bodies.where("skip < 0").groupBy("h", "n").agg(F.min("body").alias("kept"))
-    same = bodies.where("skip >= 0").join(kept, ["h", "n"]).where("body = kept")
-    cuts = same.groupBy(F.col("id").alias(other), F.col("t").alias(others)).agg(F.collect_set(F.struct((F.col("line") + F.col("skip")).alias("a"), (F.col("line") + F.col("n")).alias("b"))).alias(listed))
-    both = dealt.join(cuts, met, "left").drop(key, sum_, other, others)
+    one, copies = _copies(dealt, all_.where("n = 0"), key, sum_, nth, other, others, met)
+    having = _maybe(one, sum_, marks.select(others)).join(marks, met).select(key, sum_, "text", listed)
+    bodies = settle(having.mapInArrow(_bodies, "id long, t binary, line int, n int, h long, skip int, body binary"))
+    # A hash has one first place, so it has one body here, and both sides are tables whose hot hashes can be split.
+    kept = bodies.where("skip < 0").select("h", "n", F.col("body").alias("kept"))
+    equal = bodies.where("skip >= 0").join(kept, ["h", "n"]).where("body = kept")
+    cuts = equal.groupBy(F.col("id").alias(other), F.col("t").alias(others)).agg(F.collect_set(F.struct((F.col("line") + F.col("skip")).alias("a"), (F.col("line") + F.col("n")).alias("b"))).alias(listed))
+    both = one.join(cuts, met, "left").drop(key, sum_, other, others)
+    if copies is not None:
+        both = both.unionByName(copies.withColumn(listed, F.array(F.struct(F.lit(0).alias("a"), F.lit(-1).alias("b")))))
     place, where = docs.columns.index("text"), len(docs.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +214,9 @@ def deduplicate(docs: DataFrame, n_lines: str = "n_lines", removed_lines: str =
                 lines = text.split(b"\n") if text is not None else []
                 gone: set[int] = set()
                 if cuts_ and text is not None:
-                    for c in cuts_:
-                        gone.update(range(c["a"], c["b"]))
+                    # A copy of a document loses whatever may be removed at all.
+                    for a, b in ((c["a"], c["b"]) for c in cuts_) if cuts_[0]["b"] >= 0 else ((a, b) for a, b, _ in candidates(lines)):
+                        gone.update(range(a, b))
                 texts.append(b"\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
                 counts.append(len(lines))
                 removed.append(len(gone))
@@ -203,3 +227,16 @@ def deduplicate(docs: DataFrame, n_lines: str = "n_lines", removed_lines: str =
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{n_lines}` long, `{removed_lines}` long"
     return both.mapInArrow(cut, out)
+
+
+def _copies(dealt: DataFrame, found: DataFrame, key: str, sum_: str, nth: str, other: str, others: str, met) -> tuple[DataFrame, DataFrame | None]:
+    """One row of each document, and the other rows of documents that have several, if any have."""
+    several = settle(found.groupBy(F.col("id").alias(other), F.col("t").alias(others)).agg(F.count("*").alias("rows")).where(F.col("rows") > 1).select(other, others))
+    if several.isEmpty():
+        return dealt, None
+    # Only these rows are written once more, each with a number of its own, which the rows themselves lack.
+    again = stored(dealt.join(several, met, "left_semi").withColumn(nth, F.monotonically_increasing_id()))
+    firsts = settle(again.groupBy(key, sum_).agg(F.min(nth).alias(other)).select(other))
+    numbered = F.col(nth) == F.col(other)
+    one = dealt.join(several, met, "left_anti").unionByName(again.join(firsts, numbered, "left_semi").drop(nth))
+    return one, again.join(firsts, numbered, "left_anti").drop(key, sum_, nth)

@@ -1,6 +1,10 @@
 """Chunks of lines against a brute-force deduplication, and the properties that the method promises."""
 
+import hashlib
 import random
+import time
+
+import pytest
 
 from changelake.llm import linededup
 
@@ -8,19 +12,21 @@ SCHEMA = "doc_id long, text string, n_lines string, id string, h int, cuts int"
 
 
 def brute(rows):
-    """Texts by (doc_id, text), from every candidate chunk's bytes over all rows."""
-    seen = {}
-    key = lambda i: (i is not None, i or 0)  # noqa: E731  nulls first
+    """Texts by row, from every candidate chunk's bytes over all rows. A row is known by its doc_id, its text and how many such rows come before it."""
+    seen, keys, said = {}, [], {}
     for i, t, *_ in rows:
+        sum_ = hashlib.sha256((t or "").encode()).digest()[:16]
+        said[i, sum_] = said.get((i, sum_), 0) + 1
+        keys.append((i is not None, i or 0, sum_, said[i, sum_]))  # nulls first
         lines = (t or "").encode().split(b"\n")
         for a, b, _h in linededup.candidates(lines):
-            seen.setdefault(b"\n".join(lines[a:b]), set()).add((key(i), a))
+            seen.setdefault(b"\n".join(lines[a:b]), set()).add((*keys[-1], a))
     out = []
-    for i, t, *_ in rows:
+    for (i, t, *_), key in zip(rows, keys):
         lines = (t or "").encode().split(b"\n")
         gone = set()
         for a, b, _h in linededup.candidates(lines):
-            if min(seen[b"\n".join(lines[a:b])]) != (key(i), a):
+            if min(seen[b"\n".join(lines[a:b])]) != (*key, a):
                 gone.update(range(a, b))
         out.append((i, b"\n".join(x for n, x in enumerate(lines) if n not in gone).decode() if t is not None else None, len(gone)))
     return out
@@ -43,7 +49,9 @@ def test_chunks_cover_all_lines_and_resist_shifts():
     assert linededup.chunks([b"same"] * 1000)[0][1] <= linededup.MOST
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [linededup.HOT, 1, 30])
+def test_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(linededup, "HOT", hot)
     rng = random.Random(4)
     passages = [[line(rng) for _ in range(rng.randint(2, 12))] for _ in range(5)] + [[line(rng, 60)]]
     texts = [None, "", "\n", "\n\n\n", "one line"]
@@ -55,7 +63,8 @@ def test_against_brute_force(spark):
         texts.append("\n".join(lines))
     texts += [texts[10], texts[11], texts[12] + "\n" + texts[12]]
     rows = [(100 - i, t, "clash", "x", i, 1) for i, t in enumerate(texts)]
-    rows += [rows[20], rows[20], (rows[21][0], texts[25], "same id, other text", "", 0, 0), (None, texts[30], "", "", 0, 0), (None, texts[31], "", "", 0, 0)]
+    rows += [rows[20], rows[20], (rows[21][0], texts[25], "same id, other text", "", 0, 0)]
+    rows += [(None, t, "", "", 0, 0) for t in (texts[30], texts[31], texts[31], texts[31], None, "one line", "one line", line(rng, 70))] * 2
     got = linededup.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [f for f in got[0].__fields__] == ["doc_id", "text", "id", "h", "cuts", "n_lines", "removed_lines"]
     order = lambda x: (str(x[0]), str(x[1]), x[2])
@@ -63,6 +72,33 @@ def test_against_brute_force(spark):
     assert sum(r.removed_lines > 0 for r in got) > 10
 
 
+def test_rows_of_one_id_lose_what_others_of_it_have(spark):
+    rng = random.Random(12)
+    passage = "\n".join(line(rng) for _ in range(60))
+    rows = [(None, f"{line(rng)} {n}\n{passage}\n{line(rng)}", "", "", 0, 0) for n in range(3)] + [(7, passage, "", "", 0, 0), (7, passage + "\nmore", "", "", 0, 0)]
+    got = linededup.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.removed_lines for r in got) == [0, 60, 60, 60, 60]
+
+
+def test_time_grows_with_the_rows_of_one_id(spark):
+    rng = random.Random(13)
+    passages = ["\n".join(line(rng) for _ in range(8)) for _ in range(20)]
+    texts = [f"{line(rng)}\n{rng.choice(passages)}\n{line(rng)}" for _ in range(4000)]
+    seconds = []
+    for n in (1000, 4000):
+        frame = spark.createDataFrame([(None, t, "", "", 0, 0) for t in texts[:n]], SCHEMA).repartition(4)
+        start = time.perf_counter()
+        assert linededup.deduplicate(frame).agg({"removed_lines": "sum"}).first()[0] >= (n - 20) * 8
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 4 * seconds[0] + 5
+
+
+def test_very_long_texts(spark):
+    long = "\n".join(f"line {i % 5000} of many words and more of them" for i in range(60_000))
+    got = linededup.deduplicate(spark.createDataFrame([(1, long, "", "", 0, 0), (2, "start\n" + long, "", "", 0, 0)], SCHEMA)).collect()
+    assert {r.doc_id: r.text for r in got}[2] in ("start", "") and {r.doc_id: r.n_lines - r.removed_lines for r in got}[1] >= 5000
+
+
 def test_long_passages_stay_once(spark):
     rng = random.Random(8)
     passage = line(rng, 55)
