@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def _folder(df: DataFrame) -> str:
@@ -123,3 +124,26 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def text_key(text: str = "text") -> Column:
+    """128 bits of a text's SHA-256; a null text's are those of an empty one."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256), 1, 32))
+
+
+#: Bits of the filter that keeps rows without a partner out of a shuffle, by the power of two: 8 MB, whatever the corpus.
+FILTER_LOG2 = 26
+
+
+def maybe(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose key may be among the ids: all that are, and few others while the ids are fewer than the filter's bits.
+
+    The filter is a bit for each hash value, packed into at most 2^FILTER_LOG2 / 64 rows, so it is broadcast at any size of the corpus.
+    """
+    word, bits = fresh(docs, "word", "bits")
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_LOG2)
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{c}`), {64 - FILTER_LOG2}) & 63 as int))")
+    (column,) = ids.columns
+    packed = ids.groupBy(F.shiftright(place(column), 6).alias(word)).agg(F.bit_or(bit(column)).alias(bits))
+    met = (F.shiftright(place(key), 6) == F.col(word)) & (F.col(bits).bitwiseAND(bit(key)) != 0)
+    return docs.join(F.broadcast(packed), met, "left_semi")

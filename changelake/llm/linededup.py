@@ -20,12 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelake.llm.frames import fresh, settle, slices, stored
+from changelake.llm.frames import fresh, maybe, settle, slices, stored, text_key
 
 #: On average every MEAN-th line ends a chunk; LONG words make a window, and a line a chunk of its own; a chunk has MOST lines at most.
 WINDOW, MEAN, LONG, MOST = 2, 3, 50, 256
-#: Bits of the filter that keeps most documents without repeats out of a shuffle, by the power of two: 8 MB, whatever the corpus.
-FILTER_LOG2 = 26
 #: Hashes with more than this share of all places, as its reciprocal, are broadcast: there are fewer of them than this.
 HOT = 1024
 FACTOR, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -149,27 +147,13 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(rows, id=long, t=pa.binary(), line=int_, n=int_, h=long, skip=int_, body=pa.binary())
 
 
-def _maybe(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose key may be among the ids: all that are, and few others while the ids are fewer than the filter's bits.
-
-    The filter is a bit for each hash value, packed into at most 2^FILTER_LOG2 / 64 rows, so it is broadcast at any size of the corpus.
-    """
-    word, bits = fresh(docs, "word", "bits")
-    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_LOG2)
-    bit = lambda c: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{c}`), {64 - FILTER_LOG2}) & 63 as int))")
-    (column,) = ids.columns
-    packed = ids.groupBy(F.shiftright(place(column), 6).alias(word)).agg(F.bit_or(bit(column)).alias(bits))
-    met = (F.shiftright(place(key), 6) == F.col(word)) & (F.col(bits).bitwiseAND(bit(key)) != 0)
-    return docs.join(F.broadcast(packed), met, "left_semi")
-
-
 def _met(rows: DataFrame, first: DataFrame) -> DataFrame:
     """The rows of repeated hashes, each with the first place `at`."""
     least = rows.count() // HOT
     first = first.withColumnRenamed("h", "same")
     hot, cold = first.where(F.col("places") > least), first.where(F.col("places") <= least)
     met = F.col("h") == F.col("same")
-    return rows.join(F.broadcast(hot), met).unionByName(_maybe(rows, "h", cold.select("same")).join(cold, met)).drop("same", "places")
+    return rows.join(F.broadcast(hot), met).unionByName(maybe(rows, "h", cold.select("same")).join(cold, met)).drop("same", "places")
 
 
 def deduplicate(docs: DataFrame, n_lines: str = "n_lines", removed_lines: str = "removed_lines") -> DataFrame:
@@ -182,7 +166,7 @@ def deduplicate(docs: DataFrame, n_lines: str = "n_lines", removed_lines: str =
     """
     docs = docs.drop(n_lines, removed_lines)
     key, sum_, nth, other, others, listed = fresh(docs, "key", "sum", "nth", "other", "others", "listed")
-    dealt = docs.withColumns({key: F.col("doc_id").cast("long"), sum_: F.unhex(F.substring(F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256), 1, 32))})
+    dealt = docs.withColumns({key: F.col("doc_id").cast("long"), sum_: text_key()})
     all_ = settle(dealt.select(F.col(key).alias("id"), F.col(sum_).alias("t"), "text").mapInArrow(_found, "id long, t binary, line int, n int, h long"))
     rows = all_.where("n > 0")
     same = F.col("id").eqNullSafe(F.col("at.id")) & (F.col("t") == F.col("at.t"))
@@ -195,7 +179,7 @@ def deduplicate(docs: DataFrame, n_lines: str = "n_lines", removed_lines: str =
     marks = settle(wanted.groupBy(F.col("id").alias(other), F.col("t").alias(others)).agg(F.collect_set(F.struct("line", "n", "h", "skip")).alias(listed)))
     met = F.col(key).eqNullSafe(F.col(other)) & (F.col(sum_) == F.col(others))
     one, copies = _copies(dealt, all_.where("n = 0"), key, sum_, nth, other, others, met)
-    having = _maybe(one, sum_, marks.select(others)).join(marks, met).select(key, sum_, "text", listed)
+    having = maybe(one, sum_, marks.select(others)).join(marks, met).select(key, sum_, "text", listed)
     bodies = settle(having.mapInArrow(_bodies, "id long, t binary, line int, n int, h long, skip int, body binary"))
     # A hash has one first place, so it has one body here, and both sides are tables whose hot hashes can be split.
     kept = bodies.where("skip < 0").select("h", "n", F.col("body").alias("kept"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelake.llm.components import components
-from changelake.llm.frames import settle, slices, sorted_groups, texts_of
+from changelake.llm.frames import maybe, settle, slices, sorted_groups, text_key, texts_of
 from changelake.llm.simhash import masks, signed
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -54,7 +54,7 @@ def _marks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
     digest = xxhash.xxh3_128_digest
     for batch in slices(batches, "text"):
         out = []
-        for t in texts_of(batch.column(1)):
+        for t in texts_of(batch.column(2)):
             rows = np.frombuffer(b"".join({digest(s, SEED) for s in shingles(t, width)}), dtype=np.uint8).reshape(-1, 16)
             ones = np.zeros(128, dtype=np.int64)
             for i in range(0, len(rows), 1 << 15):
@@ -62,8 +62,8 @@ def _marks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
             own = np.packbits(2 * ones > len(rows), bitorder="little").view("<i8")
             whole = np.frombuffer(digest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()), SEED), dtype="<i8")
             out.append((*whole, *own))
-        columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([],) * 4))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h1", "h2", "f1", "f2"])
+        columns = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([],) * 4))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "h1", "h2", "f1", "f2"])
 
 
 def _distance(f1: np.ndarray, f2: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -202,10 +202,13 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
-def _sure(texts: DataFrame, edges: DataFrame, width: int, least: float) -> DataFrame:
-    """The edges (a, b) whose texts are similar."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = texts.join(ends, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, width), "node long, set binary")
+def _sure(texts: DataFrame, classes: DataFrame, edges: DataFrame, width: int, least: float) -> DataFrame:
+    """The edges (a, b) whose texts are similar. A class's words are those of its first document."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first = settle(classes.select("node", F.col("at.id").alias("id"), F.col("at.t").alias("own")).join(ends, "node", "left_semi"))
+    near = maybe(texts, "doc_id", first.select("id")).withColumn("t", text_key())
+    read = near.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("own"))).select("node", "text")
+    sets = read.mapInArrow(lambda it: _sets(it, width), "node long, set binary")
     sets = settle(sets.groupBy("node").agg(F.min("set").alias("set")))
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     pairs = edges.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
@@ -213,18 +216,22 @@ def _sure(texts: DataFrame, edges: DataFrame, width: int, least: float) -> DataF
 
 
 def groups(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY, held: int = HELD, near: int = NEAR) -> DataFrame:
-    """(doc_id, component_id) for each distinct doc_id of `docs` (doc_id, text): the smallest one that chains of verified similarities of `least` or more reach.
+    """(doc_id, t, component_id, first) for each document of `docs` (doc_id, text), which is known by its doc_id, null or not, and `text_key`.
 
-    Documents of the same words are one class and never expanded into pairs. Rows that share a doc_id are one document, met by one of its texts. Null texts are
-    empty; texts without words are alike. Rows with a null doc_id are left out. An empty table gives an empty one.
+    component_id is the smallest doc_id that chains of verified similarities of `least` or more reach, null if all of them are; `first` marks one document of
+    each such component, that of the smallest (doc_id, t). A null doc_id comes after all others. Documents of the same words are one class and never expanded into
+    pairs; repeated rows are one document. Null texts are empty; texts without words are alike. An empty table gives an empty one.
     """
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = texts.mapInArrow(lambda it: _marks(it, width), "doc_id long, h1 long, h2 long, f1 long, f2 long")
-    rows = settle(marks.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "f1", "f2")).alias("m")).select("doc_id", "m.*"))
-    classes = settle(rows.groupBy("h1", "h2", "f1", "f2").agg(F.min("doc_id").alias("node")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marks = texts.select("doc_id", text_key().alias("t"), "text").mapInArrow(lambda it: _marks(it, width), "doc_id long, t binary, h1 long, h2 long, f1 long, f2 long")
+    rows = settle(marks.distinct())
+    words = ["h1", "h2", "f1", "f2"]
+    own = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), "t")
+    # A class gets a number of its own, which is settled with it.
+    classes = settle(rows.groupBy(*words).agg(F.min(own).alias("at")).withColumn("node", F.monotonically_increasing_id()))
     edges = settle(candidates(classes.select("node", "f1", "f2"), held, near))
-    roots = components(_sure(texts, edges, width, least))
-    named = settle(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    roots = components(_sure(texts, classes, edges, width, least))
+    named = settle(classes.select("node", "f1", "f2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     tried, left = TRIED, edges
     while True:
         # Edges that failed, or are left for later, and still have their ends apart; whatever pair is left starts in the component of such an end.
@@ -234,9 +241,11 @@ def groups(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY, held:
         if open_.isEmpty():
             break
         edges = settle(candidates(named.join(open_, "root", "left_semi").select("node", "f1", "f2", "root"), held, near, tried))
-        sure = _sure(texts, edges.where("not later"), width, least)
+        sure = _sure(texts, classes, edges.where("not later"), width, least)
         joined = components(sure.join(ends[0], "a").join(ends[1], "b").select("root_a", "root_b")).select(F.col("node").alias("root"), F.col("root").alias("lower"))
         named = settle(named.join(joined, "root", "left").withColumn("root", F.coalesce("lower", "root")).drop("lower"))
         tried, left = 4 * tried, edges.where("later")
-    named = named.select("h1", "h2", "f1", "f2", F.col("root").alias("component_id"))
-    return rows.join(named, ["h1", "h2", "f1", "f2"]).select("doc_id", "component_id")
+    rooted = classes.select(*words, "node", "at").join(named.select("node", "root"), "node")
+    smallest = rooted.groupBy("root").agg(F.min("at").alias("lowest"))
+    of = rooted.join(smallest, "root").select(*words, "lowest")
+    return rows.join(of, words).select("doc_id", "t", F.col("lowest.id").alias("component_id"), (own == F.col("lowest")).alias("first"))

@@ -48,8 +48,11 @@ def corpus(seed, bases=20, copies=5, edits=3, n=150):
 def test_against_brute_force(spark, held):
     texts = corpus(1) + [None, "", " \n", "a b", "A  b", "one two three four five six", "one two three four five six seven"]
     rows = [(i + 1, t) for i, t in enumerate(texts)]
-    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows] + [(1, texts[0], 1, "x"), (None, "x", 1, "x")], SCHEMA)
-    got = {r.doc_id: r.component_id for r in similar.groups(docs, held=held).collect()}
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows] + [(1, texts[0], 1, "x"), (None, "x", 1, "x"), (None, texts[7] + " x", 1, "x"), (None, texts[9], 1, "x")], SCHEMA)
+    found = similar.groups(docs, held=held).collect()
+    assert sorted((r.component_id or 0, r.first) for r in found if r.doc_id is None) == sorted([(0, True), *((r.component_id, False) for r in found if r.doc_id in (8, 10))])
+    assert len(found) == len(rows) + 3 and all(r.first == (r.doc_id == r.component_id) for r in found if r.doc_id is not None)
+    got = {r.doc_id: r.component_id for r in found if r.doc_id is not None}
     want = brute(rows)
     assert set(got) == set(want)
     assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
@@ -85,8 +88,8 @@ def test_dense_groups_around_the_threshold(spark, held):
     got = {r.doc_id: r.component_id for r in similar.groups(docs, held=held).collect()}
     sets = [frozenset(zip(*(t.split()[k:] for k in range(5)))) for t in texts]  # noqa: B905
     alike = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    (batch,) = similar._marks(docs.select("doc_id", "text").coalesce(1).toArrow().combine_chunks().to_batches(), 5)
-    bits = [(a & (1 << 64) - 1) | (b & (1 << 64) - 1) << 64 for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+    (batch,) = similar._marks(docs.select("doc_id", similar.text_key().alias("t"), "text").coalesce(1).toArrow().combine_chunks().to_batches(), 5)
+    bits = [(a & (1 << 64) - 1) | (b & (1 << 64) - 1) << 64 for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
     near = [(i, j) for i, j in alike if (bits[i] ^ bits[j]).bit_count() < 20]
     assert len(near) > 100 and [p for p in near if got[p[0]] != got[p[1]]] == []
     low = {i: i for i in range(len(texts))}
@@ -99,5 +102,12 @@ def test_dense_groups_around_the_threshold(spark, held):
     assert all(low[got[i]] == low[i] for i in got)
 
 
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    a, b = corpus(5, bases=2, copies=0)
+    docs = spark.createDataFrame([(1, a, 1, "x"), (1, b, 1, "x"), (1, b, 1, "x"), (2, b + " y", 1, "x"), (3, a, 1, "x")], SCHEMA)
+    got = similar.groups(docs).collect()
+    assert sorted((r.doc_id, r.component_id, r.first) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
+
+
 def test_empty(spark):
     assert similar.groups(spark.createDataFrame([], SCHEMA)).count() == 0
