@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over the documents table, each one reading what the stage before it wrote.
 
 Each stage function takes (spark, docs, sf_dir) and returns a DataFrame: the columns of documents, but for the last, whose rows are pieces of
-sequences. Rows without doc_id are documents of their own, known by their texts; empty tables pass through as empty tables.
+sequences. Rows without doc_id, or with one that others have, are documents of their own, known by their texts; empty tables pass through as empty tables.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelake.llm import linededup, packing, pii, similar, toxicity
-from changelake.llm.frames import fresh, settle
+from changelake.llm.frames import fresh, settle, text_key
 from changelake.llm.queries import vocabulary
 
 
@@ -39,13 +39,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
-    (key,) = fresh(docs, "key")
-    # An id beyond all others for a document without one, so that a named copy stays rather than it.
-    named = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.expr("xxhash64(coalesce(text, '')) & 4611686018427387903 | 4611686018427387904")))
-    groups = similar.groups(named.select(F.col(key).alias("doc_id"), "text"))
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key))
-    return named.join(first, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    """The first document of each group of near copies: five-word shingles, a similarity of 0.8 or more.
+
+    A document is known by its doc_id, null or not, and its text; of repeated rows one stays. A document with an id stays rather than one without.
+    """
+    key, id_, other, own = fresh(docs, "key", "id", "other", "own")
+    groups = similar.groups(docs.select("doc_id", "text"))
+    first = groups.where("first").select(F.col("doc_id").alias(other), F.col("t").alias(own))
+    # Repeated rows meet before the shuffle, so that none is hot in the join.
+    once = docs.withColumns({key: text_key(), id_: F.col("doc_id").cast("long")}).dropDuplicates([key, id_])
+    kept = once.join(first, F.col(id_).eqNullSafe(F.col(other)) & (F.col(key) == F.col(own)), "left_semi")
+    return kept.select(*docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
