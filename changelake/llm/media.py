@@ -8,6 +8,7 @@ All frames but the last have the highest bitrate, the last one the lowest that h
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,24 +31,68 @@ KBITS = {
     (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+#: Fixed values of the format: layer II's tables as (subbands, bits of their allocation), the first four for version 1, the last for versions 2 and 2.5.
+SUBBANDS = (((11, 4), (12, 3), (4, 2)), ((11, 4), (12, 3), (7, 2)), ((2, 4), (6, 3)), ((2, 4), (10, 3)), ((4, 4), (7, 3), (19, 2)))
+#: Fixed values of ID3: encodings of texts by number, and the fields of the 128 bytes at a file's end.
+ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
+ID3V1 = (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97), ("comment", 97, 127))
 SIDE, CRC = 17, 2
 PREFIX = 4 + CRC + SIDE
 UNIT = 64
 
 
-def crc16(data: bytes, crc: int = 0xFFFF) -> int:
-    """The format's checksum: polynomial x^16 + x^15 + x^2 + 1, most significant bit first."""
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The format's checksum of the first `bits` bits, or all: polynomial x^16 + x^15 + x^2 + 1, most significant bit first."""
+    crc, left = 0xFFFF, 8 * len(data) if bits is None else bits
     for byte in data:
         crc ^= byte << 8
-        for _ in range(8):
+        for _ in range(min(8, left)):
             crc = (crc << 1) ^ 0x8005 if crc & 0x8000 else crc << 1
         crc &= 0xFFFF
+        left -= 8
+        if left < 0:
+            # The last byte's other bits must not count: they are what is left of it in the register.
+            return crc ^ (byte << 8 + 8 + left & 0xFFFF)
+        if not left:
+            break
     return crc
 
 
 _crc = lru_cache(maxsize=4096)(crc16)
 
 
+def guarded_bits(frame: bytes, layer: int, side: int) -> int:
+    """How many bits after a frame's checksum it covers: the side information, or the allocation of bits, and in layer II which scale factors follow."""
+    if layer == 3:
+        return 8 * side
+    mode, ext = frame[3] >> 6, frame[3] >> 4 & 3
+    channels = 1 if mode == 3 else 2
+    if layer == 1:
+        bound = 4 * (ext + 1) if mode == 1 else 32 * (channels - 1)
+        return 4 * (32 + bound)
+    first, rate = frame[1] >> 3 & 3 == 3, RATES[frame[1] >> 3 & 3][frame[2] >> 2 & 3]
+    kbit = KBITS[1 if first else 2, 2][frame[2] >> 4] // channels
+    if not first:
+        table = 4
+    elif 56 <= kbit <= 80 or (rate == 48000 and kbit >= 56):
+        table = 0
+    elif rate != 48000 and kbit >= 96:
+        table = 1
+    else:
+        table = 3 if rate == 32000 else 2
+    widths = [n for count, n in SUBBANDS[table] for _ in range(count)]
+    bound = min(len(widths), 4 * (ext + 1)) if mode == 1 else len(widths) * (channels - 1)
+    value, total = int.from_bytes(frame[6 : 6 + 64], "big"), 8 * len(frame[6 : 6 + 64])
+    at = scales = 0
+    for band, width in enumerate(widths):
+        # Beyond the bound, or with one channel, one allocation serves all channels.
+        for _ in range(2 if band < bound else 1):
+            if at + width <= total and value >> total - at - width & (1 << width) - 1:
+                scales += 2 * (1 if band < bound else channels)
+            at += width
+    return at + scales
+
+
 @lru_cache(maxsize=4096)
 def header(data: bytes) -> tuple[int, int, int, int, int, bool, int] | None:
     """(frame length, samples, sampling rate, layer, version, has checksum, side information's length), or None if it is no valid header."""
@@ -110,27 +155,87 @@ def encode(payload: bytes, n_bytes: int) -> bytes:
     return tag + (_prefix(5) + table).ljust(_length(5), b"\0") + b"".join(frames)
 
 
+def _texts(body: bytes) -> list[str]:
+    """The texts of a text frame: an encoding's number, and texts with zeros between."""
+    if not body or body[0] >= len(ENCODINGS):
+        return []
+    raw = body[1:]
+    kind = "utf-16-le" if body[0] == 1 and raw[:2] == b"\xff\xfe" else "utf-16-be" if body[0] in (1, 2) else ENCODINGS[body[0]]
+    return [t.removeprefix("\ufeff") for t in raw.decode(kind, "replace").split("\0")]
+
+
+def _tag_frames(body: bytes, major: int, whole: bool) -> dict[str, str]:
+    """The text frames of a tag's body, after its extended header: user-defined texts by their names, others by the frames'. `whole`: synchronisation was avoided all over."""
+    unsafe = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
+    width, head = (3, 6) if major == 2 else (4, 10)
+    values, i = {}, 0
+    while i + head <= len(body) and body[i : i + width].isalnum():
+        name = body[i : i + width].decode("latin-1")
+        size = int.from_bytes(body[i + 3 : i + 6], "big") if major == 2 else unsafe(body[i + 4 : i + 8]) if major == 4 else struct.unpack(">I", body[i + 4 : i + 8])[0]
+        flags = body[i + 9] if major > 2 else 0
+        content = body[i + head : i + head + size]
+        i += head + size
+        if not name.startswith("T") or flags & (0x0C if major == 4 else 0xC0):
+            continue  # no text, or compressed or encrypted
+        if major == 4:
+            content = content[4:] if flags & 1 else content
+            content = content.replace(b"\xff\0", b"\xff") if flags & 2 or whole else content
+        texts = _texts(content)
+        if name in ("TXXX", "TXX") and texts:
+            values[texts[0]] = "".join(texts[1:2])
+        elif texts:
+            values[name] = "/".join(t for t in texts if t)
+    return values
+
+
 def _tags(data: bytes) -> tuple[int, dict[str, str]]:
-    """Where the tags at the start end, and their user-defined texts; a broken tag ends where its size says or at its first bad frame."""
+    """Where the ID3v2 tags at the start end, and their texts; a broken tag ends where its size says or at its first bad frame."""
     start, values = 0, {}
     while data[start : start + 3] == b"ID3" and len(data) >= start + 10 and not any(b & 0x80 for b in data[start + 6 : start + 10]):
         unsafe = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
         major, flags = data[start + 3], data[start + 5]
         end = min(len(data), start + 10 + unsafe(data[start + 6 : start + 10]))
-        i = start + 10
-        if flags & 0x40 and major > 2 and i + 4 <= end:
-            i += unsafe(data[i : i + 4]) if major == 4 else struct.unpack(">I", data[i : i + 4])[0] + 4
-        while major > 2 and i + 10 <= end and data[i : i + 4].isalnum():
-            size = unsafe(data[i + 4 : i + 8]) if major == 4 else struct.unpack(">I", data[i + 4 : i + 8])[0]
-            body = data[i + 10 : min(end, i + 10 + size)]
-            if data[i : i + 4] == b"TXXX" and body[:1] in (b"\0", b"\3"):
-                k, _, v = body[1:].partition(b"\0")
-                values[k.decode("utf-8" if body[0] else "latin-1", "replace")] = v.rstrip(b"\0").decode("utf-8" if body[0] else "latin-1", "replace")
-            i += 10 + size
+        body = data[start + 10 : end]
+        if flags & 0x80 and major < 4:
+            body = body.replace(b"\xff\0", b"\xff")
+        if flags & 0x40 and major > 2 and len(body) >= 4:
+            body = body[unsafe(body[:4]) if major == 4 else struct.unpack(">I", body[:4])[0] + 4 :]
+        if 2 <= major <= 4 and not (major == 2 and flags & 0x40):
+            values |= _tag_frames(body, major, bool(flags & 0x80))
         start = end + (10 if major == 4 and flags & 0x10 else 0)
     return start, values
 
 
+def _closing_tag(data: bytes) -> dict[str, str]:
+    """The fields of the ID3v1 tag at the end, if there is one; a comment that leaves room for it has the track's number."""
+    tag = data[-128:]
+    if len(tag) < 128 or tag[:3] != b"TAG":
+        return {}
+    out = {name: tag[a:b].split(b"\0")[0].decode("latin-1").rstrip() for name, a, b in ID3V1}
+    if not tag[125] and tag[126]:
+        out["track"] = str(tag[126])
+    return {k: v for k, v in out.items() if v} | {"genre": str(tag[127])}
+
+
+def _table(frame: bytes, main: bytes) -> dict | None:
+    """The variable-bitrate table of a first frame: one after the side information, or one of the other kind 32 bytes after the header."""
+    if main[:4] in (b"Xing", b"Info") and len(main) >= 8:
+        flags, k, table = struct.unpack(">I", main[4:8])[0], 8, {"kind": main[:4].decode()}
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit and len(main) >= k + 4:
+                table[name], k = struct.unpack(">I", main[k : k + 4])[0], k + 4
+        if flags & 4:
+            table["toc"] = list(main[k : k + 100])
+        return table
+    body = frame[36:]
+    if body[:4] != b"VBRI" or len(body) < 26:
+        return None
+    size, frames, entries, scale, width, step = struct.unpack(">IIHHHH", body[10:26])
+    rows = body[26 : 26 + entries * width]
+    toc = [scale * int.from_bytes(rows[n : n + width], "big") for n in range(0, len(rows), width)] if width else []
+    return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": toc, "frames_per_entry": step}
+
+
 def _synced(data: bytes, i: int, like: tuple | None) -> int:
     """The next place from i on with a frame that another frame, the end or a closing tag follows; the data's length if none is."""
     while True:
@@ -149,7 +254,7 @@ def _synced(data: bytes, i: int, like: tuple | None) -> int:
 def decode(data: bytes) -> dict:
     """What a stream holds: durations, seek offsets, checks and the frames' main data.
 
-    Bytes that belong to no frame are skipped to the next place where two frames follow each other. A frame whose checksum fails counts as bad and
+    Bytes that belong to no frame are skipped to the next place where two frames follow each other. A frame of any layer whose checksum fails counts as bad and
     its data is kept. Data without any frame gives zeros and an empty payload.
     """
     i, tags = _tags(data)
@@ -169,19 +274,14 @@ def decode(data: bytes) -> dict:
                 break
             found = header(data[i : i + 4])
         last = found
-        length, count, rate, _, _, checked, side = found
+        length, count, rate, layer, _, checked, side = found
         body = i + 4 + (2 if checked else 0)
-        if checked and side and struct.unpack(">H", data[i + 4 : i + 6])[0] != _crc(data[i + 2 : i + 4] + data[body : body + side]):
-            bad += 1
+        if checked:
+            bits = guarded_bits(data[i : i + 70] if layer == 2 else data[i : i + 4], layer, side)
+            if struct.unpack(">H", data[i + 4 : i + 6])[0] != _crc(data[i + 2 : i + 4] + data[body : body + -(-bits // 8)], 16 + bits):
+                bad += 1
         main = data[body + side : i + length]
-        if first and main[:4] in (b"Xing", b"Info") and len(main) >= 8:
-            flags, k, table = struct.unpack(">I", main[4:8])[0], 8, {"kind": main[:4].decode()}
-            for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit and len(main) >= k + 4:
-                    table[name], k = struct.unpack(">I", main[k : k + 4])[0], k + 4
-            if flags & 4:
-                table["toc"] = list(main[k : k + 100])
-        else:
+        if not first or not (table := _table(data[i : i + length], main)):
             offsets.append(i)
             parts.append(main)
             samples += count
@@ -192,7 +292,7 @@ def decode(data: bytes) -> dict:
     want = tags.get("payload_bytes", "")
     payload = payload[: int(want)] if want.isdigit() else payload
     ok = tags["payload_crc32"] == str(zlib.crc32(payload)) if "payload_crc32" in tags else None
-    return {"tags": tags, "table": table, "offsets": offsets, "samples": samples, "rate": rate, "bad_crc": bad, "skipped": skipped, "resyncs": resyncs, "payload": payload, "payload_ok": ok, "vbr": len(lengths) > 1}
+    return {"tags": tags, "closing": _closing_tag(data), "table": table, "offsets": offsets, "samples": samples, "rate": rate, "bad_crc": bad, "skipped": skipped, "resyncs": resyncs, "payload": payload, "payload_ok": ok, "vbr": len(lengths) > 1}
 
 
 def padded(text: bytes) -> bytes:
@@ -214,7 +314,7 @@ def store(docs: DataFrame) -> DataFrame:
 
 ANALYSED = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, n_samples long, "
-    "sample_rate int, bad_crc long, skipped_bytes long, resyncs long, payload_ok boolean, vbr_frames long, vbr_bytes long, seek_offsets array<long>, feature string"
+    "sample_rate int, bad_crc long, skipped_bytes long, resyncs long, payload_ok boolean, vbr_frames long, vbr_bytes long, tags string, seek_offsets array<long>, feature string"
 )
 
 
@@ -229,7 +329,7 @@ def _describe(doc_id: int | None, data: bytes) -> tuple:
     )
     return (
         doc_id, int(n) if n.isdigit() else None, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), len(x["offsets"]), x["samples"],
-        x["rate"], x["bad_crc"], x["skipped"], x["resyncs"], x["payload_ok"], table.get("frames"), table.get("bytes"), x["offsets"], feature,
+        x["rate"], x["bad_crc"], x["skipped"], x["resyncs"], x["payload_ok"], table.get("frames"), table.get("bytes"), json.dumps(x["tags"] | {f"id3v1.{k}": v for k, v in x["closing"].items()}, ensure_ascii=False, sort_keys=True), x["offsets"], feature,
     )
 
 
@@ -248,5 +348,5 @@ ANALYSED_ARROW = pa.schema(
 
 
 def analyse(media: DataFrame) -> DataFrame:
-    """What the streams of `media` (doc_id, media) hold, one row each: see ANALYSED. A null or broken stream has no frames and an empty payload."""
+    """What the streams of `media` (doc_id, media) hold, one row each: see ANALYSED. `tags` is a JSON object; seek_offsets has each frame's first byte. A null or broken stream has no frames and an empty payload."""
     return media.select("doc_id", "media").mapInArrow(_analyse, ANALYSED)
