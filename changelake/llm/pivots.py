@@ -1,11 +1,12 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
 Pivots are vectors of a bounded sample, no two of them near each other: in a dense group, many pivots of the group itself would rank by noise alone.
-Every vector is described by its nearest pivots, in order, and stands in the inverted list of each of them.
-Two vectors are candidates if they share at least SHARED of those pivots; they are met once, in the list of the first pivot that they share, and there the
-cosine is computed in double precision. Equal vectors are one class, which is never expanded into pairs. A list that is longer than BLOCK is cut into
-blocks, and each pair of blocks is a task's work, so no task holds more than two blocks and no pair is lost. Each block pair returns counts and a
-spanning forest, not its pairs.
+Every vector is described by its nearest pivots, in order, and stands in the inverted list of each of them. How near pivots may be, whether vectors are
+centred first, and how many pivots describe a vector follow from the sample: of the indexes that find enough pairs of its held-out part, the one with the fewest
+comparisons is taken. Two vectors are candidates if they share at least SHARED of those pivots; they are met once, in the list of the first pivot that they
+share, and there the cosine is computed in double precision. Equal vectors are one class, which is never expanded into pairs. A list of over SPLIT blocks is
+parted by the second pivot that candidates share. A list that is longer than BLOCK is cut into blocks, and each pair of blocks is a task's work, so no
+task holds more than two blocks and no pair is lost. Each block pair returns counts and a spanning forest, not its pairs.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from changelake.llm.components import components
 from changelake.llm.frames import settle
 
 THRESHOLD = 0.9
-#: The index is fitted on this many vectors at most, picked by a hash; PREFIX nearest pivots describe a vector.
-MOST_PIVOTS, PREFIX, SHARED, BLOCK = 4096, 12, 2, 2048
-#: No two pivots have a cosine above this.
-SPREAD = 0.7
+#: The index is fitted on three times this many vectors at most, picked by a hash; PREFIX nearest pivots describe a vector, or up to four times as many.
+MOST_PIVOTS, PREFIX, SHARED, BLOCK, SPLIT = 4096, 12, 2, 2048, 8
+#: No two pivots have a cosine above one of these. How many vectors are held out at most, and the share to be found of their pairs and of pairs made at the threshold.
+SPREADS, HELD_OUT, FOUND, FOUND_AT_THRESHOLD = (0.7, 0.9), 2048, 0.95, 0.9
 #: Room for rounding in the single-precision screen that precedes double precision.
 SLACK = 1e-4
 
@@ -36,12 +37,14 @@ def pivots_for(classes: int) -> int:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows of length one. Rows are scaled by their largest component first, so that squares neither overflow nor vanish."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    """Rows of length one, or zeros. Rows are scaled by their largest component first, so that squares neither overflow nor vanish."""
+    top = np.abs(x).max(axis=1, keepdims=True)
+    x = x / np.where(top == 0, 1, top)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(length == 0, 1, length)
 
 
-def spread(candidates: np.ndarray, most: int, limit: float = SPREAD) -> np.ndarray:
+def spread(candidates: np.ndarray, most: int, limit: float) -> np.ndarray:
     """Up to `most` of the unit vectors, in their order, without any that is too near to one taken before."""
     taken = np.empty((0, candidates.shape[1]))
     for start in range(0, len(candidates), 256):
@@ -57,24 +60,81 @@ def spread(candidates: np.ndarray, most: int, limit: float = SPREAD) -> np.ndarr
     return taken[:most]
 
 
-def _described(pivots: np.ndarray, prefix: int, width: int):
+class Index:
+    """Pivots around a centre, and how many of them describe a vector."""
+
+    def __init__(self, centre: np.ndarray, pivots: np.ndarray, prefix: int):
+        self.centre, self.pivots, self.prefix = centre, pivots, min(prefix, len(pivots))
+
+    def nearest(self, vectors: np.ndarray) -> np.ndarray:
+        """The numbers of each unit vector's nearest pivots, the nearest first."""
+        near = unit(vectors - self.centre) @ self.pivots.T
+        top = np.argpartition(-near, self.prefix - 1, axis=1)[:, : self.prefix]
+        order = np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable")
+        return np.take_along_axis(top, order, axis=1).astype(np.int32)
+
+    def found(self, a: np.ndarray, b: np.ndarray, shared: int) -> float:
+        """The share of pairs of unit vectors that are candidates."""
+        if not len(a):
+            return 1.0
+        x, y = self.nearest(a), self.nearest(b)
+        both = np.array([(p[:, None] == q[None, :]).sum() for p, q in zip(x, y, strict=True)])
+        return float((both >= min(shared, self.prefix)).mean())
+
+    def cost(self, vectors: np.ndarray) -> float:
+        """Comparisons within lists, as a share of all pairs of these unit vectors."""
+        return float(((np.bincount(self.nearest(vectors).ravel(), minlength=len(self.pivots)) / len(vectors)) ** 2).sum())
+
+
+def fit(sample: np.ndarray, want: int, threshold: float, prefix: int, shared: int) -> Index:
+    """The index of up to `want` pivots with the fewest comparisons that finds enough pairs of the sample's held-out unit vectors; the most thorough one if none does.
+
+    The pairs are those within the threshold among the held-out vectors, and each of them with a vector made to be at the threshold. An index of few pivots
+    finds all pairs by comparing all, which only grows with the table, so it is the last resort.
+    """
+    known, held = sample[: 2 * want], sample[2 * want :][:HELD_OUT]
+    held = held if len(held) >= 64 else known[:HELD_OUT]
+    rng = np.random.default_rng(0)
+    off = rng.normal(size=held.shape)
+    off = unit(off - (off * held).sum(axis=1, keepdims=True) * held)
+    made = threshold * held + math.sqrt(max(0.0, 1 - threshold * threshold)) * off
+    i, j = np.nonzero(np.triu(held @ held.T >= threshold, 1))
+    if len(i) > HELD_OUT:
+        some = rng.choice(len(i), HELD_OUT, replace=False)
+        i, j = i[some], j[some]
+    best: tuple[bool, float, Index] | None = None
+    for length in (n * prefix // 2 for n in (2, 3, 4, 6, 8)):
+        good: list[tuple[float, Index]] = []
+        for centre in (np.zeros(sample.shape[1]), known.mean(axis=0)):
+            around = unit(known - centre)
+            around = around[np.abs(around).max(axis=1) > 0]
+            for limit in SPREADS if len(around) else ():
+                index = Index(centre, spread(around, want, limit), length)
+                share = min(index.found(held, made, shared) / FOUND_AT_THRESHOLD, index.found(held[i], held[j], shared) / FOUND)
+                enough = len(index.pivots) >= min(want, len(known)) / 4
+                if share >= 1 and enough:
+                    good.append((index.cost(held), index))
+                if best is None or (enough, share) > best[:2]:
+                    best = enough, share, index
+        if good:
+            return min(good, key=lambda x: x[0])[1]
+    return best[2]
+
+
+def _described(index: Index, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(batch.num_rows, width)
-            near = unit(vectors) @ pivots.T
-            k = min(prefix, pivots.shape[0])
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            order = np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable")
-            top = np.take_along_axis(top, order, axis=1).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, top.size + 1, k, dtype=np.int32)), pa.array(top.ravel()))
+            top = index.nearest(unit(vectors)) if batch.num_rows else np.empty((0, index.prefix), dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, top.size + 1, index.prefix, dtype=np.int32)), pa.array(top.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], names=["class", "vector", "copies", "near"])
 
     return run
 
 
 def _verify(table: pa.Table, width: int, threshold: float, shared: int) -> pa.Table:
-    """Counts and a spanning forest of one pair of blocks of a list."""
-    pivot, left, right = (table.column(c)[0].as_py() for c in ("pivot", "left", "right"))
+    """Counts and a spanning forest of one pair of blocks of a list, which `second` may have parted."""
+    pivot, second, left, right = (table.column(c)[0].as_py() for c in ("pivot", "second", "left", "right"))
     ids, copies = np.asarray(table.column("class")), np.asarray(table.column("copies"))
     block = np.asarray(table.column("block"))
     flat = table.column("vector").combine_chunks().flatten()
@@ -98,12 +158,14 @@ def _verify(table: pa.Table, width: int, threshold: float, shared: int) -> pa.Ta
         i, j = some[rows], b[columns]
         keep = i < j if left == right else np.ones(i.size, dtype=bool)
         i, j = i[keep], j[keep]
-        for t in range(0, i.size, 65_536):
-            p, q = i[t : t + 65_536], j[t : t + 65_536]
+        step = max(1, (1 << 23) // near.shape[1] ** 2)
+        for t in range(0, i.size, step):
+            p, q = i[t : t + step], j[t : t + step]
             alike = near[p][:, :, None] == near[q][:, None, :]
             common = alike.any(axis=2)
-            first = np.where(common.any(axis=1), near[p][np.arange(p.size), common.argmax(axis=1)], -1)
-            ok = (common.sum(axis=1) >= min(shared, near.shape[1])) & (first == pivot)
+            nth = np.cumsum(common, axis=1)
+            met = lambda n: np.where(nth[:, -1] >= n, near[p][np.arange(p.size), (nth >= n).argmax(axis=1)], -1)  # noqa: B023, E731
+            ok = (nth[:, -1] >= min(shared, near.shape[1])) & (met(1) == pivot) & ((second < 0) | (met(2) == second))
             p, q = p[ok], q[ok]
             ok = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
             p, q = p[ok], q[ok]
@@ -142,8 +204,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, prefix: in
     # -0.0 and 0.0 are the same component, so copies are equal in every bit.
     numbered = base.withColumn("sound", sound).withColumn("vector", F.when(F.col("sound"), F.transform("vector", lambda x: F.when(x == 0, F.lit(0).cast(kind)).otherwise(x))))
     grouped = numbered.where("sound").groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    # A class is known by a hash of its vector and its smallest id, as several may have no id at all.
-    classes = settle(grouped.withColumn("class", F.xxhash64("vector", "first")).withColumn("width", F.size("vector")))
+    # A class gets a number of its own, which is settled with it.
+    classes = settle(grouped.withColumn("class", F.monotonically_increasing_id()).withColumn("width", F.size("vector")))
     widths = [r["width"] for r in classes.select("width").distinct().collect()]
     found = None
     for width in sorted(widths):
@@ -167,16 +229,23 @@ def _links(classes: DataFrame, width: int, threshold: float, prefix: int, shared
     """(class, other, n): a class's linked rows as n, and edges with another class, for vectors of one length."""
     count = classes.count()
     want = min(pivots_for(count), most_pivots, count)
-    # A hash order that a copy cannot sway; the sample is bounded by twice most_pivots.
-    picked = classes.orderBy(F.xxhash64("vector", F.lit("pivot")), "vector").select("vector").limit(2 * want).collect()
-    pivots = spread(unit(np.array([r["vector"] for r in picked], dtype=np.float64)), want)
-    described = classes.select("class", "vector", "copies").mapInArrow(_described(pivots, prefix, width), f"class long, vector {classes.schema['vector'].dataType.simpleString()}, copies long, near array<int>")
+    # A hash order that a copy cannot sway; the sample is bounded by three times most_pivots.
+    picked = classes.orderBy(F.xxhash64("vector", F.lit("pivot")), "vector").select("vector").limit(3 * want).collect()
+    index = fit(unit(np.array([r["vector"] for r in picked], dtype=np.float64)), want, threshold, prefix, shared)
+    described = classes.select("class", "vector", "copies").mapInArrow(_described(index, width), f"class long, vector {classes.schema['vector'].dataType.simpleString()}, copies long, near array<int>")
     described = settle(described)
     sizes = described.select(F.explode("near").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("members"))
     # One row per pivot, and there are most_pivots of these at most.
-    blocks = F.broadcast(sizes.select("pivot", F.greatest(F.lit(1), F.ceil(F.col("members") / block)).cast("int").alias("blocks")))
-    listed = described.withColumn("pivot", F.explode("near")).join(blocks, "pivot")
-    listed = listed.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    listed = described.withColumn("pivot", F.explode("near")).join(F.broadcast(sizes), "pivot")
+    none = F.array(F.lit(-1))
+    if shared >= 2 and index.prefix >= 2:
+        # In a list parted by the second pivot, a vector that has no further one cannot share two.
+        none = F.when(F.col("members") > SPLIT * block, F.filter("near", lambda x: x > F.col("pivot"))).otherwise(none)
+    parted = listed.withColumn("second", F.explode(none))
+    parts = parted.where("second >= 0").groupBy("pivot", "second").agg(F.count("*").alias("part"))
+    sized = parted.where("second < 0").withColumn("part", F.col("members")).unionByName(parted.where("second >= 0").join(parts, ["pivot", "second"]))
+    blocked = sized.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("part") / block)).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = listed.withColumn("partner", partner).withColumn("left", F.least("block", "partner")).withColumn("right", F.greatest("block", "partner"))
-    return dealt.groupBy("pivot", "left", "right").applyInArrow(lambda t: _verify(t, width, threshold, shared), "class long, other long, n long")
+    dealt = blocked.withColumn("partner", partner).withColumn("left", F.least("block", "partner")).withColumn("right", F.greatest("block", "partner"))
+    wanted = ["class", "vector", "copies", "near", "pivot", "second", "block", "left", "right"]
+    return dealt.select(*wanted).groupBy("pivot", "second", "left", "right").applyInArrow(lambda t: _verify(t, width, threshold, shared), "class long, other long, n long")

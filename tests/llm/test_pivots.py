@@ -34,7 +34,7 @@ def cloud(seed=0, groups=12, each=9, width=24):
     return [[float(x) for x in np.float32(v)] for v in out]
 
 
-@pytest.mark.parametrize("block", [2048, 5])
+@pytest.mark.parametrize("block", [2048, 5, 1])
 def test_against_brute_force(spark, block):
     vectors = cloud()
     rows = [(3 * i + 5, v, 0, "clash", 1) for i, v in enumerate(vectors)]
@@ -76,6 +76,29 @@ def test_recall_in_a_group_of_a_third_of_all_rows(spark, cosine):
     assert (got <= want).all() and got.sum() >= 0.9 * want.sum() > 0
 
 
+@pytest.mark.parametrize(("cosine", "width"), [(0.85, 64), (0.6, 32)])
+def test_vectors_with_a_common_direction(spark, cosine, width):
+    """As learned embeddings have: the index keeps its pivots and compares few of all pairs."""
+    rng = np.random.default_rng(9)
+    centre = np.zeros(width)
+    centre[0] = 1
+    off = rng.normal(size=(5000, width))
+    off[:, 0] = 0
+    out = np.sqrt(cosine) * centre + np.sqrt(1 - cosine) * pivots.unit(off)
+    near = rng.normal(size=(1000, width))
+    near = pivots.unit(near - (near * out[:1000]).sum(axis=1, keepdims=True) * out[:1000])
+    at = rng.uniform(0.9, 0.96, size=(1000, 1))
+    out = np.concatenate([out, at * out[:1000] + np.sqrt(1 - at * at) * near]).astype(np.float32)
+    sample = pivots.unit(out.astype(np.float64)[rng.permutation(6000)])
+    index = pivots.fit(sample[:900], 300, 0.9, pivots.PREFIX, pivots.SHARED)
+    assert len(index.pivots) >= 200 and index.prefix <= 36
+    x = pivots.unit(out.astype(np.float64))
+    want = (x @ x.T >= 0.9).sum() - len(x)
+    rows = [(i, v, 0, "", 0) for i, v in enumerate(out.tolist())]
+    got = pivots.near_duplicates(spark.createDataFrame(rows, SCHEMA)).agg({"n_links": "sum"}).first()[0]
+    assert want >= got >= 0.9 * want > 0
+
+
 def test_null_ids_and_empty(spark):
     rows = [(None, [1.0, 0.0], 0, "", 0), (None, [1.0, 0.01], 0, "", 0), (4, [0.0, 1.0], 0, "", 0)]
     got = pivots.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
