@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,9 @@ TEMPLATES = {
     ),
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",),
     "mit": (
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
@@ -69,18 +74,22 @@ def _hashes(words: Words, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     return at, h.view(np.int64)
 
 
-def templates(spark: SparkSession, k: int = K) -> DataFrame:
-    """(h, template, label, grams, place, wording) of the fixed list: a few hundred rows, whatever the corpus."""
+def known_grams(k: int = K) -> list[tuple[int, str, int, int, str]]:
+    """(template, label, grams, place, wording) of the fixed list: a template's number, label and k-grams, and where each stands and how it reads."""
     rows, number = [], 0
     for label, texts in TEMPLATES.items():
         for text in texts:
             words = words_of(text)
-            at, h = _hashes(Words([text.translate(UPPER).encode()]), k)
-            if len(at) > 63:
-                raise ValueError("a template has 63 k-grams at most")
-            rows += [(int(x), number, label, len(at), int(p), " ".join(words[p : p + k])) for p, x in zip(at, h, strict=True)]
+            rows += [(number, label, len(words) - k + 1, p, " ".join(words[p : p + k])) for p in range(len(words) - k + 1)]
             number += 1
-    return spark.createDataFrame(rows, "h long, template int, label string, grams int, place int, wording string")
+    return rows
+
+
+def templates(spark: SparkSession, k: int = K) -> DataFrame:
+    """The rows of `known_grams` with their hashes h: several hundred, whatever the corpus."""
+    rows = known_grams(k)
+    hashes = [int(_hashes(Words([w.encode()]), k)[1][0]) for *_, w in rows]
+    return spark.createDataFrame([(h, *r) for h, r in zip(hashes, rows, strict=True)], "h long, template int, label string, grams int, place int, wording string")
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,15 +147,15 @@ def scan(docs: DataFrame) -> DataFrame:
     hit = F.coalesce("hit", F.lit(False))
     own = [F.when(hit, F.col(c)).alias(c) for c in ("template", "p", "place")]
     votes = met.select(*head, *own).withColumn("diagonal", F.col("p") - F.col("place"))
-    # All buffers have a fixed width, so that votes are hashed and summed where they arise, and a template's places are the bits of a long.
-    tallied = votes.groupBy("row", "template", "diagonal").agg(
-        *(F.first(c).alias(c) for c in head[1:]), F.min("p").alias("from"), F.max("p").alias("to"), F.bit_or(F.expr("shiftleft(1L, place)")).alias("places")
-    )
+    # All buffers have a fixed width, so that votes are hashed and summed where they arise: a template's places are the bits of as many longs as the longest needs.
+    longs = [f"places{n}" for n in range(-(-max(g for _, _, g, _, _ in known_grams()) // 64))]
+    places = [F.bit_or(F.expr(f"if(place div 64 = {n}, shiftleft(1L, place % 64), 0L)")).alias(c) for n, c in enumerate(longs)]
+    tallied = votes.groupBy("row", "template", "diagonal").agg(*(F.first(c).alias(c) for c in head[1:]), F.min("p").alias("from"), F.max("p").alias("to"), *places)
     order = Window.partitionBy("row", "template").orderBy("diagonal", "from")
     apart = (F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT) | (F.col("from") > F.lag("to").over(order) + GAP) | (F.col("to") < F.lag("from").over(order) - GAP)
     parted = tallied.withColumn("part", F.sum(F.when(apart, 1).otherwise(0)).over(order))
     spans = parted.groupBy("row", "template", "part").agg(
-        *(F.first(c).alias(c) for c in head[1:]), F.min("from").alias("from"), (F.max("to") + K - 1).alias("to"), F.bit_count(F.bit_or("places")).alias("covered")
+        *(F.first(c).alias(c) for c in head[1:]), F.min("from").alias("from"), (F.max("to") + K - 1).alias("to"), reduce(add, (F.bit_count(F.bit_or(c)) for c in longs)).alias("covered")
     )
     kinds = F.broadcast(known.groupBy(F.col("template").alias("kind")).agg(F.first("label").alias("label"), F.first("grams").alias("grams")))
     rated = spans.join(kinds, F.col("template") == F.col("kind"), "left").withColumn("cover", F.col("covered") / F.col("grams"))

@@ -25,9 +25,8 @@ def brute(text):
 
 
 def test_templates_fit():
-    for texts in licenses.TEMPLATES.values():
-        for t in texts:
-            assert 4 <= len(licenses.words_of(t)) <= 66
+    sizes = [len(licenses.words_of(t)) for texts in licenses.TEMPLATES.values() for t in texts]
+    assert min(sizes) >= 4 and max(sizes) > 64 + 3  # a whole license has more k-grams than a long has bits
 
 
 def test_scan(spark):
