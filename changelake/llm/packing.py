@@ -1,16 +1,18 @@
 """Packing of documents into sequences: best fit by decreasing length, then swap-based local search.
 
 Documents are dealt evenly over groups of about GROUP rows; each group is packed by itself, so no task holds more, and only a group's
-last sequence is worth less than full. In the search, sequences that are not full exchange one document for one, two for one, or take one
+last sequence is worth less than full. In the search, sequences that are not full exchange one document for one, two for one, or take one or two
 over. Every step moves length from an emptier sequence to one that is at least as full, so the sum of squared fills rises until the
-emptier ones are empty or nothing improves.
+emptier ones are empty, nothing improves, or SWEEPS rounds are done.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -136,50 +138,76 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
+def _choices(items: list[int], sizes: list[int]) -> list[tuple[int, ...]]:
+    """One or two of a bin's items, one choice for each different set of sizes, larger items first. A bin of room r has fewer than sqrt(2r) sizes."""
+    by: dict[int, list[int]] = defaultdict(list)
+    for i in items:
+        by[sizes[i]].append(i)
+    order = sorted(by, reverse=True)
+    two = [(by[s][0], by[t][s == t]) for n, s in enumerate(order) for t in order[n:] if s != t or len(by[s]) > 1]
+    return [(by[s][0],) for s in order] + two
+
+
+class _Places:
+    """Where something could go: by the room that a bin has in place of none, one or two of its items, the bins sorted by what they have left."""
+
+    def __init__(self):
+        self.lists: list[dict[int, list[tuple]]] = [{}, {}, {}]
+        self.masks = [0, 0, 0]
+
+    def add(self, room: int, left: int, bin_: int, version: int, items: tuple[int, ...]) -> None:
+        own = self.lists[len(items)]
+        if room not in own:
+            own[room] = []
+            self.masks[len(items)] |= 1 << room
+        insort(own[room], (left, bin_, version, items))
+
+    def find(self, size: int, most: int, given: int, giver: int, version: list[int]) -> tuple[int, tuple[int, ...]] | None:
+        """The bin, and what it gives back, that is left fullest by taking `size`, of bins with at most `most` left. At most three items move, and the bin gains."""
+        found: tuple[int, int, tuple[int, ...]] | None = None
+        for back in range(min(3, 4 - given)):
+            # With more room than that, the bin would have to have more left than `most` to gain.
+            span = (most if found is None else min(most, found[0] - size)) if most > 0 else 0
+            rooms = self.masks[back] >> size & (1 << max(span, 0)) - 1
+            while rooms:
+                low = rooms & -rooms
+                rooms ^= low
+                room = size + low.bit_length() - 1
+                own = self.lists[back][room]
+                k = bisect_right(own, (room - size, math.inf))
+                while k < len(own) and own[k][0] <= most:
+                    _, bin_, v, items = own[k]
+                    if v != version[bin_]:
+                        del own[k]
+                    elif bin_ == giver:
+                        k += 1
+                    else:
+                        found = room, bin_, items
+                        break
+                if not own:
+                    del self.lists[back][room]
+                    self.masks[back] ^= 1 << room
+                if found and found[0] == room:
+                    break
+        return found and found[1:]
+
+
 def improve(bins: list[list[int]], sizes: list[int], room: int, sweeps: int = SWEEPS) -> list[list[int]]:
-    """Empty the emptiest bins by moves and exchanges that never lower the sum of squared fills. Items stay whole; empty bins go."""
+    """Empty the emptiest bins: one or two items move to a bin that is at least as full, against none, one or two items of less length, three items at most.
+
+    Every exchange raises the sum of squared fills. All bins that are not full and all their items are tried, the emptiest bins first, until no exchange is left or
+    `sweeps` rounds over the bins are done. Items stay whole; empty bins go.
+    """
     bins = [list(b) for b in bins]
     left = [room - sum(sizes[i] for i in b) for b in bins]
     loose = [b for b in range(len(bins)) if left[b] > 0]
     version = [0] * len(bins)
-    #: By what a bin could hold in place of nothing, one item or two of its items: (bin, those items, the bin's version).
-    places: dict[int, list[tuple[int, tuple[int, ...], int]]] = defaultdict(list)
+    places = _Places()
 
     def offer(b: int) -> None:
-        items = bins[b]
-        if left[b] <= 0 or not items:
-            return
-        places[left[b]].append((b, (), version[b]))
-        seen = set()
-        for x, i in enumerate(items):
-            if sizes[i] not in seen:
-                seen.add(sizes[i])
-                places[left[b] + sizes[i]].append((b, (i,), version[b]))
-            if len(items) <= 24:
-                for j in items[x + 1 :]:
-                    places[left[b] + sizes[i] + sizes[j]].append((b, (i, j), version[b]))
-
-    def find(giver: int, size: int, given: int) -> tuple[int, tuple[int, ...]] | None:
-        """A bin at least as full as the giver that is left fullest when it takes `size` for less."""
-        for capacity in range(size, min(room, size + 256) + 1):
-            stack = places.get(capacity)
-            if not stack:
-                continue
-            kept, found = [], None
-            while stack:
-                b, items, v = entry = stack.pop()
-                if v != version[b]:
-                    continue
-                kept.append(entry)
-                if b != giver and left[b] <= left[giver] and given + len(items) <= 3 and sum(sizes[i] for i in items) < size:
-                    found = b, items
-                    break
-                if len(kept) >= 32:
-                    break
-            stack.extend(reversed(kept))
-            if found:
-                return found
-        return None
+        if left[b] > 0 and bins[b]:
+            for items in ((), *_choices(bins[b], sizes)):
+                places.add(left[b] + sum(sizes[i] for i in items), left[b], b, version[b], items)
 
     for b in loose:
         offer(b)
@@ -189,11 +217,9 @@ def improve(bins: list[list[int]], sizes: list[int], room: int, sweeps: int = SW
             moved = True
             while moved and bins[giver]:
                 moved = False
-                items = sorted(bins[giver], key=lambda i: -sizes[i])
-                tries = [(i,) for i in items] + [(i, j) for x, i in enumerate(items[:16]) for j in items[x + 1 : 16]]
-                for out in tries:
-                    size = sum(sizes[i] for i in out)
-                    if size > room or not (found := find(giver, size, len(out))):
+                for out in _choices(bins[giver], sizes):
+                    found = places.find(sum(sizes[i] for i in out), left[giver], len(out), giver, version)
+                    if not found:
                         continue
                     taker, back = found
                     bins[giver] = [i for i in bins[giver] if i not in out] + list(back)

@@ -1,5 +1,6 @@
 """Tokens against the tokenizer itself, packing against its invariants and a lower bound, and the edge cases."""
 
+import itertools
 import random
 import zlib
 
@@ -67,6 +68,78 @@ def test_search_empties_bins():
     assert len(packing.improve([[0, 1], [2, 3], [4]], [5, 3, 6, 2, 4], 10)) == 2
 
 
+def triples(rng, n, room=100):
+    """Sizes of three items each that fill a bin, which best fit by decreasing length seldom finds."""
+    out = []
+    for _ in range(n):
+        a = rng.randint(26, 40)
+        b = rng.randint(26, 40)
+        out += [a, b, room - a - b]
+    rng.shuffle(out)
+    return out
+
+
+def test_search_empties_bins_that_best_fit_leaves():
+    before = after = 0
+    for seed in range(40):
+        sizes = triples(random.Random(seed), 60)
+        first = packing.best_fit(sizes, 100)
+        found = packing.improve(first, sizes, 100)
+        assert sorted(i for b in found for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 100 for b in found)
+        before, after = before + len(first), after + len(found)
+    assert before >= 40 * 62 and after < before - 40, (before, after)  # 60 are needed
+
+
+def optimum(sizes, room):
+    """The fewest bins, by trying all ways to fill them one after another."""
+    best = [len(sizes)]
+
+    def place(k, left):
+        if len(left) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(left)
+            return
+        for spare in {x for x in left if x >= sizes[k]}:
+            i = left.index(spare)
+            place(k + 1, [*left[:i], spare - sizes[k], *left[i + 1 :]])
+        place(k + 1, [*left, room - sizes[k]])
+
+    sizes = sorted(sizes, reverse=True)
+    place(0, [])
+    return best[0]
+
+
+def test_search_against_the_optimum():
+    gap = more = 0
+    for seed in range(60):
+        rng = random.Random(seed)
+        sizes = triples(rng, 3) if seed % 2 else [rng.randint(5, 60) for _ in range(9)]
+        want, first = optimum(sizes, 100), packing.best_fit(sizes, 100)
+        found = len(packing.improve(first, sizes, 100))
+        assert want <= found <= len(first)
+        gap, more = gap + found - want, more + len(first) - want
+    assert gap < more and gap <= 15, (gap, more)
+
+
+def test_exchanges_raise_squared_fill_until_none_is_left():
+    for seed in range(10):
+        rng = random.Random(seed)
+        sizes = [rng.randint(1, 30) for _ in range(40)]
+        bins = [[i for i in range(40) if i % 16 == b] for b in range(16)]
+        bins = [b for b in bins if sum(sizes[i] for i in b) <= 100]
+        held = [i for b in bins for i in b]
+        found = packing.improve(bins, sizes, 100, sweeps=100)
+        squared = lambda some: sum(sum(sizes[i] for i in b) ** 2 for b in some)
+        assert squared(found) >= squared(bins) and sorted(i for b in found for i in b) == sorted(held)
+        fill = [sum(sizes[i] for i in b) for b in found]
+        for g, t in itertools.permutations(range(len(found)), 2):
+            for out in [c for n in (1, 2) for c in itertools.combinations(found[g], n)]:
+                for back in [c for n in range(min(2, 3 - len(out)) + 1) for c in itertools.combinations(found[t], n)]:
+                    gain = sum(sizes[i] for i in out) - sum(sizes[i] for i in back)
+                    assert fill[g] == 100 or fill[t] < fill[g] or not 0 < gain <= 100 - fill[t], (seed, out, back)
+
+
 def test_pack(spark, tokenizer):
     rng = random.Random(9)
     texts = [None, "", "  ", "one", "one", " ".join(rng.choice(["alpha", "beta", "42"]) for _ in range(6000)), "é" * 5000]

@@ -1,5 +1,6 @@
 """Learning on planted words, held-out rows, and the edge cases."""
 
+import math
 import random
 import zlib
 
@@ -31,6 +32,56 @@ def test_features_match_a_plain_count():
     assert set(a.hash) <= set(b.hash) and slot.max() < toxicity.BIAS
 
 
+def plain_fit(examples, labels, epochs):
+    """Follow the regularised leader over dicts, one coordinate at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        x = z.get(i, 0.0)
+        if abs(x) <= toxicity.L1:
+            return 0.0
+        return -(x - math.copysign(toxicity.L1, x)) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(epochs):
+        for slots, y in zip(examples, labels):
+            own = [*slots, toxicity.BIAS]
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in own:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_fit_against_plain_dicts():
+    rng = random.Random(4)
+    examples, labels = [], []
+    for _ in range(400):
+        y = rng.random() < 0.4
+        slots = {rng.randrange(200) for _ in range(12)} | ({900, 901} if y and rng.random() < 0.9 else set()) | ({950} if not y else set())
+        examples.append(np.array(sorted(slots)))
+        labels.append(int(y))
+    slots, weights = toxicity.fit(examples, labels, 5)
+    want = plain_fit([e.tolist() for e in examples], labels, 5)
+    assert {900, 901, 950} <= set(want) and len(want) < 150
+    assert slots.tolist() == sorted(want) and np.allclose(weights, [want[i] for i in sorted(want)], rtol=1e-9)
+
+
+def test_scores_against_plain_sums(spark):
+    """Every distinct feature of a whole text counts once; columns of the scores' names are replaced."""
+    texts = ["trashy lorem vile ipsum", "", None, "dolor " * 50_000 + "trashy", "TRASHY trashy trashy"]
+    rows = [(i, t, 7.5, "clash") for i, t in enumerate(texts)] * 2
+    model = np.array([*range(0, toxicity.BIAS, 3), toxicity.BIAS]), np.array([((i * 2654435761) % 1000 - 500) / 700 for i in range(0, toxicity.BIAS, 3)] + [-0.4])
+    weights = dict(zip(model[0].tolist(), model[1].tolist()))
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string, score double, predicted string"), model).collect()
+    assert len(got) == 10 and got[0].__fields__ == ["doc_id", "text", "score", "predicted"]
+    for r in got:
+        slots = set(toxicity.features([r.text or ""])[1].tolist())
+        total = sum(weights.get(i, 0.0) for i in slots) + weights[toxicity.BIAS]
+        assert math.isclose(r.score, 1 / (1 + math.exp(-total)), rel_tol=1e-9) and r.predicted == int(r.score >= 0.7)
+
+
 def test_learns_and_holds_out(spark):
     rows, labels = corpus()
     flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 3 == 1 else t) for i, q, t in labels]
