@@ -1,4 +1,4 @@
-"""Binary log, value-log and backup files: pure codecs, and readers that decode whole files where they are read."""
+"""Binary log, value-log and backup files: pure codecs, and readers that cut large files at the borders of their records."""
 
 from __future__ import annotations
 
@@ -11,10 +11,13 @@ import struct
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelake.functions.codec import crc32c
+from changelake.functions.codec import crc32c, crc32c_all
 from changelake.schemas import BACKUP, VLOG, WAL
 from changelake.sources import files
 
@@ -55,22 +58,45 @@ def wal_frame(tx: int, op: int, entries: Iterable[tuple[bytes, bytes | None, boo
     return struct.pack(">II", len(body), crc32c(body)) + body
 
 
-def wal_rows(data: bytes) -> Iterator[tuple[int, int, int, bytes, bytes | None, bool]]:
-    """(frame, tx, op, k, v, del). Any damage is fatal: the log is the truth that all else is rebuilt from."""
-    at = frame = 0
-    while at < len(data):
-        if at + 8 > len(data):
-            raise Corrupt(f"a frame's head at {at} is cut off")
-        size, want = struct.unpack_from(">II", data, at)
-        body = data[at + 8 : at + 8 + size]
-        if size > LONGEST or size < 20 or len(body) != size:
-            raise Corrupt(f"the frame at {at} has a wrong length")
-        if crc32c(body) != want:
-            raise Corrupt(f"the frame at {at} has a wrong checksum")
-        tx, op, count = struct.unpack_from(">QQI", body)
-        for i, (k, v, gone) in enumerate(_entries(body, 20, count)):
-            yield frame, tx, op + i, k, v, gone
-        at, frame = at + 8 + size, frame + 1
+def _checked(data: bytes, heads: Iterable[tuple[int, int, int, int]], block: int = 8 << 20) -> Iterator[tuple[int, int, bool]]:
+    """(place, end, whether the checksum is right) of records (place, first byte that is checked, end, checksum), many of them at a time."""
+    held: list[tuple[int, int, int, int]] = []
+    total = 0
+    for head in heads:
+        held.append(head)
+        total += head[2] - head[1]
+        if total >= block:
+            yield from _checked_now(data, held)
+            held, total = [], 0
+    yield from _checked_now(data, held)
+
+
+def _checked_now(data: bytes, held: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, bool]]:
+    sums = crc32c_all([data[a:end] for _, a, end, _ in held]).tolist()
+    for (place, _, end, want), got in zip(held, sums, strict=True):
+        yield place, end, got == want
+
+
+def wal_rows(data: bytes, frame: int = 0, base: int = 0) -> Iterator[tuple[int, int, int, bytes, bytes | None, bool]]:
+    """(frame, tx, op, k, v, del) of the frames in `data`, which begins with that frame, at byte `base` of its file. Any damage is fatal: the log is the truth that all else is rebuilt from."""
+
+    def heads() -> Iterator[tuple[int, int, int, int]]:
+        at = 0
+        while at < len(data):
+            if at + 8 > len(data):
+                raise Corrupt(f"a frame's head at {base + at} is cut off")
+            size, want = struct.unpack_from(">II", data, at)
+            if size > LONGEST or size < 20 or at + 8 + size > len(data):
+                raise Corrupt(f"the frame at {base + at} has a wrong length")
+            yield at, at + 8, at + 8 + size, want
+            at += 8 + size
+
+    for number, (at, end, ok) in enumerate(_checked(data, heads()), frame):
+        if not ok:
+            raise Corrupt(f"the frame at {base + at} has a wrong checksum")
+        tx, op, count = struct.unpack_from(">QQI", data, at + 8)
+        for i, (k, v, gone) in enumerate(_entries(data[at + 8 : end], 20, count)):
+            yield number, tx, op + i, k, v, gone
 
 
 def vlog_record(tx: int, op: int, k: bytes, v: bytes | None, gone: bool) -> bytes:
@@ -79,22 +105,29 @@ def vlog_record(tx: int, op: int, k: bytes, v: bytes | None, gone: bool) -> byte
     return struct.pack(">I", crc32c(body)) + body
 
 
-def vlog_rows(data: bytes, last: bool = False) -> Iterator[tuple[int, int, int, bytes, bytes | None, bool, int]]:
-    """(offset, tx, op, k, v, del, size). Damage ends the last file, whose tail may be half written, and is fatal in any other."""
-    at = 0
-    while at < len(data):
-        ok = at + 29 <= len(data)
-        if ok:
-            want, size, length, tx, op, kind = struct.unpack_from(">IIIQQB", data, at)
+def vlog_rows(data: bytes, last: bool = False, base: int = 0) -> Iterator[tuple[int, int, int, bytes, bytes | None, bool, int]]:
+    """(offset, tx, op, k, v, del, size) of the records in `data`, which begins at byte `base` of its file. Damage ends the last file, whose tail may be half written, and is fatal in any other."""
+
+    def heads() -> Iterator[tuple[int, int, int, int]]:
+        at = 0
+        while at + 29 <= len(data):
+            want, size, length = struct.unpack_from(">III", data, at)
             end = at + 29 + size + length
-            ok = end <= len(data) and crc32c(data[at + 4 : end]) == want
+            if end > len(data):
+                break
+            yield at, at + 4, end, want
+            at = end
+        if at < len(data):
+            yield at, at, at, -1  # what is left is no whole record
+
+    for at, end, ok in _checked(data, heads()):
         if not ok:
             if last:
                 return
-            raise Corrupt(f"the record at {at} is damaged")
+            raise Corrupt(f"the record at {base + at} is damaged")
+        size, _, tx, op, kind = struct.unpack_from(">IIQQB", data, at + 4)
         start = at + 29 + size
-        yield at, tx, op, data[at + 29 : start], None if kind == DELETE else data[start:end], kind == DELETE, end - at
-        at = end
+        yield base + at, tx, op, data[at + 29 : start], None if kind == DELETE else data[start:end], kind == DELETE, end - at
 
 
 def backup_bytes(rows: Iterable[tuple[bytes, bytes | None, bool]]) -> Iterator[bytes]:
@@ -102,58 +135,227 @@ def backup_bytes(rows: Iterable[tuple[bytes, bytes | None, bool]]) -> Iterator[b
         yield _entry(k, v, gone)
 
 
-def backup_rows(data: bytes) -> Iterator[tuple[int, bytes, bytes | None, bool]]:
-    """(pos, k, v, del) in the order of the file, which may be gzipped."""
+def backup_rows(data: bytes, pos: int = 0) -> Iterator[tuple[int, bytes, bytes | None, bool]]:
+    """(pos, k, v, del) in the order of the file, which may be gzipped; the first record of `data` has that position."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
-    for pos, (k, v, gone) in enumerate(_entries(data, 0, None)):
-        yield pos, k, v, gone
-
-
-def _decode(blobs: DataFrame, rows, schema: str, chunk: int = 20_000) -> DataFrame:
-    """Rows of whole files (name, content, last), one file at a time and in chunks; a file is read and decoded in one task, as its records have no other borders."""
-    columns = [c.split()[0] for c in schema.split(", ")]
+    for n, (k, v, gone) in enumerate(_entries(data, 0, None), pos):
+        yield n, k, v, gone
+
+
+#: How each kind of file is decoded, from (name, bytes, whether it is the folder's last, the number of the first record, its place), and where a record that begins
+#: at a place ends, from a file.
+DECODERS = {
+    "wal": lambda name, data, last, number, base: ((name, *r) for r in wal_rows(data, number, base)),
+    "vlog": lambda name, data, last, number, base: ((int(name.split(".")[0]), *r) for r in vlog_rows(data, last, base)),
+    "backup": lambda name, data, last, number, base: ((name, *r) for r in backup_rows(data, number)),
+}
+SCHEMAS = {"wal": WAL, "vlog": VLOG, "backup": BACKUP}
+#: Bytes of a task's part of a file.
+SPLIT = 64 << 20
+
+
+def _end(kind: str, f, at: int) -> int | None:
+    """The end of the record at a place of an open file; None if its head is cut off."""
+    f.seek(at)
+    if kind == "wal":
+        head = f.read(8)
+        return at + 8 + struct.unpack(">I", head[:4])[0] if len(head) == 8 else None
+    if kind == "vlog":
+        head = f.read(12)
+        return at + 29 + sum(struct.unpack(">II", head[4:])) if len(head) == 12 else None
+    head = f.read(4)
+    if len(head) < 4:
+        return None
+    middle = at + 4 + struct.unpack(">I", head)[0]
+    f.seek(middle)
+    head = f.read(4)
+    return middle + 5 + struct.unpack(">I", head)[0] if len(head) == 4 else None
+
+
+def splits(kind: str, f, size: int, split: int = SPLIT) -> Iterator[tuple[int, int, int]]:
+    """(first byte, end, number of the first record) of parts of a file that end with a record and have `split` bytes or more, by the heads of its records alone.
+
+    What is damaged is left to a part's reader: the last part goes to the end of the file. A gzipped file is one part.
+    """
+    start = number = first = at = 0
+    if kind == "backup" and f.read(2) == b"\x1f\x8b":
+        yield 0, size, 0
+        return
+    while at < size:
+        end = _end(kind, f, at)
+        if end is None or end > size:
+            break
+        at, number = end, number + 1
+        if at - start >= split and at < size:
+            yield start, at, first
+            start, first = at, number
+    if start < size:
+        yield start, size, first
+
+
+def _open(path: str):
+    system, inner = pyarrow.fs.FileSystem.from_uri(path)
+    return io.BufferedReader(system.open_input_file(inner), 1 << 20)
+
+
+def _rows(found: Iterable[tuple], schema: str, chunk: int = 20_000) -> Iterator[pd.DataFrame]:
+    columns, held = [c.split()[0] for c in schema.split(", ")], []
+    for row in found:
+        held.append(row)
+        if len(held) == chunk:
+            yield pd.DataFrame(held, columns=columns)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
+def decoded(blobs: DataFrame, kind: str) -> DataFrame:
+    """The records of whole files (name, content, last), each decoded where it is."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content, last in zip(pdf["name"], pdf["content"], pdf["last"], strict=True):
-                held = []
-                for row in rows(name, bytes(content), bool(last)):
-                    held.append(row)
-                    if len(held) == chunk:
-                        yield pd.DataFrame(held, columns=columns)
-                        held = []
-                if held:
-                    yield pd.DataFrame(held, columns=columns)
+                yield from _rows(DECODERS[kind](name, bytes(content), bool(last), 0, 0), SCHEMAS[kind])
 
-    return blobs.mapInPandas(run, schema)
+    return blobs.mapInPandas(run, SCHEMAS[kind])
 
 
-def _blobs(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+def _listed(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    """(path, name, length, last) of a folder's files; their contents are not read."""
     mine = sorted(n for n in files.names(spark, folder) if fnmatch.fnmatch(n, glob))
-    last = mine[-1] if mine else ""
     name = F.element_at(F.split("path", "/"), -1)
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select(name.alias("name"), "content", (name == last).alias("last"))
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", name.alias("name"), "length", (name == (mine[-1] if mine else "")).alias("last"))
+
+
+def _ranged(path: str) -> bool:
+    """Whether parts of files can be read there; elsewhere files are read whole by Spark, 2 GB at most."""
+    try:
+        pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith(("/", "file:")) else f"/{path}")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def _read(spark: SparkSession, folder: str, glob: str, kind: str, split: int) -> DataFrame:
+    listed = _listed(spark, folder, glob)
+    if not _ranged(folder):
+        whole = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content")
+        return decoded(listed.join(whole, "path").select("name", "content", "last"), kind)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, name, length, last in pdf.itertuples(index=False):
+                with _open(path) as f:
+                    rows = [(path, name, a, b, n, bool(last) and b == length) for a, b, n in splits(kind, f, length, split)]
+                yield pd.DataFrame(rows, columns=["path", "name", "start", "end", "number", "last"])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, name, a, b, number, last in pdf.itertuples(index=False):
+                with _open(path) as f:
+                    f.seek(a)
+                    data = f.read(b - a)
+                yield from _rows(DECODERS[kind](name, data, last, number, a), SCHEMAS[kind])
+
+    total = listed.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    parts = listed.mapInPandas(cut, "path string, name string, start long, end long, number long, last boolean")
+    # A fixed number of tasks, since the parts' rows are too small for adaptive execution to know what they stand for.
+    return parts.repartition(max(1, -(-total // split)), "path", "start").mapInPandas(read, SCHEMAS[kind])
 
 
-def read_wal(spark: SparkSession, folder: str) -> DataFrame:
+def read_wal(spark: SparkSession, folder: str, split: int = SPLIT) -> DataFrame:
     """The entries of all log files of a folder."""
-    return _decode(_blobs(spark, folder, "*.wal"), lambda name, data, last: ((name, *r) for r in wal_rows(data)), WAL)
+    return _read(spark, folder, "*.wal", "wal", split)
 
 
-def read_vlog(spark: SparkSession, folder: str) -> DataFrame:
+def read_vlog(spark: SparkSession, folder: str, split: int = SPLIT) -> DataFrame:
     """The records of all value-log files (<number>.vlog) of a folder."""
-    return _decode(_blobs(spark, folder, "*.vlog"), lambda name, data, last: ((int(name.split(".")[0]), *r) for r in vlog_rows(data, last)), VLOG)
+    return _read(spark, folder, "*.vlog", "vlog", split)
+
+
+def swept(blobs: DataFrame, kind: str = "vlog") -> DataFrame:
+    """(name, records, sound) of all files (name, content, last) but the last, which is still written: whether every checksum is right."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                n, sound = 0, True
+                try:
+                    for _ in DECODERS[kind](name, bytes(content), False, 0, 0):
+                        n += 1
+                except Corrupt:
+                    sound = False
+                out.append((name, n, sound))
+            yield pd.DataFrame(out, columns=["name", "records", "sound"])
+
+    return blobs.where("not last").mapInPandas(run, "name string, records long, sound boolean")
+
+
+def wal_blobs(log: DataFrame) -> DataFrame:
+    """(name, content, last): the log files of a log (file_id, tx, seq, k, v, del), a frame for each transaction; one file's rows are a task's."""
+    last = log.agg(F.max("file_id")).first()[0]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        frames = [wal_frame(int(tx), int(own["seq"].iloc[0]), [(r.k.encode(), None if r.v is None else r.v.encode(), bool(r.gone)) for r in own.itertuples()]) for tx, own in pdf.sort_values("seq").groupby("tx")]
+        number = int(pdf["file_id"].iloc[0])
+        return pd.DataFrame([(f"{number:020d}.wal", b"".join(frames), number == last)], columns=["name", "content", "last"])
+
+    return log.select("file_id", "tx", "seq", "k", "v", F.col("del").alias("gone")).groupBy("file_id").applyInPandas(run, "name string, content binary, last boolean")
+
+
+def vlog_blobs(log: DataFrame) -> DataFrame:
+    """(name, content, last): the value-log files of a log (file_id, tx, seq, k, v, del); one file's rows are a task's."""
+    last = log.agg(F.max("file_id")).first()[0]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [vlog_record(int(r.tx), int(r.seq), r.k.encode(), None if r.v is None else r.v.encode(), bool(r.gone)) for r in pdf.sort_values("seq").itertuples()]
+        number = int(pdf["file_id"].iloc[0])
+        return pd.DataFrame([(f"{number}.vlog", b"".join(rows), number == last)], columns=["name", "content", "last"])
+
+    return log.select("file_id", "tx", "seq", "k", "v", F.col("del").alias("gone")).groupBy("file_id").applyInPandas(run, "name string, content binary, last boolean")
+
+
+def backup_blobs(state: DataFrame, parts: int = 8) -> DataFrame:
+    """(name, content, last): the records of a state (k, v) in ranges of keys; a backup is the ranges one after another."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        data = b"".join(_entry(r.k.encode(), None if r.v is None else r.v.encode(), r.v is None) for pdf in batches for r in pdf.itertuples())
+        number = TaskContext.get().partitionId()
+        yield pd.DataFrame([(f"basebackup.bin.{number:05d}", data, False)], columns=["name", "content", "last"])
+
+    return state.select("k", "v").repartitionByRange(parts, "k").sortWithinPartitions("k").mapInPandas(run, "name string, content binary, last boolean")
+
+
+def _digest(spark: SparkSession, folder: str) -> str | None:
+    """The SHA-256 of a backup's stored bytes, read in one pass where they are."""
+    listed = _listed(spark, folder, "basebackup.bin*")
+    if not _ranged(folder):
+        row = spark.read.format("binaryFile").option("pathGlobFilter", "basebackup.bin*").load(folder).select(F.sha2("content", 256)).first()
+        return row and row[0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for path in pdf["path"]:
+                sum_ = hashlib.sha256()
+                with _open(path) as f:
+                    while block := f.read(1 << 20):
+                        sum_.update(block)
+                out.append(sum_.hexdigest())
+            yield pd.DataFrame({"sum": out})
+
+    row = listed.mapInPandas(run, "sum string").first()
+    return row and row[0]
 
 
-def read_backup(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
+def read_backup(spark: SparkSession, folder: str, split: int = SPLIT) -> tuple[DataFrame, dict]:
     """The records of a backup, and its description; Corrupt if the stored bytes are not those it describes."""
     meta = json.loads(files.read_text(spark, f"{folder}/backup.meta"))
-    blobs = _blobs(spark, folder, "basebackup.bin*")
-    found = blobs.select(F.sha2("content", 256)).first()
-    if found is None or found[0] != meta["sha256"]:
+    if _digest(spark, folder) != meta["sha256"]:
         raise Corrupt("the backup's checksum is not the described one")
-    return _decode(blobs, lambda name, data, last: ((name, *r) for r in backup_rows(data)), BACKUP), meta
+    return _read(spark, folder, "basebackup.bin*", "backup", split), meta
 
 
 def write_backup(state: DataFrame, folder: str, database: str, timeline: int, tx: int, op: int, stamp: str, compressed: bool = False) -> dict:
