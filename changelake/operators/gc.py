@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from changelake.plans.prefix import carried
+from changelake.plans.prefix import carried, crowded
 
 #: Bytes of a value-log record besides key and value; least garbage of a file to be compacted.
 RECORD, LEAST = 29, 1 << 20
@@ -16,10 +16,10 @@ def record_size():
     return F.lit(RECORD) + F.octet_length("k") + F.coalesce(F.octet_length("v"), F.lit(0))
 
 
-def garbage(log: DataFrame, spread: bool = False) -> DataFrame:
-    """Bytes that each file holds of versions that a later one has replaced. With `spread`, a key's versions may be too many for one task."""
+def garbage(log: DataFrame, spread: bool | None = False) -> DataFrame:
+    """Bytes that each file holds of versions that a later one has replaced. With `spread`, a key's versions may be too many for one task; None: as measured."""
     order = Window.partitionBy("k").orderBy("seq")
-    if spread:
+    if crowded(log, "k") if spread is None else spread:
         own = log.select("k", "seq", F.struct("file_id", record_size().alias("size")).alias("own"))
         before = carried(own, "k", ["seq"], "own", "old", before=True).select("old.file_id", "old.size")
         return before.where("file_id is not null").groupBy("file_id").agg(F.sum("size").cast("bigint").alias("garbage"))
@@ -46,14 +46,16 @@ def liveness(log: DataFrame) -> DataFrame:
     return flagged(log.select("k", "tx", "seq", "file_id")).groupBy("file_id").agg(F.sum(alive).alias("alive"), F.sum(1 - alive).alias("stale"))
 
 
-def compact(log: DataFrame, files: list[int], into: int, horizon: int | None = None) -> DataFrame:
+def compact(log: DataFrame, files: list[int], into: int, horizon: int | None = None, spread: bool | None = False) -> DataFrame:
     """The log after a compaction of `files`: their live entries are in file `into`, the others are gone.
 
-    Versions that a reader at transaction `horizon` or later can see stay: those whose successor is after the horizon.
+    Versions that a reader at transaction `horizon` or later can see stay: those whose successor is after the horizon. `spread` as in garbage.
     """
-    order = Window.partitionBy("k").orderBy("tx", "seq")
-    ends = F.lead("tx").over(order)
-    kept = log.withColumn("_end", ends).withColumn("_in", F.col("file_id").isin(files))
+    if crowded(log, "k") if spread is None else spread:
+        ended = carried(log.withColumn("_own", F.col("tx")), "k", ["tx", "seq"], "_own", "_end", before=True, backwards=True).drop("_own")
+    else:
+        ended = log.withColumn("_end", F.lead("tx").over(Window.partitionBy("k").orderBy("tx", "seq")))
+    kept = ended.withColumn("_in", F.col("file_id").isin(files))
     seen = F.col("_end").isNull() if horizon is None else F.col("_end").isNull() | (F.col("_end") > horizon)
     return kept.where(~F.col("_in") | seen).withColumn("file_id", F.when(F.col("_in"), F.lit(into).cast("bigint")).otherwise(F.col("file_id"))).select(*log.columns)
 

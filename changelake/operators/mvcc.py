@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from changelake.operators.latest import dedup_latest, live_state
-from changelake.plans.prefix import carried, numbered
+from changelake.operators.latest import live_state
+from changelake.plans.prefix import carried, crowded, numbered
 from changelake.schemas import UNBOUNDED
 
 
@@ -21,16 +21,16 @@ def as_of_get(log: DataFrame, probes: DataFrame) -> DataFrame:
     return found.select(*probes.columns, F.when(~F.col("del"), F.col("v")).alias("v"), F.col("tx").alias("version"))
 
 
-def as_of_get_union(log: DataFrame, probes: DataFrame, spread: bool = False) -> DataFrame:
+def as_of_get_union(log: DataFrame, probes: DataFrame, spread: bool | None = False) -> DataFrame:
     """C05 in one pass over log and probes together, for keys with so many versions and probes that a join would multiply them.
 
-    With `spread`, they may be too many for one task as well.
+    With `spread`, they may be too many for one task as well; None: as measured.
     """
     kind = "struct<v: string, del: boolean, tx: bigint>"
     entries = log.select("k", F.col("tx").alias("_at"), F.lit(0).alias("_probe"), F.lit(None).cast("bigint").alias("read_tx"), F.struct("v", "del", "tx").cast(kind).alias("_e"))
     asked = probes.select("k", F.col("read_tx").alias("_at"), F.lit(1).alias("_probe"), "read_tx", F.lit(None).cast(kind).alias("_e"))
     both = entries.unionByName(asked)
-    if spread:
+    if crowded(both, "k") if spread is None else spread:
         found = carried(both, "k", ["_at", "_probe"], "_e", "_last").drop("_e").withColumnRenamed("_last", "_e").where("_probe = 1")
     else:
         last = F.last("_e", ignorenulls=True).over(Window.partitionBy("k").orderBy("_at", "_probe").rowsBetween(Window.unboundedPreceding, 0))
@@ -102,8 +102,3 @@ def replay_gap(wal: DataFrame, values: DataFrame) -> DataFrame:
 def tx_collapse_count(statements: DataFrame) -> DataFrame:
     """How many statements each transaction had and how many of them count."""
     return statements.groupBy("tx").agg(F.count("*").alias("statements"), F.count_distinct("k").alias("kept"))
-
-
-def compacted(log: DataFrame) -> DataFrame:
-    """The newest versions alone, as a fully compacted log has them."""
-    return dedup_latest(log)

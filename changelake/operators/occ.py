@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from changelake.plans.prefix import running
+from changelake.operators.mvcc import clocks
+from changelake.plans.prefix import carried, crowded, running
 
 #: Requests in a group commit at most; seconds that a transaction may take.
 GROUP, LONGEST = 128, 30
@@ -18,18 +21,32 @@ def touched(requests: DataFrame) -> DataFrame:
     return requests.select("txid", "read_tx", F.explode(keys).alias("k"))
 
 
-def conflicts(touched: DataFrame, log: DataFrame, until: str | None = None) -> DataFrame:
+def begin(requests: DataFrame, log: DataFrame) -> DataFrame:
+    """Requests with the snapshot that they read, which is the log's transaction clock; one row of a clock is broadcast."""
+    return requests.drop("read_tx").crossJoin(F.broadcast(clocks(log).select(F.col("tx").alias("read_tx"))))
+
+
+def conflicts(touched: DataFrame, log: DataFrame, until: str | None = None, spread: bool | None = False) -> DataFrame:
     """For each request with one, how many of its keys have a version after its snapshot (and before the column `until`).
 
-    The log is reduced to its latest version per key if there is no upper bound, so a key's history is never multiplied with its requests.
+    Without an upper bound the log is reduced to its latest version per key. With one, each request takes the next version of its key after its snapshot, by
+    one window over both; so a key's history is never multiplied with its requests. With `spread`, they may be too many for one task; None: as measured.
     """
     if until is None:
         latest = log.groupBy(F.col("k").alias("_k")).agg(F.max("tx").alias("_tx"))
         hit = touched.join(latest, (F.col("k") == F.col("_k")) & (F.col("_tx") > F.col("read_tx")), "left_semi")
+        return hit.groupBy("txid").agg(F.count_distinct("k").alias("bad_keys"))
+    none = F.lit(None).cast("bigint")
+    versions = log.select("k", F.col("tx").alias("_at"), F.lit(0).alias("_probe"), none.alias("txid"), none.alias("_until"), F.col("tx").alias("_tx"))
+    asked = touched.select("k", F.col("read_tx").cast("bigint").alias("_at"), F.lit(1).alias("_probe"), F.col("txid").cast("bigint").alias("txid"), F.col(until).cast("bigint").alias("_until"), none.alias("_tx"))
+    both = versions.unionByName(asked)
+    # Backwards from the newest, probes come before versions of their own transaction.
+    if crowded(both, "k") if spread is None else spread:
+        met = carried(both, "k", ["_at", "_probe"], "_tx", "_next", backwards=True)
     else:
-        versions = log.select(F.col("k").alias("_k"), F.col("tx").alias("_tx")).distinct()
-        hit = touched.join(versions, (F.col("k") == F.col("_k")) & (F.col("_tx") > F.col("read_tx")) & (F.col("_tx") < F.col(until)), "left_semi")
-    return hit.groupBy("txid").agg(F.count_distinct("k").alias("bad_keys"))
+        order = Window.partitionBy("k").orderBy(F.desc("_at"), F.desc("_probe")).rowsBetween(Window.unboundedPreceding, 0)
+        met = both.withColumn("_next", F.last("_tx", ignorenulls=True).over(order))
+    return met.where("_probe = 1 and _next < _until").groupBy("txid").agg(F.count_distinct("k").alias("bad_keys"))
 
 
 def batched(requests: DataFrame, size: int = GROUP) -> DataFrame:
@@ -37,28 +54,43 @@ def batched(requests: DataFrame, size: int = GROUP) -> DataFrame:
     return requests.withColumn("batch", F.floor((F.col("arrival") - 1) / size).cast("bigint"))
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    written: set[str] = set()
-    out = []
-    for r in pdf.sort_values("arrival").itertuples():
-        writes = {w["k"] for w in r.writes}
-        # A read-only request commits nothing and never conflicts.
-        ok = not writes or (not r.stale and not (writes | set(r.reads)) & written)
-        if ok:
-            written |= writes
-        out.append((r.txid, r.arrival, "ok" if ok else "conflict", len(writes) if ok else 0))
-    return pd.DataFrame(out, columns=["txid", "arrival", "outcome", "n_ops"])
+OUTCOMES = "txid bigint, arrival bigint, outcome string, n_ops bigint"
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The outcomes of rows that are sorted by database and arrival: what a committer holds is the last writer of each key, nothing of the requests."""
+    db, last, number = object(), {}, 0
+    for batch in batches:
+        c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+        outcome, ops = [], []
+        for i in range(batch.num_rows):
+            if c["db"][i] != db:
+                db, last, number = c["db"][i], {}, c["head"][i]
+            group, read, writes = c["batch"][i], c["read_tx"][i], set(c["writes"][i])
+            # A read-only request commits nothing and never conflicts.
+            ok = not writes
+            if writes and not c["stale"][i]:
+                met = (last[k] for k in {*writes, *c["reads"][i]} if k in last)
+                ok = not any(g == group or read is None or tx > read for tx, g in met)
+                if ok:
+                    number += 1
+                    last.update(dict.fromkeys(writes, (number, group)))
+            outcome.append("ok" if ok else "conflict")
+            ops.append(len(writes) if ok else 0)
+        yield pa.RecordBatch.from_arrays([batch.column("txid"), batch.column("arrival"), pa.array(outcome, pa.string()), pa.array(ops, pa.int64())], names=["txid", "arrival", "outcome", "n_ops"])
 
 
 def commit(requests: DataFrame, log: DataFrame, size: int = GROUP) -> DataFrame:
-    """E04 after E03: the outcome of every request (db, arrival, txid, read_tx, reads, writes) against the log and the survivors of its group.
+    """E04 after E03: the outcome of every request (db, arrival, txid, read_tx, reads, writes) against the log and the survivors before it.
 
-    Groups have `size` requests at most, so each is decided in one small task, in the order of arrival.
+    Groups have `size` requests. A request conflicts with any survivor of its own group that writes one of its keys, and with one of an earlier group if
+    that one's transaction, numbered after the log's head, is after the request's snapshot. Whether a request survives depends on all before it, so each
+    database has one committer: its requests stream through one task in the order of arrival and are never held; its memory is the keys that were written.
     """
     stale = conflicts(touched(requests), log).select("txid", F.lit(True).alias("stale"))
-    asked = batched(requests, size).join(stale, "txid", "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
-    plain = asked.select("db", "batch", "txid", "arrival", "stale", "reads", F.transform("writes", lambda w: F.struct(w["k"].alias("k"))).alias("writes"))
-    return plain.groupBy("db", "batch").applyInPandas(_greedy, "txid bigint, arrival bigint, outcome string, n_ops bigint")
+    asked = batched(requests, size).join(stale, "txid", "left").crossJoin(F.broadcast(clocks(log).select(F.col("tx").alias("head"))))
+    wanted = asked.select("db", "arrival", "txid", "read_tx", "batch", "head", F.coalesce("stale", F.lit(False)).alias("stale"), F.coalesce("reads", F.array()).alias("reads"), F.coalesce(F.transform("writes", lambda w: w["k"]), F.array()).alias("writes"))
+    return wanted.repartition("db").sortWithinPartitions("db", "arrival").mapInArrow(_decided, OUTCOMES)
 
 
 def numbering(survivors: DataFrame, order: str = "txid", ops: str = "n") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from changelake.session import durable
+
 
 def min_slot(slots: DataFrame) -> DataFrame:
     """the lowest position of all slots, connected or not; null without any."""
@@ -58,12 +60,24 @@ MOVES = {
 }
 
 
+NAMES = ("UNDEFINED", "REPLICA", "PRIMARY", "STEPPING_DOWN")
+
+
 def states(events: DataFrame) -> DataFrame:
-    """the state of each database after its events (db, at, event), from UNDEFINED, by an ordered fold; events that a state does not allow change nothing."""
-    steps = F.array_sort(F.collect_list(F.struct("at", "event")))
+    """the state of each database after its events (db, at, event), from UNDEFINED; events that a state does not allow change nothing.
+
+    A run of events is a function from states to states, and these compose. So the events are dealt into ranges of (db, at), each range makes one
+    function for each of its databases, and the few functions of a database are applied in order.
+    """
     moves = F.create_map(*(F.lit(x) for (a, e), b in MOVES.items() for x in (f"{a}/{e}", b)))
-    step = lambda s, x: F.coalesce(F.try_element_at(moves, F.concat(s, F.lit("/"), x["event"])), s)
-    return events.groupBy("db").agg(F.aggregate(steps, F.lit("UNDEFINED"), step).alias("state"))
+    move = lambda s, e: F.coalesce(F.try_element_at(moves, F.concat(s, F.lit("/"), e)), s)
+    ranged = durable(events.repartitionByRange("db", "at").withColumn("_range", F.spark_partition_id()))
+    steps = F.array_sort(F.collect_list(F.struct("at", "event")))
+    whole = F.aggregate(steps, F.array(*map(F.lit, NAMES)), lambda all_, x: F.transform(all_, lambda s: move(s, x["event"])))
+    parts = ranged.groupBy("db", "_range").agg(whole.alias("to"))
+    chain = F.array_sort(F.collect_list(F.struct("_range", "to")))
+    last = F.aggregate(chain, F.lit(NAMES[0]), lambda s, part: F.element_at(part["to"], F.array_position(F.array(*map(F.lit, NAMES)), s).cast("int")))
+    return parts.groupBy("db").agg(last.alias("state"))
 
 
 def drained(slots: DataFrame, head: DataFrame, active: int) -> DataFrame:
@@ -73,8 +87,8 @@ def drained(slots: DataFrame, head: DataFrame, active: int) -> DataFrame:
 
 
 def fan_out(log: DataFrame, mapping: DataFrame) -> DataFrame:
-    """the log's rows under each local database that follows theirs; `mapping` (remote_db, local_db) has a row per followed database."""
-    followed = F.broadcast(mapping.select(F.col("remote_db").alias("_remote"), "local_db"))
+    """the log's rows under each local database that follows theirs; `mapping` (remote_db, local_db) has a row per followed database, and is broadcast if its size allows."""
+    followed = mapping.select(F.col("remote_db").alias("_remote"), "local_db")
     return log.join(followed, F.col("db") == F.col("_remote")).drop("_remote")
 
 

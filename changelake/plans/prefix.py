@@ -45,3 +45,13 @@ def carried(df: DataFrame, key: str, order: list[str], value: str, out: str, bef
     carry = entering.join(F.broadcast(known), "_key").where(earlier).groupBy("_range", "_key").agg(pick("_value", "_from").alias("_value")).withColumnRenamed("_range", "_to")
     met = ranged.withColumn(out, F.last(value, ignorenulls=True).over(window)).join(F.broadcast(carry), (F.col("_range") == F.col("_to")) & (F.col(key) == F.col("_key")), "left")
     return met.withColumn(out, F.coalesce(out, "_value")).drop("_range", "_to", "_key", "_value")
+
+
+#: Rows of one key that a task may sort.
+CROWDED = 5_000_000
+
+
+def crowded(df: DataFrame, key: str, most: int = CROWDED) -> bool:
+    """Whether some key has more rows than a task should sort. Only keys are read, and counted before the shuffle."""
+    top = df.groupBy(key).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0]
+    return (top or 0) > most

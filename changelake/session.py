@@ -22,8 +22,11 @@ def session(master: str | None = None, **more: str) -> SparkSession:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df, written to the folder that spark.checkpoint.dir names; a folder of this machine only where that is unset."""
+    """df, written to the folder that spark.checkpoint.dir names. Only a local session without that setting, as in tests, gets a folder of its machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or f"{tempfile.gettempdir()}/checkpoints")
     return df.checkpoint(eager=True)
