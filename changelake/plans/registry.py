@@ -1,7 +1,8 @@
 """The queries of the change-log engine, with the SQL that gives the same rows.
 
-Every query runs over the whole log, which is made of the `events` table. Numbers such as 4500 are snapshots, floors and thresholds that the operators
-take as parameters, not samples.
+Every query runs over the whole log, which is made of the `events` table. Snapshots, floors and cutoffs, which the operators take as parameters, are shares of
+the log's highest numbers. Queries that read no table or a fixed request: c06_mget, g04_bytes, g08_bench_keys, h04_devices, h04_applications, h05_shards, e08_states,
+e09_roles and e10_in_tx; they show functions of their parameters, and truth tables.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from changelake.fixtures import kv_log, statements, table
 from changelake.functions import codec, workload
 from changelake.operators import gc, latest, logfiles, merge, mvcc, occ, replication, stats
 from changelake.plans.prefix import numbered
-from changelake.sources import cdc_json
+from changelake.sources import binary, cdc_json
+from changelake.streaming import loader
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,7 +53,17 @@ def _head(log: DataFrame) -> DataFrame:
 
 
 def _probes(log: DataFrame) -> DataFrame:
-    return log.where("seq % 7 = 0").select("k", (F.col("tx") - 1).alias("read_tx")).distinct()
+    """A read of every key just before each of its versions."""
+    return log.select("k", (F.col("tx") - 1).alias("read_tx")).distinct()
+
+
+def _share(log: DataFrame, column: str, percent: int) -> int:
+    """A share of the highest number of a column, as a parameter."""
+    return (log.agg(F.max(column)).first()[0] or 0) * percent // 100
+
+
+def _share_sql(column: str, percent: int) -> str:
+    return f"(select max({column}) * {percent} // 100 from log)"
 
 
 @query("select k,v,del,seq,tx from newest")
@@ -80,12 +92,18 @@ def c08_key_count_delta(spark, d):
     return latest.key_count_by_delta(kv_log(spark, d))
 
 
-@query("select k,v,seq from (select *, row_number() over (partition by k order by tx desc) rn from log where tx<=1500) t where rn=1 and not del")
+@query("select cast(count(*) as bigint) n from newest where not del")
+def c08_key_count_spread(spark, d):
+    return latest.key_count_by_delta(kv_log(spark, d), spread=True)
+
+
+@query(f"select k,v,seq from (select *, row_number() over (partition by k order by tx desc) rn from log where tx<={_share_sql('tx', 45)}) t where rn=1 and not del")
 def c07_snapshot_at(spark, d):
-    return latest.snapshot_at(kv_log(spark, d), 1500).select("k", "v", "seq")
+    log = kv_log(spark, d)
+    return latest.snapshot_at(log, _share(log, "tx", 45)).select("k", "v", "seq")
 
 
-ASOF = "select p.k as k,p.read_tx as read_tx, case when l.del then null else l.v end as v, l.tx as version from (select distinct k, tx-1 as read_tx from log where seq % 7 = 0) p left join (select k,v,del,tx,coalesce(lead(tx) over (partition by k order by tx), 9223372036854775807) as next_tx from log) l on p.k=l.k and l.tx<=p.read_tx and p.read_tx<l.next_tx"
+ASOF = "select p.k as k,p.read_tx as read_tx, case when l.del then null else l.v end as v, l.tx as version from (select distinct k, tx-1 as read_tx from log) p left join (select k,v,del,tx,coalesce(lead(tx) over (partition by k order by tx), 9223372036854775807) as next_tx from log) l on p.k=l.k and l.tx<=p.read_tx and p.read_tx<l.next_tx"
 
 
 @query(ASOF)
@@ -206,14 +224,16 @@ def b06_file_gate(spark, d):
     return merge.ungated(files.select("filename"), files.where("file_id % 3 = 0"))
 
 
-@query("select seq,k from log where seq>=9000")
+@query(f"select seq,k from log where seq>={_share_sql('seq', 90)}")
 def a05_scan_from(spark, d):
-    return logfiles.scan_from(kv_log(spark, d), 9000).select("seq", "k")
+    log = kv_log(spark, d)
+    return logfiles.scan_from(log, _share(log, "seq", 90)).select("seq", "k")
 
 
-@query("select max(seq) as loc from log where seq<=4321")
+@query(f"select max(seq) as loc from log where seq<={_share_sql('seq', 43)}")
 def a06_wal_floor(spark, d):
-    return logfiles.floor_lookup(kv_log(spark, d), 4321)
+    log = kv_log(spark, d)
+    return logfiles.floor_lookup(log, _share(log, "seq", 43))
 
 
 @query("select concat('wal_', cast(db as varchar), '_', lpad(cast(file_id as varchar), 20, '0'), '.wal') as name, db as tli, file_id as start_offset from (select distinct db, file_id from log where db > 0) union all select concat(lpad(cast(file_id as varchar), 20, '0'), '.wal'), 0, file_id from (select distinct file_id from log)")
@@ -224,14 +244,29 @@ def a12_wal_names(spark, d):
     return logfiles.parsed_names(new.unionByName(files.select(F.concat(offset, F.lit(".wal")).alias("name")).distinct()))
 
 
-@query("select file_id from (select file_id, first_op, lead(first_op) over (order by file_id) nxt from (select file_id, min(seq) first_op from log group by file_id) a) b where nxt is not null and nxt<=4500")
+PURGED = f"""select file_id from (select *, max(stop) over (order by file_id rows unbounded preceding) ended from (select *,
+    case when first_op is null then false when after is null then farther is null else after > {_share_sql('seq', 45)} end stop, first_op is null or coalesce(after <= {_share_sql('seq', 45)}, false) ok
+  from (select *, lead(first_op) over w after, lead(1) over w place, lead(1, 2) over w farther from files window w as (order by file_id)) where place is not null)) where ok and not ended"""
+
+
+@query(f"{PURGED.replace('from files', 'from (select file_id, min(seq) first_op from log group by file_id)')}")
 def d01_wal_purge(spark, d):
-    return logfiles.purgeable(logfiles.files_of(kv_log(spark, d)), 4500)
+    log = kv_log(spark, d)
+    return logfiles.purgeable(logfiles.files_of(log), _share(log, "seq", 45))
 
 
-@query("select least(5000, (select min(ack) from slots)) as safe")
+@query(f"{PURGED.replace('from files', 'from (select file_id, case when file_id % 4 <> 1 then min(seq) end first_op from log group by file_id)')}")
+def d01_wal_purge_empty(spark, d):
+    """Every fourth file is empty."""
+    log = kv_log(spark, d)
+    files = logfiles.files_of(log).withColumn("first_op", F.when(F.col("file_id") % 4 != 1, F.col("first_op")))
+    return logfiles.purgeable(files, _share(log, "seq", 45))
+
+
+@query(f"select least({_share_sql('seq', 50)}, (select min(ack) from slots)) as safe")
 def d02_retention(spark, d):
-    return logfiles.retention_floor(_slots(kv_log(spark, d)), 5000, None)
+    log = kv_log(spark, d)
+    return logfiles.retention_floor(_slots(log), _share(log, "seq", 50), None)
 
 
 @query("select * from waste")
@@ -259,17 +294,20 @@ def d05_rewrite(spark, d):
     return gc.compact(kv_log(spark, d), [1, 2], 99, horizon=900).select("seq", "k", "file_id")
 
 
-@query("select file_id from (select file_id, max(tx) obsolete_at from log group by file_id) f where obsolete_at < 1500")
+@query("select file_id from (select file_id, max(tx) obsolete_at from log group by file_id) f where obsolete_at < (select min(tx) from log where tx >= (select max(tx) * 45 // 100 from log))")
 def d06_deferred_delete(spark, d):
+    """Every transaction of the log's newer part is a reader."""
     log = kv_log(spark, d)
     obsolete = log.groupBy("file_id").agg(F.max("tx").alias("obsolete_at"))
-    return gc.deletable(obsolete, log.where("tx >= 1500").select(F.lit(1500).cast("bigint").alias("read_tx")).unionByName(spark.createDataFrame([(1500,)], "read_tx bigint")), 0)
+    return gc.deletable(obsolete, log.where(F.col("tx") >= _share(log, "tx", 45)).select(F.col("tx").alias("read_tx")), 0)
 
 
-@query("select l.seq as seq from (select *, case when seq<4000 then 0 else 1 end as tli from log) l left join (select 0 as tli, 3500 as end_op) h on l.tli=h.tli where l.seq<=coalesce(h.end_op,9223372036854775807)")
+@query(f"select seq from (select *, min(seq) over (partition by tli, tx) as start from (select *, tx % 2 as tli from log)) l left join (select 0 as tli, {_share_sql('seq', 35)} + 1 as end_op) h on l.tli=h.tli where l.start<=coalesce(h.end_op,9223372036854775807)")
 def d07_timeline_prune(spark, d):
-    log = kv_log(spark, d).withColumn("tli", F.when(F.col("seq") < 4000, 0).otherwise(1))
-    return logfiles.prune_timelines(log, spark.createDataFrame([(0, 0, 3500)], "tli bigint, start_op bigint, end_op bigint")).select("seq")
+    """Every second transaction is of a fork that ends within one."""
+    log = kv_log(spark, d).withColumn("tli", F.col("tx") % 2)
+    end = _share(log, "seq", 35) + 1
+    return logfiles.prune_timelines(log, spark.createDataFrame([(0, 0, end)], "tli bigint, start_op bigint, end_op bigint")).select("seq")
 
 
 @query("select file_id as tli, coalesce(lag(e) over (order by file_id), 0) as start_op, e as end_op from (select file_id, max(seq) e from log group by file_id)")
@@ -277,11 +315,36 @@ def d08_timeline_history(spark, d):
     return logfiles.timeline_history(kv_log(spark, d).groupBy(F.col("file_id").alias("tli")).agg(F.max("seq").alias("end_op")))
 
 
-@query("select cast(floor((cum-sz)/1024) as bigint) chunk, cast(count(*) as bigint) n from (select length(k)+length(v) sz, sum(length(k)+length(v)) over (order by k rows unbounded preceding) cum from newest where not del) u group by 1")
+@query("select tli, coalesce(lag(e) over (order by file_id), 0) as start_op, e as end_op from (select file_id, greatest(1, coalesce(max(t) over (order by file_id rows between unbounded preceding and 1 preceding), 1)) tli, t, e from (select file_id, (file_id * 7) % 11 t, max(seq) e from log group by file_id)) where t > tli")
+def d08_timeline_changes(spark, d):
+    """Jumps forward, back and to the same timeline, of which only the first kind counts."""
+    ends = kv_log(spark, d).groupBy(F.col("file_id").alias("at")).agg(F.max("seq").alias("last_op"))
+    return logfiles.timeline_changes(ends.withColumn("tli", F.col("at") * 7 % 11))
+
+
+@query("select cast(floor((cum-sz)/1024) as bigint) chunk, cast(count(*) as bigint) n from (select strlen(k)+coalesce(strlen(v),0) sz, sum(strlen(k)+coalesce(strlen(v),0)) over (order by k rows unbounded preceding) cum from newest where not del) u group by 1")
 def d10_chunks(spark, d):
     return logfiles.chunked(latest.live_state(kv_log(spark, d)), 1024).groupBy("chunk").agg(F.count("*").alias("n"))
 
 
+@query("select cast(floor((cum-sz)/1024) as bigint) chunk, cast(count(*) as bigint) n from (select strlen(k)+coalesce(strlen(v),0) sz, sum(strlen(k)+coalesce(strlen(v),0)) over (order by k rows unbounded preceding) cum from (select concat('é', k) k, case when db > 0 then v end v from newest)) u group by 1")
+def d10_chunks_of_bytes(spark, d):
+    """Chunks count bytes, and a missing value has none."""
+    state = latest.dedup_latest(kv_log(spark, d)).select(F.concat(F.lit("é"), "k").alias("k"), F.when(F.col("db") > 0, F.col("v")).alias("v"))
+    return logfiles.chunked(state, 1024).groupBy("chunk").agg(F.count("*").alias("n"))
+
+
+@query("select packet, cast(count(*) as bigint) n, cast(sum(size) as bigint) bytes, cast(count(*) filter (where marker) as bigint) as commits from (select *, cast(floor((sum(size) over (order by seq, marker rows unbounded preceding) - size) / 4096) as bigint) packet from (select seq, false as marker, 25 + strlen(k) + coalesce(strlen(v), 0) as size from log union all select max(seq), true, 25 from log group by tx)) group by 1")
+def d11_packets(spark, d):
+    packets = logfiles.packed(kv_log(spark, d), 4096)
+    return packets.groupBy("packet").agg(F.count("*").alias("n"), F.sum("size").cast("bigint").alias("bytes"), F.count_if("marker").alias("commits"))
+
+
+@query("select tx, bytes from (select tx, cast(sum(25 + strlen(k) + coalesce(strlen(v), 0)) as bigint) bytes from log group by tx) where bytes > 100")
+def d11_overflowing(spark, d):
+    return logfiles.overflowing(logfiles.packed(kv_log(spark, d), 4096), 100)
+
+
 @query("select tx, k from log where tx in (select tx from log group by tx having max(seq % 5) >= 4)")
 def d11_committed(spark, d):
     log = kv_log(spark, d)
@@ -294,11 +357,37 @@ def d13_reset(spark, d):
     return gc.reset(kv_log(spark, d), 2).select("seq", "k")
 
 
-@query("select r.txid as txid, cast(count(distinct r.k) as bigint) as bad_keys from (select tx as txid, tx-5 as read_tx, k from log where tx % 10=0) r where exists (select 1 from log c where c.k=r.k and c.tx>r.read_tx and c.tx<r.txid) group by r.txid")
+CONFLICTS = "select r.txid as txid, cast(count(distinct r.k) as bigint) as bad_keys from (select tx as txid, tx-5 as read_tx, k from log) r where exists (select 1 from log c where c.k=r.k and c.tx>r.read_tx and c.tx<r.txid) group by r.txid"
+
+
+def _snapshots(log: DataFrame) -> DataFrame:
+    """Every transaction of the log as a request with a snapshot five transactions back."""
+    return log.select(F.col("tx").alias("txid"), (F.col("tx") - 5).alias("read_tx"), "k")
+
+
+@query(CONFLICTS)
 def e03_conflicts(spark, d):
     log = kv_log(spark, d)
-    asked = log.where("tx % 10 = 0").select(F.col("tx").alias("txid"), (F.col("tx") - 5).alias("read_tx"), "k")
-    return occ.conflicts(asked, log, until="txid")
+    return occ.conflicts(_snapshots(log), log, until="txid")
+
+
+@query(CONFLICTS)
+def e03_conflicts_spread(spark, d):
+    log = kv_log(spark, d)
+    return occ.conflicts(_snapshots(log), log, until="txid", spread=True)
+
+
+@query("select r.txid as txid, cast(count(distinct r.k) as bigint) as bad_keys from (select tx as txid, tx+5 as read_tx, k from log) r join (select k, max(tx) top from log group by k) c on c.k=r.k and c.top>r.read_tx group by r.txid")
+def e03_conflicts_now(spark, d):
+    """Against all of the log, from snapshots five transactions on."""
+    log = kv_log(spark, d)
+    return occ.conflicts(log.select(F.col("tx").alias("txid"), (F.col("tx") + 5).alias("read_tx"), "k"), log)
+
+
+@query("select distinct tx as txid, (select max(tx) from log) as read_tx from log")
+def e01_begin(spark, d):
+    log = kv_log(spark, d)
+    return occ.begin(log.select(F.col("tx").alias("txid")).distinct(), log)
 
 
 @query("select txid, cast(row_number() over (order by txid) as bigint) new_tx, cast(1+sum(n) over (order by txid rows unbounded preceding)-n as bigint) start_op from (select tx txid, cast(count(*) as bigint) n from log where tx%10<>3 group by tx) a")
@@ -319,12 +408,43 @@ def requests(log: DataFrame) -> DataFrame:
     return keys.select("db", (F.col("txid")).alias("arrival"), (F.col("txid") * 4 + F.col("db")).alias("txid"), (F.col("txid") + F.col("txid") % 50 * 40).alias("read_tx"), "reads", writes.alias("writes"))
 
 
+def _outcomes_sql(size: int) -> str:
+    """Each database's requests one after another: what is carried is the last writer of each key, its group and its number, counted from the log's head, as snapshots are."""
+    row = "{{'txid': {0}, 'arrival': {1}, 'g': {2}, 'seen': {3}, 'stale': {4}, 'keys': {5}, 'n': {6}, 'last': {7}, 'done': {8}}}".format
+    last, done = "struct(k varchar, n bigint, g bigint)[]", "struct(txid bigint, arrival bigint, outcome varchar, n_ops bigint)[]"
+    none, nothing, one = f"cast([] as {last})", f"cast([] as {done})", lambda outcome, n: f"list_append(a.done, {{'txid': x.txid, 'arrival': x.arrival, 'outcome': '{outcome}', 'n_ops': {n}}})"
+    own = [f"x.{c}" for c in ("txid", "arrival", "g", "seen", "stale", "keys")]
+    first = row("cast(0 as bigint)", "cast(0 as bigint)", "cast(-1 as bigint)", "cast(0 as bigint)", "false", "cast([] as varchar[])", "cast(0 as bigint)", none, nothing)
+    asked = row("r.tx * 4 + r.db", "r.tx", f"cast((r.tx - 1) // {size} as bigint)", "r.seen", "r.stale", "r.keys", "cast(0 as bigint)", none, nothing)
+    written = "list_concat(list_filter(a.last, lambda e: not list_contains(x.keys, e.k)), list_transform(x.keys, lambda k: {'k': k, 'n': a.n + 1, 'g': x.g}))"
+    met = "list_filter(a.last, lambda e: list_contains(x.keys, e.k) and (e.g = x.g or e.n > x.seen))"
+    yes, no = row(*own, "a.n + 1", written, one("ok", "len(x.keys)")), row(*own, "a.n", "a.last", one("conflict", "0"))
+    return f"""select u.txid, u.arrival, u.outcome, u.n_ops from (select unnest(list_reduce(list_prepend({first}, list({asked} order by r.tx)), lambda a, x: case when x.stale or len({met}) > 0 then {no} else {yes} end).done) as u from (
+  select db, tx, tx + tx % 50 * 40 - (select max(tx) from log) as seen, list(distinct k) as keys, bool_or(top > tx + tx % 50 * 40) as stale from log join (select k, max(tx) top from log group by k) using (k) group by db, tx) r group by db)"""
+
+
 @query()
 def e04_group_outcomes(spark, d):
     log = kv_log(spark, d)
     return occ.commit(requests(log), log)
 
 
+@query()
+def e04_group_outcomes_of_4(spark, d):
+    log = kv_log(spark, d)
+    return occ.commit(requests(log), log, size=4)
+
+
+@query()
+def e04_group_outcomes_alone(spark, d):
+    log = kv_log(spark, d)
+    return occ.commit(requests(log), log, size=1)
+
+
+for _name, _size in (("e04_group_outcomes", occ.GROUP), ("e04_group_outcomes_of_4", 4), ("e04_group_outcomes_alone", 1)):
+    ORACLES[_name] = VIEWS + _outcomes_sql(_size)
+
+
 @query("select event_id, ts < lead(ts) over (order by event_id) - interval 30 seconds as late from events where 1=0 union all select event_id, true from events where (user_id % 60) > 30")
 def e07_timeouts(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("begin_ts"), (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=(F.col("user_id") % 60).cast("decimal(18,6)"))).alias("commit_ts"))
@@ -362,10 +482,14 @@ def f03_lag(spark, d):
     return replication.lag(_slots(log), _head(log))
 
 
-@query("select db from slots where ack < (select max(seq) from log)")
+@query("select db from (select user_id % 4 db, max(event_id) + 1 ack, max(ts) filter (where user_id % 4 <> 1 or event_id < 300) seen from events group by 1) where ack < (select max(seq) from log) and seen < (select max(ts) from events) - interval 1 minute")
 def f04_zombie(spark, d):
-    log = kv_log(spark, d)
-    return replication.zombies(_slots(log), _head(log)).select("db")
+    """Slots that lag and were not heard of for a minute; one of them fell silent early."""
+    e = table(spark, d, "events")
+    db, at = F.col("user_id") % 4, F.col("ts").cast("timestamp")
+    slots = e.groupBy(db.alias("db")).agg((F.max("event_id") + 1).alias("log_seq"), F.max(F.when((db != 1) | (F.col("event_id") < 300), at)).alias("last_seen"))
+    now = F.lit(e.agg(F.max(at)).first()[0])
+    return replication.zombies(slots, _head(kv_log(spark, d)), now).select("db")
 
 
 @query("select db, cast(user_id as varchar) as replica_id, case when event_id % 2 = 0 then 'server' else 'cdc' end as role, m as log_seq, l as last_seen, gone is distinct from 'purchase' as connected from (select s.db, s.user_id, s.since as event_id, max(case when e.event_type <> 'signup' then e.event_id end) m, max(e.event_id) l, arg_max(e.event_type, e.event_id) gone from (select user_id % 4 db, user_id, max(event_id) since from events where event_type = 'signup' group by 1, 2) s join events e on e.user_id = s.user_id and e.event_id >= s.since group by 1, 2, 3)")
@@ -388,7 +512,7 @@ def f07_snapshot_required(spark, d):
     return replication.snapshot_required(asked, log.where("seq > 3000"))
 
 
-@query()
+@query("select db, list_reduce(list_prepend('UNDEFINED', list(event order by event_id)), lambda s, e: case when s = 'UNDEFINED' and e = 'replicaof' then 'REPLICA' when s in ('UNDEFINED', 'REPLICA') and e = 'promote' then 'PRIMARY' when s = 'PRIMARY' and e = 'stepdown' then 'STEPPING_DOWN' when s = 'REPLICA' and e = 'stepdown' then 'UNDEFINED' when s = 'STEPPING_DOWN' and e = 'drained' then 'UNDEFINED' when e = 'flushdb' then 'UNDEFINED' else s end) as state from (select user_id % 4 db, event_id, ['replicaof','promote','stepdown','drained','flushdb'][user_id % 5 + 1] as event from events) group by db")
 def f09_states(spark, d):
     names = F.array(*map(F.lit, ("replicaof", "promote", "stepdown", "drained", "flushdb")))
     e = table(spark, d, "events").select((F.col("user_id") % 4).alias("db"), F.col("event_id").alias("at"), F.element_at(names, (F.col("user_id") % 5 + 1).cast("int")).alias("event"))
@@ -436,6 +560,44 @@ def a02_bad_lines(spark, d):
     return cdc_json.decoded(torn).where("not bad").select("k", "tx", F.col("seq").alias("op"))
 
 
+@query("select cast(seq as bigint) as op, tx, k, v, del from log")
+def a07_wal_decode(spark, d):
+    """The log written as log files and read back."""
+    found = binary.decoded(binary.wal_blobs(kv_log(spark, d)), "wal")
+    return found.select("tx", "op", F.col("k").cast("string").alias("k"), F.col("v").cast("string").alias("v"), "del")
+
+
+@query("select file_id, cast(seq as bigint) as op, tx, k, v, del, 29 + strlen(k) + coalesce(strlen(v), 0) as size, cast(sum(29 + strlen(k) + coalesce(strlen(v), 0)) over (partition by file_id order by seq) as bigint) - (29 + strlen(k) + coalesce(strlen(v), 0)) as \"offset\" from log")
+def a08_vlog_decode(spark, d):
+    """The log written as value-log files and read back, with the places of its records."""
+    found = binary.decoded(binary.vlog_blobs(kv_log(spark, d)), "vlog")
+    return found.select("file_id", "offset", "tx", "op", F.col("k").cast("string").alias("k"), F.col("v").cast("string").alias("v"), "del", "size")
+
+
+@query("select k, v from newest where not del")
+def a09_backup_scan(spark, d):
+    """The live state written as a backup in ranges of keys and read back."""
+    found = binary.decoded(binary.backup_blobs(latest.live_state(kv_log(spark, d))), "backup")
+    return found.select(F.col("k").cast("string").alias("k"), F.col("v").cast("string").alias("v"))
+
+
+@query("select cast(sum(9 + strlen(k) + strlen(v)) as bigint) as bytes, sha256(string_agg(concat(upper(printf('%08x', strlen(k))), hex(k), upper(printf('%08x', strlen(v))), hex(v), '00'), '' order by k)) as digest from newest where not del")
+def b08_backup_bytes(spark, d):
+    """A backup's bytes: how many, and the checksum of their hexadecimal digits."""
+    parts = binary.backup_blobs(latest.live_state(kv_log(spark, d))).select("name", F.hex("content").alias("digits"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "digits"))), lambda x: x["digits"]), "")
+    return parts.agg(whole.alias("digits")).select(F.floor(F.length("digits") / 2).cast("bigint").alias("bytes"), F.sha2("digits", 256).alias("digest"))
+
+
+@query("select concat(cast(file_id as varchar), '.vlog') as name, file_id % 3 <> 1 as sound from (select distinct file_id from log) where file_id < (select max(file_id) from log)")
+def d09_sweep(spark, d):
+    """Every third value-log file has a wrong bit; the last one is not looked at."""
+    blobs = binary.vlog_blobs(kv_log(spark, d))
+    bad = F.concat(F.expr("substring(content, 1, 40)"), F.unhex(F.lpad(F.hex(F.conv(F.hex(F.expr("substring(content, 41, 1)")), 16, 10).cast("int").bitwiseXOR(F.lit(64))), 2, "0")), F.expr("substring(content, 42)"))
+    hit = F.regexp_extract("name", r"^(\d+)", 1).cast("int") % 3 == 1
+    return binary.swept(blobs.withColumn("content", F.when(hit, bad).otherwise(F.col("content")))).select("name", "sound")
+
+
 @query("select seq, to_base64(encode(v)) b from log where v is not null")
 def g01_base64(spark, d):
     return kv_log(spark, d).where("v is not null").select("seq", codec.value_text(F.col("v"), "base64").alias("b"))
@@ -483,14 +645,34 @@ def h03_bank(spark, d):
     return workload.transfers_balance(moves, 10, 1000)
 
 
-@query("select (select cast(count(*) as bigint) from newest where not del) key_count, (select cast(sum(garbage) as bigint) from waste) garbage_bytes, (select count(distinct file_id) from log) files, (select max(seq) from log) head")
+@query("select 'PRIMARY' as state, (select cast(count(*) as bigint) from newest where not del) key_count, (select cast(sum(garbage) as bigint) from waste) garbage_bytes, cast(7 as bigint) conflicts, cast(3 as bigint) active_connections, (select count(distinct file_id) from log) vlog_files, cast(2 as bigint) wal_files, cast(1 as bigint) active_txs, (select max(seq) from log) - (select min(ack) from slots) as replica_lag, '1h2m3s' as uptime, cast(2 as bigint) min_replicas")
 def i01_stat(spark, d):
-    return stats.stat(kv_log(spark, d))
+    """All eleven fields; what only a server counts is given."""
+    log = kv_log(spark, d)
+    return stats.stat(log, _slots(log), wal_files=2, state="PRIMARY", conflicts=7, connections=3, active_txs=1, uptime=3723, min_replicas=2)
 
 
-@query("select u.metric, l.db, u.value from (select db, [count(distinct k), max(seq), max(tx), count(distinct file_id), cast(count(*) filter (where del) as bigint)] vals from log group by db) l, lateral (select unnest(['keys_seen','last_op','last_tx','log_files','tombstones']) metric, unnest(l.vals) as value) u")
+SERIES = """select u.metric, cast(null as varchar) as db, u.value from (select unnest(['connections_active', 'connections_accepted_total', 'transactions_active']) metric, unnest([count(*) filter (where event_type = 'click'), count(*), count(*) filter (where event_type = 'signup')]) as value from events) u
+union all select u.metric, cast(l.db as varchar), cast(u.value as bigint) from (select db, [coalesce(s.connections, 0), coalesce(s.active, 0), coalesce(s.conflicts, 0), m.head, m.head - m.least, m.wal_files, m.wal_bytes, m.vlog_files, m.vlog_bytes, coalesce(n.live, 0)] vals
+  from (select db, max(seq) head, max(seq) filter (where file_id % 2 = 0) least, count(distinct file_id // 2) wal_files, sum(strlen(k) + coalesce(strlen(v), 0) + 9) + 28 * count(distinct tx) wal_bytes, count(distinct file_id) vlog_files, sum(29 + strlen(k) + coalesce(strlen(v), 0)) vlog_bytes from log group by db) m
+  left join (select user_id % 4 db, count(*) filter (where event_type = 'click') connections, count(*) filter (where event_type = 'signup') active, count(*) filter (where event_type = 'error') conflicts from events group by 1) s using (db)
+  left join (select db, count(*) live from newest where not del group by db) n using (db)) l, lateral (select unnest(['connections', 'active_txs', 'conflicts_total', 'offset', 'replica_lag', 'wal_files', 'wal_bytes', 'vlog_files', 'vlog_bytes', 'key_count']) metric, unnest(l.vals) as value) u"""
+
+
+@query(SERIES)
 def i02_collector(spark, d):
-    return stats.collector(kv_log(spark, d))
+    """Thirteen series; events stand for sessions and transactions, and a slot follows each database's even files."""
+    log = kv_log(spark, d).withColumn("wal_id", F.floor(F.col("file_id") / 2))
+    e = table(spark, d, "events").select((F.col("user_id") % 4).alias("db"), "event_type")
+    sessions = e.select("db", (F.col("event_type") == "click").alias("open"))
+    transactions = e.select("db", (F.col("event_type") == "signup").alias("active"), (F.col("event_type") == "error").alias("conflict"))
+    slots = log.where("file_id % 2 = 0").groupBy("db").agg(F.max("seq").alias("log_seq"))
+    return stats.collector(log, slots, sessions, transactions)
+
+
+@query("select 'last_seq' as metric, max(seq) as value from log")
+def i04_cdc_metrics(spark, d):
+    return stats.cdc_metrics(kv_log(spark, d))
 
 
 @query("select case when del then 'delete' else 'upsert' end as type, cast(count(*) as bigint) as rows from log group by 1")
@@ -507,12 +689,12 @@ def i05_storage(spark, d):
 @query("select (select max(tx) from log) as tx, (select max(seq) from log) as seq, (select cast(count(*) as bigint) from newest where not del) as key_count, (select cast(sum(garbage) as bigint) from waste) as garbage_bytes")
 def b10_checkpoint(spark, d):
     log = kv_log(spark, d)
-    return mvcc.clocks(log).crossJoin(stats.stat(log).select("key_count", "garbage_bytes"))
+    return mvcc.clocks(log).crossJoin(stats.stat(log, _slots(log), 0, "PRIMARY").select("key_count", "garbage_bytes"))
 
 
 @query(f"select file_id, max(seq) as last_seq, max({MS}) as updated from log group by file_id")
 def b03_resume_state(spark, d):
-    return _changes(spark, d).withColumn("file_id", F.floor((F.col("seq") - 1) / 1000).cast("bigint")).groupBy("file_id").agg(F.max("seq").alias("last_seq"), F.max("ts").alias("updated"))
+    return loader.resume_state(_changes(spark, d).withColumn("file_id", F.floor((F.col("seq") - 1) / 1000).cast("bigint")), "file_id")
 
 
 @query("select (select max(seq) from log) + row_number() over (order by k) as seq, (select max(tx) from log) + 1 as tx, k, 'set' as v, false as del from (select distinct k from log where db = 1) where (select count(*) from slots where db > 0) >= 3")
@@ -524,10 +706,9 @@ def c17_embedded_apply(spark, d):
     return mvcc.write_batch(log, writes).join(F.broadcast(enough))
 
 
-@query("select tx as txid, tx - 5 as read_tx, k from log where tx % 10 = 0")
+@query("select tx as txid, tx - 5 as read_tx, k from log")
 def e02_read_set(spark, d):
-    log = kv_log(spark, d).where("tx % 10 = 0")
-    asked = log.groupBy(F.col("tx").alias("txid")).agg(F.collect_set("k").alias("reads")).withColumn("writes", F.transform("reads", lambda k: F.struct(k.alias("k"))))
+    asked = kv_log(spark, d).groupBy(F.col("tx").alias("txid")).agg(F.collect_set("k").alias("reads")).withColumn("writes", F.transform("reads", lambda k: F.struct(k.alias("k"))))
     return occ.touched(asked.withColumn("read_tx", F.col("txid") - 5))
 
 

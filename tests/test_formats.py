@@ -1,5 +1,7 @@
 """Files: round trips, damage, change files, versioned tables and restarts of streams."""
 
+import functools
+import hashlib
 import json
 import random
 from datetime import datetime
@@ -11,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from changelake.functions import codec, workload
+from changelake.operators import merge, stats
 from changelake.plans.table import VersionedTable
 from changelake.schemas import STATE, STATE_TOMBSTONE
 from changelake.sources import binary, cdc_json
@@ -71,6 +74,37 @@ def test_binary_readers(spark, tmp_path):
     assert [(r.file_id, r.offset, r.size) for r in binary.read_vlog(spark, str(tmp_path)).orderBy("op").collect()] == [(1, 0, 31), (2, 0, 31)]
 
 
+def test_checksums_of_many_values():
+    rng = random.Random(11)
+    plain = lambda data: functools.reduce(lambda c, b: codec.TABLE[(c ^ b) & 255] ^ c >> 8, data, 0xFFFFFFFF) ^ 0xFFFFFFFF
+    values = [rng.randbytes(n) for n in (0, 1, 63, 64, 65, 127, 128, 129, 1000, 5000, 70_001)] + [bytes(200), b"\xff" * 4096] + [rng.randbytes(rng.randint(0, 300)) for _ in range(50)]
+    assert codec.crc32c_all(values).tolist() == [plain(v) for v in values] == [codec.crc32c(v) for v in values]
+    assert codec.crc32c_all([]).size == 0
+
+
+@pytest.mark.parametrize("split", [90, 1000])
+def test_large_files_are_read_in_parts(spark, tmp_path, split):
+    rng = random.Random(4)
+    entries = [(f"k{i}".encode(), None if i % 5 == 0 else rng.randbytes(rng.randint(0, 30)), i % 5 == 0) for i in range(60)]
+    wal = b"".join(binary.wal_frame(n, 3 * n, entries[3 * n : 3 * n + 3]) for n in range(20))
+    (tmp_path / "00000000000000000000.wal").write_bytes(wal)
+    vlog = b"".join(binary.vlog_record(i, i, *e) for i, e in enumerate(entries))
+    (tmp_path / "1.vlog").write_bytes(vlog)
+    (tmp_path / "2.vlog").write_bytes(vlog + b"half a rec")
+    found = binary.read_wal(spark, str(tmp_path), split)
+    assert found.rdd.getNumPartitions() == -(-len(wal) // split)
+    assert [(r.frame, r.tx, r.op, bytes(r.k)) for r in found.orderBy("op").collect()] == [(i // 3, i // 3, i, e[0]) for i, e in enumerate(entries)]
+    got = binary.read_vlog(spark, str(tmp_path), split).orderBy("file_id", "offset").collect()
+    assert [(r.op, r.offset, r.size) for r in got] == [(r[2], r[0], r[6]) for r in binary.vlog_rows(vlog)] * 2
+    (tmp_path / "basebackup.bin").write_bytes(data := b"".join(binary.backup_bytes(entries)))
+    (tmp_path / "backup.meta").write_text(json.dumps({"sha256": hashlib.sha256(data).hexdigest()}))
+    rows, _ = binary.read_backup(spark, str(tmp_path), split)
+    assert [(r.pos, bytes(r.k), r["del"]) for r in rows.orderBy("pos").collect()] == [(i, e[0], e[2]) for i, e in enumerate(entries)]
+    (tmp_path / "00000000000000000000.wal").write_bytes(wal[:-1])
+    with pytest.raises(Exception, match="wrong length"):
+        binary.read_wal(spark, str(tmp_path), split).collect()
+
+
 @pytest.mark.parametrize("compressed", [False, True])
 def test_backup(spark, tmp_path, compressed):
     state = spark.createDataFrame([(f"k{i}", f"v{i}") for i in range(500)], "k string, v string")
@@ -129,11 +163,56 @@ def write_file(folder: Path, number: int, rows):
     part.rename(folder / f"cdc-0-{number:05d}-1.jsonl")
 
 
+def state_table(spark, tmp_path, hard):
+    return VersionedTable(spark, str(tmp_path / "table"), STATE) if hard else VersionedTable(spark, str(tmp_path / "table"), STATE_TOMBSTONE, order="log_seq")
+
+
+@pytest.mark.parametrize("hard", [False, True])
+def test_a_new_checkpoint_loses_and_repeats_nothing(spark, tmp_path, hard):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    table = state_table(spark, tmp_path, hard)
+    for n, checkpoint in enumerate(("a", "a", "b", "b")):
+        write_file(folder, n, [(f"k{n}", "v", n + 1), ("gone", None if n == 2 else f"v{n}", 10 - n if n == 3 else n + 10)])
+        loader.start(cdc_json.stream(spark, str(folder)), table, str(tmp_path / checkpoint), hard_delete=hard).awaitTermination(120)
+        assert sorted(r.filename for r in table.processed().collect()) == [f"cdc-0-{m:05d}-1.jsonl" for m in range(n + 1)]
+    live = table.read() if hard else table.read().where("not is_deleted")
+    # A hard delete forgets, so an older put brings the key back.
+    assert {r.k for r in live.collect()} == {"k0", "k1", "k2", "k3", *(["gone"] if hard else [])}
+
+
+def test_a_table_is_never_without_a_manifest(spark, tmp_path):
+    table = state_table(spark, tmp_path, True)
+    assert table.read().count() == 0 and table.processed().count() == 0
+    rows = lambda *keys: spark.createDataFrame([(k, "v", 1, 1, None) for k in keys], STATE)
+    assert [table.write(rows("a")), table.append(rows("b")), table.append(rows("c"))] == [1, 2, 3]
+    folder = tmp_path / "table"
+    (folder / "manifest-000000000004.json").write_text('{"version": 4, "par')  # cut off while it was written
+    (folder / ".manifest-000000000004.json.crc").unlink(missing_ok=True)
+    assert table.manifest()["version"] == 3 and {r.k for r in table.read().collect()} == {"a", "b", "c"}
+    assert {r.k for r in table.read(2).collect()} == {"a", "b"}
+    (folder / "v4").mkdir()  # what a failed run leaves is replaced
+    assert table.append(rows("d").withColumn("_gone", F.lit(False)).unionByName(rows("a").withColumn("_gone", F.lit(True)))) == 4
+    assert {r.k for r in table.read().collect()} == {"b", "c", "d"} and sorted(p.name for p in folder.glob("v*")) == ["v1", "v2", "v3", "v4"]
+    assert table.vacuum() == 5 and table.manifest()["statistics"]["rows"] == 3 and table.manifest()["statistics"]["highest"] == "d"
+    assert table.write(rows("z")) == 6 and table.write(rows("y")) == 7 and sorted(p.name for p in folder.glob("v*")) == ["v6", "v7"]
+
+
+def test_every_so_many_files_the_table_is_rewritten(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    table = state_table(spark, tmp_path, True)
+    for n in range(3):
+        write_file(folder, n, [(f"k{n}", "v", n + 1)])
+        loader.start(cdc_json.stream(spark, str(folder)), table, str(tmp_path / "c"), hard_delete=True, vacuum_every=2).awaitTermination(120)
+    assert len(table.manifest()["parts"]) == 2 and table.read().count() == 3 and table.processed().count() == 3
+
+
 @pytest.mark.parametrize("hard", [False, True])
 def test_stream_restarts_and_repeats(spark, tmp_path, hard):
     folder, rng = tmp_path / "in", random.Random(7)
     folder.mkdir()
-    table = VersionedTable(spark, str(tmp_path / "table"), STATE if hard else STATE_TOMBSTONE)
+    table = state_table(spark, tmp_path, hard)
     model, everything, seq = {}, {}, 0
     for round_ in range(3):
         for n in range(2):
@@ -154,7 +233,7 @@ def test_stream_restarts_and_repeats(spark, tmp_path, hard):
         assert {r.k: (r.v, r.log_seq) for r in state.collect()} == model
     version = table.manifest()
     run = loader.into_hard_deletes(table) if hard else loader.into_tombstones(table)
-    run(cdc_json.read(spark, str(folder)), version["batch"])  # a repeated batch changes nothing
+    run(cdc_json.read(spark, str(folder)), 0)  # repeated files change nothing
     assert table.manifest() == version
     assert table.vacuum() == version["version"] + 1 and table.read().count() == (len(model) if hard else len(everything))
     assert table.read().where("updated_at is null").count() == 0
@@ -162,8 +241,12 @@ def test_stream_restarts_and_repeats(spark, tmp_path, hard):
 
 def test_hard_deletes_resurrect_in_file_order(spark):
     rows = [("k", "old", False, 1, 1, "cdc-2"), ("k", None, True, 5, 5, "cdc-1"), ("k", "first", False, 2, 2, "cdc-0")]
-    got = loader.folded(spark.createDataFrame(rows, "k string, v string, del boolean, seq bigint, tx bigint, file string")).collect()
-    assert [tuple(r) for r in got] == [("k", 1, "old")]
+    frame = spark.createDataFrame([(*r, 1000) for r in rows], "k string, v string, del boolean, seq bigint, tx bigint, file string, ts bigint")
+    assert [tuple(r) for r in merge.fold_files(frame, "file").collect()] == [("k", 1, "old")]
+    state = spark.createDataFrame([("k", "before", 9, 9, None), ("other", "x", 1, 1, None)], STATE)
+    assert [(r.k, r.v, r.log_seq, r._gone) for r in merge.fold_into(state, frame).collect()] == [("k", "before", 9, False)]
+    state = spark.createDataFrame([("k", "before", 1, 1, None)], STATE)
+    assert [(r.k, r.log_seq, r._gone) for r in merge.fold_into(state, frame.where("file = 'cdc-1'")).collect()] == [("k", 1, True)]
 
 
 def test_rotations(spark):
@@ -175,6 +258,7 @@ def test_rotations(spark):
 
 def test_workloads(spark):
     assert workload.shards(10, 3) == [(1, 3), (4, 6), (7, 10)]
+    assert [stats.duration_text(n) for n in (5, 65, 3600)] == ["5s", "1m5s", "1h0m0s"]
     keys = workload.bench_keys(spark, 3, 4).collect()
     assert len({r.k for r in keys}) == 12 and all(len(r.k) == 32 for r in keys)
     d = workload.devices(spark, 300)

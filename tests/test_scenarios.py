@@ -42,11 +42,58 @@ def test_numbering_skips_requests_without_operations(spark):
     assert sorted(map(tuple, occ.numbering(survivors).collect())) == [(1, 1, 1), (3, 2, 3)]
 
 
-def test_group_commits_end_after_their_size(spark):
-    requests = [(1, "", "k")] * 3
-    rows = [(0, n, n, r, list(reads), [(k, "v", False) for k in w]) for n, (r, reads, w) in enumerate(requests, 1)]
-    got = occ.commit(spark.createDataFrame(rows, REQUESTS), log(spark, (1, "j", "v")), size=1).collect()
-    assert [r.outcome for r in got] == ["ok"] * 3
+def sequential(history_tx, requests, size):
+    """One database's committer: requests one after another, against the log's latest versions, the survivors of earlier groups and those of their own."""
+    index, clock = dict(history_tx), max(history_tx.values(), default=0)
+    out, group = [], set()
+    for n, (read_tx, reads, writes) in enumerate(requests):
+        if n % size == 0:
+            group = set()
+        keys = {*reads, *writes}
+        ok = not writes or not any(index.get(k, 0) > read_tx for k in keys) and not keys & group
+        if ok and writes:
+            clock += 1
+            group |= {*writes}
+            index |= dict.fromkeys(writes, clock)
+        out.append("ok" if ok else "conflict")
+    return out
+
+
+def test_groups_know_earlier_survivors(spark):
+    requests = [(1, "", "k")] * 4
+    for size, want in ((1, "occc"), (2, "occc"), (128, "occc")):
+        rows = [(0, n, n, r, list(reads), [(k, "v", False) for k in w]) for n, (r, reads, w) in enumerate(requests, 1)]
+        got = occ.commit(spark.createDataFrame(rows, REQUESTS), log(spark, (1, "j", "v")), size=size).orderBy("arrival").collect()
+        assert "".join(r.outcome[0] for r in got) == want
+
+
+@pytest.mark.parametrize("size", [1, 3, 128])
+def test_commits_against_a_sequential_committer(spark, size):
+    rng = random.Random(size)
+    history = log(spark, *((t, f"k{rng.randint(0, 30)}", "v") for t in range(1, 20)))
+    index = {r.k: r.t for r in history.groupBy("k").agg(F.max("tx").alias("t")).collect()}
+    rows, want = [], {}
+    for db in range(3):
+        requests = [(rng.randint(10, 40), [f"k{rng.randint(0, 30)}" for _ in range(rng.randint(0, 2))], sorted({f"k{rng.randint(0, 30)}" for _ in range(rng.randint(0, 2))})) for _ in range(150)]
+        rows += [(db, n, db * 1000 + n, r, reads, [(k, "v", False) for k in w]) for n, (r, reads, w) in enumerate(requests, 1)]
+        want |= {db * 1000 + n: o for n, o in enumerate(sequential(index | {"": 19}, requests, size), 1)}
+    rng.shuffle(rows)
+    got = occ.commit(spark.createDataFrame(rows, REQUESTS), history, size).collect()
+    assert {r.txid: r.outcome for r in got} == want and len(set(want.values())) == 2
+
+
+def test_conflicts_before_a_bound(spark):
+    rng = random.Random(8)
+    versions = [(i, rng.randint(1, 60), f"k{rng.randint(0, 5)}", "v", False) for i in range(80)]
+    asked = [(t, rng.randint(0, 50), f"k{rng.randint(0, 6)}", rng.randint(1, 60)) for t in range(100) for _ in range(2)]
+    want = {}
+    for t, read, k, until in asked:
+        if any(v[2] == k and read < v[1] < until for v in versions):
+            want.setdefault(t, set()).add(k)
+    touched = spark.createDataFrame(asked, "txid bigint, read_tx bigint, k string, until bigint")
+    for spread in (False, True, None):
+        got = {r.txid: r.bad_keys for r in occ.conflicts(touched, spark.createDataFrame(versions, LOG), until="until", spread=spread).collect()}
+        assert got == {t: len(k) for t, k in want.items()}
 
 
 def test_own_writes_and_snapshots(spark):
@@ -126,10 +173,61 @@ def test_merges_against_a_sequential_model(spark):
     assert {r.k: (r.seq, r.v) for r in latest.live_state(frame).collect()} == {k: x for k, x in live.items() if x[1] is not None}
 
 
+def purged(files, least):
+    """File after file: empty ones go; others go if the next begins at or before `least`, stay before an empty one, and end the purge otherwise."""
+    out = []
+    for n, (file_id, first) in enumerate(files[:-1]):
+        after = files[n + 1][1]
+        if first is None:
+            out.append(file_id)
+        elif after is None:
+            if n + 2 == len(files):
+                break
+        elif after <= least:
+            out.append(file_id)
+        else:
+            break
+    return out
+
+
+def test_purges_against_a_loop(spark):
+    rng = random.Random(21)
+    cases = [([(0, 1), (1, None), (2, 10), (3, 20)], 20), ([(0, 1), (1, None)], 9), ([(0, None)], 9), ([], 9)]
+    for _ in range(12):
+        op, files = 0, []
+        for n in range(rng.randint(1, 9)):
+            op += rng.randint(1, 9)
+            files.append((n, None if rng.random() < 0.3 else op))
+        cases.append((files, rng.randint(0, 40)))
+    for files, least in cases:
+        frame = spark.createDataFrame([(n, first, 0, n) for n, first in files], "file_id bigint, first_op bigint, tli int, start_offset bigint")
+        assert sorted(r.file_id for r in logfiles.purgeable(frame, least).collect()) == purged(files, least), (files, least)
+    assert purged(*cases[0]) == [1, 2]
+
+
+def test_forks_end_between_transactions(spark):
+    rows = [(seq, tx, 1, f"k{seq}") for tx, first in ((1, 97), (2, 99), (3, 102)) for seq in range(first, first + 3 - (tx == 1))]
+    frame = spark.createDataFrame(rows + [(500, 9, 2, "k")], "seq bigint, tx bigint, tli bigint, k string")
+    history = spark.createDataFrame([(1, 0, 100)], "tli bigint, start_op bigint, end_op bigint")
+    assert sorted(r.seq for r in logfiles.prune_timelines(frame, history).collect()) == [97, 98, 99, 100, 101, 500]
+
+
+def test_timelines_jump_forward_only(spark):
+    changes = spark.createDataFrame([(1, None, 10), (2, 5, 20), (3, 5, 25), (4, 3, 28), (5, None, 30)], "at bigint, tli bigint, last_op bigint")
+    assert [tuple(r) for r in logfiles.timeline_changes(changes).collect()] == [(1, 0, 10), (2, 10, 20), (5, 20, 30)]
+    assert logfiles.timeline_changes(changes.limit(0)).count() == 0
+
+
+def test_packets_and_chunks_count_bytes(spark):
+    rows = [(1, 1, "é", "ab"), (2, 1, "k", None), (3, 2, "k" * 50, "v")]
+    frame = spark.createDataFrame(rows, "seq bigint, tx bigint, k string, v string")
+    got = [(r.seq, r.marker, r.size, r.packet) for r in logfiles.packed(frame, 60).orderBy("seq", "marker").collect()]
+    assert got == [(1, False, 29, 0), (2, False, 26, 0), (2, True, 25, 0), (3, False, 76, 1), (3, True, 25, 2)]
+    assert [tuple(r) for r in logfiles.overflowing(logfiles.packed(frame), 60).collect()] == [(2, 76)]
+    assert [r.chunk for r in logfiles.chunked(frame, 4).orderBy("k").collect()] == [0, 0, 13]
+
+
 def test_retention(spark):
-    files = spark.createDataFrame([(1, 1, 0, 0), (2, 50, 0, 1), (3, None, 0, 2), (4, 90, 0, 3), (5, 95, 0, 4)], "file_id bigint, first_op bigint, tli int, start_offset bigint")
-    assert sorted(r.file_id for r in logfiles.purgeable(files, 50).collect()) == [1]
-    assert sorted(r.file_id for r in logfiles.purgeable(files.where("file_id <> 3"), 90).collect()) == [1, 2]
     slots = spark.createDataFrame([(10,), (7,)], "log_seq bigint")
     assert logfiles.retention_floor(slots, None, 9).first().safe == 7 and logfiles.retention_floor(slots.limit(0), None, None).first().safe == (1 << 63) - 1
     with pytest.raises(logfiles.LogUnavailable):
@@ -144,6 +242,12 @@ def test_replicas(spark):
     assert tuple(replication.lag(slots, head).first()) == (0, 6) and replication.healthy(slots).first().n == 1 and not replication.drained(slots, head, 0).first().drained
     events = spark.createDataFrame([(1, 1, "replicaof"), (1, 2, "promote"), (1, 3, "replicaof"), (1, 4, "stepdown"), (2, 1, "stepdown"), (3, 1, "promote"), (3, 2, "flushdb")], "db bigint, at bigint, event string")
     assert {r.db: r.state for r in replication.states(events).collect()} == {1: "STEPPING_DOWN", 2: "UNDEFINED", 3: "UNDEFINED"}
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 3), at, rng.choice(["replicaof", "promote", "stepdown", "drained", "flushdb"])) for at in range(300)]
+    want = {}
+    for db, _, event in rows:
+        want[db] = replication.MOVES.get((want.get(db, "UNDEFINED"), event), want.get(db, "UNDEFINED"))
+    assert {r.db: r.state for r in replication.states(spark.createDataFrame(rows, "db bigint, at bigint, event string").repartition(4)).collect()} == want
 
 
 def test_gates(spark):
