@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -44,20 +45,33 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
 
+def release() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and an executor's memory is theirs and the JVM's together."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts have about `limit` bytes at most, or one row."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
-        start, total = 0, 0
-        for i, size in enumerate(sizes):
-            if total and total + size > limit:
-                yield batch.slice(start, i - start)
-                start, total = i, 0
-            total += int(size)
-        yield batch.slice(start)
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(batch.schema.get_field_index(text))
+            sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
+            start, total = 0, 0
+            for i, size in enumerate(sizes):
+                if total and total + size > limit:
+                    yield batch.slice(start, i - start)
+                    start, total = i, 0
+                total += int(size)
+            yield batch.slice(start)
+            del batch, column, sizes
+            release()
+    finally:
+        release()
 
 
 def sorted_groups(

@@ -75,14 +75,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2], s[1]))
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def _shape(text: str) -> str:
     """The text's pattern: runs of letters are A, of digits 9 with their length, other signs themselves."""
     text = re.sub(r"[0-9]+", lambda m: f"\0{len(m.group())}", text)
     return re.sub(r"[^\W\d_]+", "A", text, flags=re.ASCII if text.isascii() else 0).replace("\0", "9x")
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def _whole(text: str) -> tuple[str, ...]:
     """Features of a segment as a whole, without its surroundings."""
     d = _digits(text)
@@ -160,7 +160,7 @@ class Field:
         """The score of a segment under each label: several tokens are no other token, and a segment without features is nothing else."""
         key = (features, single)
         if key not in self._sums:
-            if len(self._sums) > 100_000:
+            if len(self._sums) > 50_000:
                 self._sums.clear()
             w = self.weights
             own = [sum(w.get((y, f), 0.0) for f in features) if features else -math.inf for y in range(1, len(KINDS) + 1)]

@@ -52,7 +52,12 @@ class Words:
         np.cumprod(up, out=up)
         np.cumprod(down, out=down)
         sums = np.zeros(buffer.size + 1, dtype=np.uint64)
-        np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        # In place, as these arrays are what takes most of a worker's memory.
+        sums[1:] = buffer
+        sums[1:] += np.uint64(1)
+        sums[1:] *= up[:-1]
+        del up
+        np.cumsum(sums[1:], out=sums[1:])
         self.hash = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         self.text = np.searchsorted(bounds, starts, side="right") - 1
