@@ -5,7 +5,8 @@ than PARTS * (RADIUS + 1) bits, some part differs in RADIUS bits or fewer, and t
 15 % of the bits; most of those beyond the radius still meet by chance in some table. In a bucket, pairs within NEAR bits
 are linked by a spanning forest of the nearest ones; its edges are verified on the whole shingle sets. Where an edge fails and leaves two verified components apart,
 the other pairs between such components are verified in further rounds, the nearest TRIED ones of each document first and four times as many each round, until none
-is left. A bucket of over HELD members is cut into blocks, and every pair of blocks is searched in a task of its own.
+is left. Before these rounds the shingles that stand in one document of such components alone are counted: they bound the similarity of a document to any other, so
+pairs that cannot be similar are left out. A bucket of over HELD members is cut into blocks, and every pair of blocks is searched in a task of its own.
 """
 
 from __future__ import annotations
@@ -108,16 +109,18 @@ def _forest(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> list[tuple[int, int]
     return edges
 
 
-def _edges(c: dict[str, np.ndarray], bounds: np.ndarray, near: int, tried: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _edges(c: dict[str, np.ndarray], bounds: np.ndarray, near: int, tried: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edges and their kinds: -1 is to be verified, -2 stands for pairs between two components that are left for later.
 
-    Without roots, a spanning forest is to be verified. With roots, all pairs between different roots are that are among the `tried` nearest of one of their ends.
+    Without roots, a spanning forest is to be verified. With roots, all pairs between different roots are that are among the `tried` nearest of one of their ends;
+    with `size` shingles in all, of which `shared` stand elsewhere, two documents cannot have more in common than the fewer of their shared ones.
     """
     i, j, d = _close(c, bounds, near)
     if "root" not in c:
         a, b = np.array(_forest(i, j, d), dtype=np.int64).reshape(-1, 2).T
         return c["node"][a], c["node"][b], np.full(a.size, -1)
-    apart = c["root"][i] != c["root"][j]
+    common = np.minimum(c["shared"][i], c["shared"][j])
+    apart = (c["root"][i] != c["root"][j]) & (common >= least * (c["size"][i] + c["size"][j] - common) - 1e-9)
     i, j, d = i[apart], j[apart], d[apart]
     ends, far = np.concatenate([i, j]), np.concatenate([d, d])
     order = np.lexsort((far, ends))
@@ -137,7 +140,7 @@ def _edges(c: dict[str, np.ndarray], bounds: np.ndarray, near: int, tried: int)
 COLUMNS = ["t", "key", "node", "f1", "f2"]
 
 
-def _met(batches: Iterator[pa.RecordBatch], held: int, near: int, tried: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _met(batches: Iterator[pa.RecordBatch], held: int, near: int, tried: int, least: float, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Edges (t -1 or -2, between key and node) of sorted buckets, and the rows of buckets too large to hold, unchanged."""
     rest: list[dict[str, np.ndarray]] = []
 
@@ -152,7 +155,7 @@ def _met(batches: Iterator[pa.RecordBatch], held: int, near: int, tried: int, na
         keep = np.repeat(several, np.diff(bounds))
         if keep.any():
             sizes = np.diff(bounds)[several]
-            a, b, kind = _edges({n: c[n][keep] for n in names}, np.concatenate([[0], np.cumsum(sizes)]), near, tried)
+            a, b, kind = _edges({n: c[n][keep] for n in names}, np.concatenate([[0], np.cumsum(sizes)]), near, tried, least)
             if a.size:
                 yield out(kind, a, b, *(np.zeros(a.size) for _ in names[3:]))
     while rest:
@@ -160,33 +163,34 @@ def _met(batches: Iterator[pa.RecordBatch], held: int, near: int, tried: int, na
         rest.pop()
 
 
-def _blocks(table: pa.Table, near: int, tried: int, names: list[str]) -> pa.Table:
+def _blocks(table: pa.Table, near: int, tried: int, least: float, names: list[str]) -> pa.Table:
     c = {n: np.asarray(table.column(n)) for n in names[2:]}
-    a, b, kind = _edges(c, np.array([0, table.num_rows]), near, tried)
+    a, b, kind = _edges(c, np.array([0, table.num_rows]), near, tried, least)
     return pa.table({"t": pa.array(kind, pa.int64()), "key": a, "node": b})
 
 
-def candidates(classes: DataFrame, held: int = HELD, near: int = NEAR, tried: int = TRIED) -> DataFrame:
+def candidates(classes: DataFrame, held: int = HELD, near: int = NEAR, tried: int = TRIED, least: float = SIMILARITY) -> DataFrame:
     """Distinct edges (a, b, later) between the nodes of `classes` (node, f1, f2), which connect what pairs within `near` bits that meet in a table do.
 
-    If the classes have a root each, edges join different roots only: those to be verified, and, as later, some that connect the roots of all other pairs.
+    If the classes have a root each, and the counts of `unshared`, edges join different roots only: those to be verified, and, as later, some that connect the roots
+    of all other pairs. Pairs that cannot have a similarity of `least` are left out.
     """
     bits = 128 // PARTS
     tables = []
     for part in range(PARTS):
         column, shift = ("f1", "f2")[part * bits // 64], part * bits % 64
         tables += [F.struct(F.lit(len(tables) + n).cast("long").alias("t"), F.col(column).bitwiseAND(F.lit(signed(m << shift))).alias("key")) for n, m in enumerate(masks(RADIUS, bits))]
-    names = [*COLUMNS, *(["root"] if "root" in classes.columns else [])]
+    names = [*COLUMNS, *(["root", "size", "shared"] if "root" in classes.columns else [])]
     rows = classes.select(*names[2:], F.explode(F.array(*tables)).alias("x")).select("x.t", "x.key", *names[2:])
     schema = ", ".join(f"{n} long" for n in names)
-    met = settle(rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(lambda it: _met(it, held, near, tried, names), schema))
+    met = settle(rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(lambda it: _met(it, held, near, tried, least, names), schema))
     edges = met.where("t < 0").select("t", "key", "node")
     large = met.where("t >= 0")
     if not large.isEmpty():
         counts = large.groupBy("t", "key").agg(F.ceil(F.count("*") / held).cast("int").alias("blocks"))
         blocked = large.join(counts, ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-        edges = edges.unionByName(dealt.groupBy("t", "key", "low", "high").applyInArrow(lambda t: _blocks(t, near, tried, names), "t long, key long, node long"))
+        edges = edges.unionByName(dealt.groupBy("t", "key", "low", "high").applyInArrow(lambda t: _blocks(t, near, tried, least, names), "t long, key long, node long"))
     return edges.select(F.least("key", "node").alias("a"), F.greatest("key", "node").alias("b"), (F.col("t") == -2).alias("later")).where("a < b").distinct()
 
 
@@ -202,19 +206,40 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
+def _read(texts: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the nodes (node), by the texts of their classes' first documents; repeated rows repeat."""
+    first = settle(classes.select("node", F.col("at.id").alias("id"), F.col("at.t").alias("own")).join(nodes, "node", "left_semi"))
+    near = maybe(texts, "doc_id", first.select("id")).withColumn("t", text_key())
+    return near.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("own"))).select("node", "text")
+
+
 def _sure(texts: DataFrame, classes: DataFrame, edges: DataFrame, width: int, least: float) -> DataFrame:
     """The edges (a, b) whose texts are similar. A class's words are those of its first document."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = settle(classes.select("node", F.col("at.id").alias("id"), F.col("at.t").alias("own")).join(ends, "node", "left_semi"))
-    near = maybe(texts, "doc_id", first.select("id")).withColumn("t", text_key())
-    read = near.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("own"))).select("node", "text")
-    sets = read.mapInArrow(lambda it: _sets(it, width), "node long, set binary")
+    sets = _read(texts, classes, ends).mapInArrow(lambda it: _sets(it, width), "node long, set binary")
     sets = settle(sets.groupBy("node").agg(F.min("set").alias("set")))
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     pairs = edges.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return settle(pairs.mapInArrow(lambda it: _verified(it, least), "a long, b long"))
 
 
+def _listed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        sets = [shingle_set(t, width).view(np.int64) for t in texts_of(batch.column(1))]
+        ends = np.concatenate([[0], np.cumsum([x.size for x in sets])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "shingles"])
+
+
+def unshared(texts: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, size, shared): how many shingles a node's document has, and how many of these stand in another node's as well. Shingles are counted before the shuffle."""
+    listed = _read(texts, classes, nodes).mapInArrow(lambda it: _listed(it, width), "node long, shingles array<long>")
+    once = listed.select("node", F.explode("shingles").alias("h")).distinct()
+    places = once.groupBy("h").agg(F.count("*").alias("places"), F.min("node").alias("node"))
+    alone = places.where("places = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    sizes = once.groupBy("node").agg(F.count("*").alias("size"))
+    return sizes.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
 def groups(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY, held: int = HELD, near: int = NEAR) -> DataFrame:
     """(doc_id, t, component_id, first) for each document of `docs` (doc_id, text), which is known by its doc_id, null or not, and `text_key`.
 
@@ -232,7 +257,7 @@ def groups(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY, held:
     edges = settle(candidates(classes.select("node", "f1", "f2"), held, near))
     roots = components(_sure(texts, classes, edges, width, least))
     named = settle(classes.select("node", "f1", "f2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    tried, left = TRIED, edges
+    tried, left, counts = TRIED, edges, None
     while True:
         # Edges that failed, or are left for later, and still have their ends apart; whatever pair is left starts in the component of such an end.
         ends = [named.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
@@ -240,7 +265,10 @@ def groups(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY, held:
         open_ = settle(apart.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct())
         if open_.isEmpty():
             break
-        edges = settle(candidates(named.join(open_, "root", "left_semi").select("node", "f1", "f2", "root"), held, near, tried))
+        members = named.join(open_, "root", "left_semi")
+        # Later rounds have no other documents than the first, so its counts still bound them.
+        counts = settle(unshared(texts, classes, members.select("node"), width)) if counts is None else counts
+        edges = settle(candidates(members.join(counts, "node").select("node", "f1", "f2", "root", "size", "shared"), held, near, tried, least))
         sure = _sure(texts, classes, edges.where("not later"), width, least)
         joined = components(sure.join(ends[0], "a").join(ends[1], "b").select("root_a", "root_b")).select(F.col("node").alias("root"), F.col("root").alias("lower"))
         named = settle(named.join(joined, "root", "left").withColumn("root", F.coalesce("lower", "root")).drop("lower"))
