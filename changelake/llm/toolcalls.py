@@ -193,10 +193,27 @@ def levelled(edges: list[tuple[str, str]]) -> dict[str, int | None]:
     return {node: None if n else level[node] for node, n in missing.items()}
 
 
-def _levelled(table: pa.Table) -> pa.Table:
-    conv = table.column("c")[0]
-    found = levelled(list(zip(table.column("node").to_pylist(), table.column("before").to_pylist(), strict=True)))
-    return pa.table({"c": pa.array([conv.as_py()] * len(found), pa.int64()), "i": pa.array(list(found), pa.string()), "level": pa.array(list(found.values()), pa.int64())})
+def _levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The levels within each conversation, from rows (c, node, before) that are sorted by it. One conversation's links are held at a time."""
+    names = ["c", "i", "level"]
+    types = [pa.int64(), pa.string(), pa.int64()]
+    now, held, out = None, [], []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        out.clear()
+
+    for batch in batches:
+        for c, node, before in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if c != now:
+                out += [(now, node_, level) for node_, level in levelled(held).items()]
+                now, held = c, []
+                if len(out) > 10_000:
+                    yield from flush()
+            held.append((node, before))
+    out += [(now, node_, level) for node_, level in levelled(held).items()]
+    if out:
+        yield from flush()
 
 
 def _levels(edges: DataFrame, nodes: DataFrame, held: int = HELD) -> DataFrame:
@@ -206,7 +223,8 @@ def _levels(edges: DataFrame, nodes: DataFrame, held: int = HELD) -> DataFrame:
     several = not large.isEmpty()
     small = edges.join(large, own, "left_anti") if several else edges
     flat = small.select(F.col("node.c").alias("c"), F.col("node.i").alias("node"), F.col("before.i").alias("before"))
-    done = flat.groupBy("c").applyInArrow(_levelled, "c long, i string, level long").select(F.struct("c", "i").alias("node"), "level")
+    sorted_ = flat.repartition("c").sortWithinPartitions("c")
+    done = sorted_.mapInArrow(_levelled, "c long, i string, level long").select(F.struct("c", "i").alias("node"), "level")
     if several:
         rest = edges.join(large, own, "left_semi")
         found = _large_levels(rest, nodes.join(large, own, "left_semi"))
