@@ -560,9 +560,9 @@ def a02_bad_lines(spark, d):
     return cdc_json.decoded(torn).where("not bad").select("k", "tx", F.col("seq").alias("op"))
 
 
-@query("select cast(seq as bigint) as op, tx, k, v, del from log")
+@query("select min(seq) over w + row_number() over (w order by seq) - 1 as op, tx, k, v, del from log window w as (partition by file_id, tx)")
 def a07_wal_decode(spark, d):
-    """The log written as log files and read back."""
+    """The log written as log files and read back. A frame has its first operation alone, and its entries follow from there."""
     found = binary.decoded(binary.wal_blobs(kv_log(spark, d)), "wal")
     return found.select("tx", "op", F.col("k").cast("string").alias("k"), F.col("v").cast("string").alias("v"), "del")
 
