@@ -34,7 +34,8 @@ KINDS = np.full(256, 3, dtype=np.int8)
 KINDS[[0x09, 0x0A, 0x0D, 0x20]] = 0
 KINDS[0x30:0x3A] = SINGLE
 KINDS[0x61:0x7B] = KINDS[0x80:] = KINDS[1] = 1
-REMEMBERED = 1_000_000
+#: Words remembered, and bytes of texts encoded at once. Workers outlive the packing, and what they remember stays with them.
+REMEMBERED, SLICE = 400_000, 500_000
 
 
 class Tokens:
@@ -107,7 +108,7 @@ def sized(docs: DataFrame, path: str, room: int = ROOM) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens(path)
-        for batch in slices(batches, "text", 1_000_000):
+        for batch in slices(batches, "text", SLICE):
             ids = [b.tobytes() + b"\0\0\0\0" for b in coder.encode(texts_of(batch.column(2)))]
             crcs = [[zlib.crc32(b[i : i + 4 * room]) for i in range(0, len(b), 4 * room)] for b in ids]
             columns = [batch.column(0), batch.column(1), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]

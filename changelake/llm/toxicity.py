@@ -23,6 +23,8 @@ SHAPES = ((0,), (0, 1), (0, 2))
 SAMPLE = 20_000
 EPOCHS, ALPHA, BETA, L1, L2 = 6, 4.0, 1.0, 8.0, 0.0
 THRESHOLD = 0.7
+#: Bytes of texts that are made into features at once: the arrays over them take some thirty times as much of a worker's memory.
+SLICE = 250_000
 BIAS = 1 << SLOTS_LOG2
 
 
@@ -38,7 +40,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         at, slot = features(texts_of(batch.column(2)))
         pairs = np.unique((at << SLOTS_LOG2) | slot)
         bounds = np.searchsorted(pairs >> SLOTS_LOG2, np.arange(batch.num_rows + 1))
@@ -123,7 +125,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], score: str = "s
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(BIAS + 1)
         dense[slots] = weights
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             at, slot = features(texts_of(batch.column(place)))
             hit = dense[slot] != 0
             pairs = np.unique((at[hit] << SLOTS_LOG2) | slot[hit])

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from changelake.llm import packing
@@ -31,6 +32,20 @@ def test_ids(tokenizer):
             assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_a_worker_remembers_few_words(tokenizer):
+    from changelake.llm.frames import slices
+
+    rng, coder, most = random.Random(3), packing.Tokens(PATH), 0
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(1000)) for _ in range(650)]
+    for batch in slices([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])], "text", packing.SLICE):
+        some = batch.column(0).to_pylist()
+        ids = coder.encode(some)
+        assert ids[0].tolist() == tokenizer.encode(some[0], add_special_tokens=False).ids
+        known = coder.known
+        most = max(most, sum(x.nbytes for x in (known.lexicon.keys, known.lexicon.rows, known.hashes, known.ends, known.units, coder.ids, coder.ends)))
+    assert most < 50e6, most
+
+
 def test_forgetting(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 50)
     coder, rng = packing.Tokens(PATH), random.Random(2)

@@ -112,3 +112,25 @@ def test_nothing_to_learn(spark):
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, model).first().score == 0.5
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_a_large_batch_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [" ".join(str(rng.randint(0, 99_999)) for _ in range(300)) for _ in range(1500)] + ["", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([1] * len(texts), pa.int32()), pa.array(texts)], names=["doc_id", "toxic", "text"])
+    at, slot = toxicity.features([t or "" for t in texts])
+    expected = [np.unique(slot[at == i]).tolist() for i in range(len(texts))]
+    del at, slot
+    tracemalloc.start()
+    try:
+        ids = [x for made in toxicity._featurise(iter([batch])) for x in made.column(2).to_pylist()]
+        # The lists themselves, some 40 bytes for a feature, are not the worker's.
+        peak = tracemalloc.get_traced_memory()[1] - tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert ids == expected
+    assert peak < 15e6, peak
