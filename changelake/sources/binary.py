@@ -6,12 +6,15 @@ import fnmatch
 import gzip
 import hashlib
 import io
+import itertools
 import json
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -199,26 +202,25 @@ def _open(path: str):
     return io.BufferedReader(system.open_input_file(inner), 1 << 20)
 
 
-def _rows(found: Iterable[tuple], schema: str, chunk: int = 20_000) -> Iterator[pd.DataFrame]:
-    columns, held = [c.split()[0] for c in schema.split(", ")], []
-    for row in found:
-        held.append(row)
-        if len(held) == chunk:
-            yield pd.DataFrame(held, columns=columns)
-            held = []
-    if held:
-        yield pd.DataFrame(held, columns=columns)
+#: Arrow's types of the columns that come out.
+TYPES = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def _rows(found: Iterable[tuple], schema: str, chunk: int = 20_000) -> Iterator[pa.RecordBatch]:
+    typed, found = pa.schema([(name, TYPES[kind]) for name, kind in map(str.split, schema.split(", "))]), iter(found)
+    while held := list(itertools.islice(found, chunk)):
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), typed.types, strict=True)], schema=typed)
 
 
 def decoded(blobs: DataFrame, kind: str) -> DataFrame:
     """The records of whole files (name, content, last), each decoded where it is."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content, last in zip(pdf["name"], pdf["content"], pdf["last"], strict=True):
-                yield from _rows(DECODERS[kind](name, bytes(content), bool(last), 0, 0), SCHEMAS[kind])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content, last in zip(*map(batch.column, ("name", "content", "last")), strict=True):
+                yield from _rows(DECODERS[kind](name.as_py(), content.as_py(), bool(last.as_py()), 0, 0), SCHEMAS[kind])
 
-    return blobs.mapInPandas(run, SCHEMAS[kind])
+    return blobs.select("name", "content", "last").mapInArrow(run, SCHEMAS[kind])
 
 
 def _listed(spark: SparkSession, folder: str, glob: str) -> DataFrame:
@@ -250,9 +252,9 @@ def _read(spark: SparkSession, folder: str, glob: str, kind: str, split: int) ->
                     rows = [(path, name, a, b, n, bool(last) and b == length) for a, b, n in splits(kind, f, length, split)]
                 yield pd.DataFrame(rows, columns=["path", "name", "start", "end", "number", "last"])
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, name, a, b, number, last in pdf.itertuples(index=False):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, name, a, b, number, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with _open(path) as f:
                     f.seek(a)
                     data = f.read(b - a)
@@ -261,7 +263,7 @@ def _read(spark: SparkSession, folder: str, glob: str, kind: str, split: int) ->
     total = listed.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     parts = listed.mapInPandas(cut, "path string, name string, start long, end long, number long, last boolean")
     # A fixed number of tasks, since the parts' rows are too small for adaptive execution to know what they stand for.
-    return parts.repartition(max(1, -(-total // split)), "path", "start").mapInPandas(read, SCHEMAS[kind])
+    return parts.repartition(max(1, -(-total // split)), "path", "start").mapInArrow(read, SCHEMAS[kind])
 
 
 def read_wal(spark: SparkSession, folder: str, split: int = SPLIT) -> DataFrame:
@@ -293,16 +295,102 @@ def swept(blobs: DataFrame, kind: str = "vlog") -> DataFrame:
     return blobs.where("not last").mapInPandas(run, "name string, records long, sound boolean")
 
 
-def wal_blobs(log: DataFrame) -> DataFrame:
-    """(name, content, last): the log files of a log (file_id, tx, seq, k, v, del), a frame for each transaction; one file's rows are a task's."""
-    last = log.agg(F.max("file_id")).first()[0]
+#: Bytes of records of the files that are a task's together, on average. A task's blobs cross to the decoder in one batch, so this bounds a worker's memory.
+TOGETHER = 16 << 20
+EMPTY = pa.scalar(b"", pa.large_binary())
+
+
+def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that come file by file as tables of whole files."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        numbers = [batch.column(c) for c in ("file_id", "tx", "seq")]
+        if batch.column("k").null_count or any(c.null_count or pc.min(c).as_py() < 0 for c in numbers):
+            raise ValueError("a row without a key, or without a file, transaction or number of 0 or more, has no place in a file")
+        files_ = numbers[0].to_numpy()
+        start = int(np.searchsorted(files_, files_[-1]))
+        if start or held and held[-1].column("file_id")[-1].as_py() != files_[-1]:
+            yield pa.Table.from_batches([*held, batch.slice(0, start)])
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        frames = [wal_frame(int(tx), int(own["seq"].iloc[0]), [(r.k.encode(), None if r.v is None else r.v.encode(), bool(r.gone)) for r in own.itertuples()]) for tx, own in pdf.sort_values("seq").groupby("tx")]
-        number = int(pdf["file_id"].iloc[0])
-        return pd.DataFrame([(f"{number:020d}.wal", b"".join(frames), number == last)], columns=["name", "content", "last"])
 
-    return log.select("file_id", "tx", "seq", "k", "v", F.col("del").alias("gone")).groupBy("file_id").applyInPandas(run, "name string, content binary, last boolean")
+def _binaries(data: pa.Buffer, ends: np.ndarray) -> pa.Array:
+    """Binary values that follow each other in `data`, by the first one's place and the end of each."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), data])
+
+
+def _number(values: np.ndarray, width: int) -> pa.Array:
+    return _binaries(pa.py_buffer(values.astype(f">u{width}")), np.arange(len(values) + 1) * width)
+
+
+def _sizes(values: pa.Array) -> pa.Array:
+    return _number(pc.binary_length(values).to_numpy(), 4)
+
+
+def _joined(*columns: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(*columns, EMPTY)
+
+
+def _sums(values: pa.Array) -> pa.Array:
+    return _number(crc32c_all(values.to_pylist()), 4)
+
+
+def _runs(values: pa.Array, starts: np.ndarray) -> pa.Array:
+    """Neighbouring values as one, from each start to the next."""
+    ends = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, values.offset * 8)
+    return _binaries(values.buffers()[2], ends[np.append(starts, len(values))])
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the row before."""
+    return np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0)))
+
+
+def _parts(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array, pa.Array]:
+    """(file_id, tx, seq, k, v, kind) of rows; a delete's value and a missing one are empty."""
+    k, v, gone = (rows.column(c).combine_chunks() for c in ("k", "v", "gone"))
+    gone = pc.fill_null(gone, False)
+    v = pc.if_else(gone, EMPTY, pc.fill_null(v.cast(pa.large_binary()), EMPTY))
+    return *(rows.column(c).to_numpy() for c in ("file_id", "tx", "seq")), k.cast(pa.large_binary()), v, _number(np.where(gone.to_numpy(zero_copy_only=False), DELETE, PUT), 1)
+
+
+def wal_frames(rows: pa.Table) -> tuple[np.ndarray, pa.Array]:
+    """(file of each frame, frames) of rows by file, transaction and number: the bytes of `wal_frame`, for many of them at a time."""
+    file_id, tx, seq, k, v, kind = _parts(rows)
+    starts = _starts(file_id, tx)
+    entries = _runs(_joined(_sizes(k), k, _sizes(v), v, kind), starts)
+    body = _joined(_number(tx[starts], 8), _number(seq[starts], 8), _number(np.diff(np.append(starts, len(tx))), 4), entries)
+    return file_id[starts], _joined(_sizes(body), _sums(body), body)
+
+
+def _blobs(log: DataFrame, order: tuple[str, ...], name: str, encoded: Callable[[pa.Table], tuple[np.ndarray, pa.Array]]) -> DataFrame:
+    """(name, content, last): the files of a log, as rows in an order are encoded; one file's rows are a task's.
+
+    A fixed number of tasks by the records' bytes, since adaptive execution would give a task ever more files as the log grows.
+    """
+    size = F.octet_length("k") + F.coalesce(F.octet_length("v"), F.lit(0)) + 29
+    last, total = log.agg(F.max("file_id"), F.sum(size.cast("bigint"))).first()
+    n = max(log.sparkSession.sparkContext.defaultParallelism, -(-(total or 0) // TOGETHER))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole(batches):
+            owner, pieces = encoded(rows)
+            starts = _starts(owner)
+            numbers = owner[starts].tolist()
+            yield pa.record_batch([pa.array([name.format(i) for i in numbers]), _runs(pieces, starts).cast(pa.binary()), pa.array([i == last for i in numbers])], names=["name", "content", "last"])
+
+    rows = log.select(*(F.col(c).cast("bigint").alias(c) for c in ("file_id", "tx", "seq")), "k", "v", F.col("del").alias("gone"))
+    return rows.repartition(n, "file_id").sortWithinPartitions(*order).mapInArrow(run, "name string, content binary, last boolean")
+
+
+def wal_blobs(log: DataFrame) -> DataFrame:
+    """(name, content, last): the log files of a log (file_id, tx, seq, k, v, del), a frame for each transaction."""
+    return _blobs(log, ("file_id", "tx", "seq"), "{:020d}.wal", wal_frames)
 
 
 def vlog_blobs(log: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import functools
 import hashlib
+import itertools
 import json
 import random
+import time
 from datetime import datetime
 from pathlib import Path
 
@@ -269,3 +271,49 @@ def test_workloads(spark):
     lists = spark.createDataFrame([(["a", "b"], ["b", "c"])], "current array<string>, target array<string>")
     r = workload.list_diff_arrays(lists).first()
     assert (r.to_update, r.to_add, r.to_remove) == (["b"], ["c"], ["a"])
+
+
+def odd_log(spark, n=3000):
+    """Files of unlike sizes; keys and values of any letters, empty and missing values, deletes with one."""
+    rng = random.Random(9)
+    rows = [(min(i // 7, 20), i // 7 // 3, i, rng.choice(["a", "é", "k" * 300]) + str(i), rng.choice([None, "", "ü", "v" * rng.randint(1, 700)]), rng.choice([True, False, None])) for i in range(n)]
+    return rows, spark.createDataFrame(rng.sample(rows, n), "file_id bigint, tx bigint, seq bigint, k string, v string, del boolean")
+
+
+def contents(blobs):
+    return {r.name: (bytes(r.content), r["last"]) for r in blobs.collect()}
+
+
+def entry(row):
+    return row[3].encode(), None if row[4] is None else row[4].encode(), bool(row[5])
+
+
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_log_files_are_those_of_single_frames(spark, batch):
+    rows, log = odd_log(spark)
+    want = {}
+    for number, own in itertools.groupby(rows, lambda r: r[0]):
+        frames = [binary.wal_frame(tx, of[0][2], map(entry, of)) for tx, of in ((tx, list(of)) for tx, of in itertools.groupby(own, lambda r: r[1]))]
+        want[f"{number:020d}.wal"] = b"".join(frames), number == 20
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        assert contents(binary.wal_blobs(log)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert binary.wal_blobs(log.limit(0)).count() == 0
+    with pytest.raises(Exception, match="without a key"):
+        binary.wal_blobs(log.withColumn("k", F.when(F.col("seq") != 77, F.col("k")))).collect()
+
+
+def test_small_transactions_cost_a_log_file_little(spark):
+    """Frames of three entries take about as long as records of one; each was once a table of its own."""
+    log = spark.range(90_000).select(F.expr("id div 1000").alias("file_id"), F.expr("id div 3").alias("tx"), F.col("id").alias("seq"), F.expr("concat('user:', id)").alias("k"), F.lit('{"k": 12}').alias("v"), F.lit(False).alias("del")).repartition(4).cache()
+
+    def seconds(kind):
+        blobs = {"wal": binary.wal_blobs, "vlog": binary.vlog_blobs}[kind](log)
+        start = time.perf_counter()
+        blobs.select(F.sum(F.length("content"))).collect()
+        return time.perf_counter() - start
+
+    seconds("vlog")
+    assert min(seconds("wal") for _ in range(2)) < 2 * min(seconds("vlog") for _ in range(2)) + 1
