@@ -368,6 +368,13 @@ def wal_frames(rows: pa.Table) -> tuple[np.ndarray, pa.Array]:
     return file_id[starts], _joined(_sizes(body), _sums(body), body)
 
 
+def vlog_records(rows: pa.Table) -> tuple[np.ndarray, pa.Array]:
+    """(file of each record, records) of rows by file and number: the bytes of `vlog_record`, for many of them at a time."""
+    file_id, tx, seq, k, v, kind = _parts(rows)
+    body = _joined(_sizes(k), _sizes(v), _number(tx, 8), _number(seq, 8), kind, k, v)
+    return file_id, _joined(_sums(body), body)
+
+
 def _blobs(log: DataFrame, order: tuple[str, ...], name: str, encoded: Callable[[pa.Table], tuple[np.ndarray, pa.Array]]) -> DataFrame:
     """(name, content, last): the files of a log, as rows in an order are encoded; one file's rows are a task's.
 
@@ -394,26 +401,30 @@ def wal_blobs(log: DataFrame) -> DataFrame:
 
 
 def vlog_blobs(log: DataFrame) -> DataFrame:
-    """(name, content, last): the value-log files of a log (file_id, tx, seq, k, v, del); one file's rows are a task's."""
-    last = log.agg(F.max("file_id")).first()[0]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [vlog_record(int(r.tx), int(r.seq), r.k.encode(), None if r.v is None else r.v.encode(), bool(r.gone)) for r in pdf.sort_values("seq").itertuples()]
-        number = int(pdf["file_id"].iloc[0])
-        return pd.DataFrame([(f"{number}.vlog", b"".join(rows), number == last)], columns=["name", "content", "last"])
-
-    return log.select("file_id", "tx", "seq", "k", "v", F.col("del").alias("gone")).groupBy("file_id").applyInPandas(run, "name string, content binary, last boolean")
+    """(name, content, last): the value-log files of a log (file_id, tx, seq, k, v, del)."""
+    return _blobs(log, ("file_id", "seq"), "{}.vlog", vlog_records)
 
 
 def backup_blobs(state: DataFrame, parts: int = 8) -> DataFrame:
-    """(name, content, last): the records of a state (k, v) in ranges of keys; a backup is the ranges one after another."""
+    """(name, content, last): the records of a state (k, v) in ranges of keys, `parts` or as many more as its bytes ask for; a backup is the ranges one after another."""
+    total = state.agg(F.sum((F.octet_length("k") + F.coalesce(F.octet_length("v"), F.lit(0)) + 9).cast("bigint"))).first()[0] or 0
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        data = b"".join(_entry(r.k.encode(), None if r.v is None else r.v.encode(), r.v is None) for pdf in batches for r in pdf.itertuples())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = b"".join(block for batch in batches for block in _backup_block(batch))
         number = TaskContext.get().partitionId()
-        yield pd.DataFrame([(f"basebackup.bin.{number:05d}", data, False)], columns=["name", "content", "last"])
+        yield pa.record_batch([pa.array([f"basebackup.bin.{number:05d}"]), pa.array([data], pa.binary()), pa.array([False])], names=["name", "content", "last"])
+
+    ranges = state.select("k", "v").repartitionByRange(max(parts, -(-total // TOGETHER)), "k")
+    return ranges.sortWithinPartitions("k").mapInArrow(run, "name string, content binary, last boolean")
+
 
-    return state.select("k", "v").repartitionByRange(parts, "k").sortWithinPartitions("k").mapInPandas(run, "name string, content binary, last boolean")
+def _backup_block(rows: pa.RecordBatch) -> Iterator[bytes]:
+    k, v = (rows.column(c).cast(pa.large_binary()) for c in ("k", "v"))
+    if k.null_count:
+        raise ValueError("a row without a key has no place in a backup")
+    gone, filled = v.is_null().to_numpy(zero_copy_only=False), pc.fill_null(v, EMPTY)
+    if rows.num_rows:
+        yield _runs(_joined(_sizes(k), k, _sizes(filled), filled, _number(np.where(gone, DELETE, PUT), 1)), np.array([0]))[0].as_py()
 
 
 def _digest(spark: SparkSession, folder: str) -> str | None:

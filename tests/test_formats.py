@@ -317,3 +317,31 @@ def test_small_transactions_cost_a_log_file_little(spark):
 
     seconds("vlog")
     assert min(seconds("wal") for _ in range(2)) < 2 * min(seconds("vlog") for _ in range(2)) + 1
+
+
+def test_value_log_files_are_those_of_single_records(spark):
+    rows, log = odd_log(spark)
+    want = {f"{number}.vlog": (b"".join(binary.vlog_record(r[1], r[2], *entry(r)) for r in own), number == 20) for number, own in itertools.groupby(rows, lambda r: r[0])}
+    assert contents(binary.vlog_blobs(log)) == want
+    got = binary.decoded(binary.vlog_blobs(log), "vlog").orderBy("op").collect()
+    assert [(r.file_id, r.tx, r.op, bytes(r.k), r["del"]) for r in got] == [(*r[:3], r[3].encode(), bool(r[5])) for r in rows]
+    assert [r.v if r["del"] else bytes(r.v) for r in got] == [None if r[5] else (r[4] or "").encode() for r in rows]
+
+
+def test_backup_ranges_are_those_of_single_records(spark):
+    rows, log = odd_log(spark)
+    got = contents(binary.backup_blobs(log.select("k", "v"), parts=3))
+    want = b"".join(binary.backup_bytes((k, v, v is None) for k, v, _ in sorted(map(entry, rows))))
+    assert len(got) == 3 and b"".join(got[name][0] for name in sorted(got)) == want
+    assert not b"".join(data for data, _ in contents(binary.backup_blobs(log.select("k", "v").where("seq < 0"))).values())
+
+
+@pytest.mark.parametrize("kind", ["wal", "vlog", "backup"])
+def test_tasks_of_a_larger_log_hold_no_more(spark, monkeypatch, kind):
+    """All blobs of a task reach its worker together."""
+    monkeypatch.setattr(binary, "TOGETHER", 100_000, raising=False)
+    made = {"wal": binary.wal_blobs, "vlog": binary.vlog_blobs, "backup": binary.backup_blobs}[kind]
+    for n in (20_000, 80_000):
+        log = spark.range(n).select(F.expr("id div 100").alias("file_id"), F.expr("id div 3").alias("tx"), F.col("id").alias("seq"), F.expr("concat('user:', id)").alias("k"), F.lit('{"k": 12}').alias("v"), F.lit(False).alias("del"))
+        size = made(log).groupBy(F.spark_partition_id()).agg(F.sum(F.length("content")).alias("size")).agg(F.max("size")).first()[0]
+        assert size < 300_000
